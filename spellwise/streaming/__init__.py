@@ -1,0 +1 @@
+"""Nothing here on purpose: the workload is batch only (files in, tables out)."""
