@@ -12,19 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spellwise.session import cut_lineage
+
 CELL = "__cell"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Keep a small aggregated table (curves, totals) because later steps read it more than once.
+    """Settle a small aggregated table (curves, totals) that later steps read more than once.
 
-    Lost blocks are recomputed from lineage. ``spark.catalog.clearCache()`` frees them all.
+    Without this every two-level step would double the plan below it.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(df)
 
 
 def with_cell(df: DataFrame, order: str | Column, width: float) -> DataFrame:
@@ -98,21 +99,21 @@ def neighbours(
     key = F.struct(*order)
     payload = F.struct(F.lit(True).alias("__there"), *carried)
     edges = df.groupBy(*keys).agg(
-        F.max_by(payload, key).alias("__last"), F.min_by(payload, key).alias("__first")
+        F.max_by(payload, key).alias("__n_last"), F.min_by(payload, key).alias("__n_first")
     )
     cells = Window.partitionBy(*by).orderBy(cell)
     edges = edges.select(
-        *keys, F.lag("__last").over(cells).alias("__before"), F.lead("__first").over(cells).alias("__after")
+        *keys, F.lag("__n_last").over(cells).alias("__n_before"), F.lead("__n_first").over(cells).alias("__n_after")
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     local = df.select(
         "*",
-        F.lag(payload).over(inside).alias("__prev"),
-        F.lead(payload).over(inside).alias("__next"),
+        F.lag(payload).over(inside).alias("__n_prev"),
+        F.lead(payload).over(inside).alias("__n_next"),
     )
     joined = local.join(edges, keys, "left")
-    prev = F.when(F.col("__prev").isNotNull(), F.col("__prev")).otherwise(F.col("__before"))
-    nxt = F.when(F.col("__next").isNotNull(), F.col("__next")).otherwise(F.col("__after"))
+    prev = F.when(F.col("__n_prev").isNotNull(), F.col("__n_prev")).otherwise(F.col("__n_before"))
+    nxt = F.when(F.col("__n_next").isNotNull(), F.col("__n_next")).otherwise(F.col("__n_after"))
     return joined.select(
         *df.columns,
         *[prev[c].alias(name) for name, c in lag.items()],

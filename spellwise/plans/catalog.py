@@ -1,4 +1,4 @@
 """All named queries."""
 
-from spellwise.plans import queries_survival  # noqa: F401
+from spellwise.plans import queries_survival, queries_tables  # noqa: F401
 from spellwise.plans.registry import ORACLES, QUERIES  # noqa: F401

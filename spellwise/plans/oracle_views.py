@@ -138,4 +138,7 @@ def with_views(body: str, **extra: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" for n in order)
+    body = body.strip()
+    if body.startswith("WITH "):
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
