@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spellwise.operators.ordered import CELL, neighbours
+from spellwise.operators.ordered import CELL, keep, neighbours
 from spellwise.operators.vocab import DEATH_POLICIES, GROUP_FLAGS, EventCodes, code_level, code_type
 
 
@@ -103,11 +103,11 @@ def correct_event_date_long(
     )
     order = ["__day", *tie]
     df = df.withColumn(CELL, F.datediff("__day", F.lit("1970-01-01").cast("date")))
-    df = neighbours(df, ["id"], order, lag={"__prior_age": target_age})
+    df = neighbours(keep(df), ["id"], order, lag={"__prior_age": target_age})
     onset = F.coalesce(F.col("__row") & (F.col("__prior_age") == 0), F.lit(False))
     df = df.withColumn("time2", F.when(onset, F.col("__age")).otherwise(F.col("time2"))).withColumn(
         "__push", onset & (F.col("t_last") == 0))
-    df = neighbours(df, ["id"], order, lag={"__pushed": "__push", "__end": "time2"})
+    df = neighbours(keep(df), ["id"], order, lag={"__pushed": "__push", "__end": "time2"})
     df = df.withColumn("time1", F.when(F.coalesce("__pushed", F.lit(False)), F.col("__end")).otherwise(F.col("time1")))
     return df.select(*log.columns)
 
