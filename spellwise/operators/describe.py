@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spellwise.operators.ordered import keep, running_sum, with_cell
+from spellwise.operators.ordered import CELL, keep, running_sum, with_cell
 
 
 def frequency_share(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -29,7 +29,11 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     group is gathered anywhere.
     """
     v = with_cell(df.select(*by, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull()), "v", cell_width)
-    c = keep(v.groupBy(*by, "__cell", "v").agg(F.count("*").alias("c")))
+    return quantiles_of_counts(keep(v.groupBy(*by, CELL, "v").agg(F.count("*").alias("c"))), probs, by)
+
+
+def quantiles_of_counts(c: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """As :func:`exact_quantiles`, from one row per distinct value (``by``, cell, v, c)."""
     n = c.groupBy(*by).agg(F.sum("c").alias("n"))
     r = running_sum(c, list(by), ["v"], {"upto": "c"}).join(n, list(by))
     grid = F.array(*[F.lit(float(p)) for p in probs])
@@ -45,29 +49,41 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     return rows.groupBy(*by, "prob").agg((lo + (hi - lo) * frac).alias("value"))
 
 
+def _width_of(widths: dict[str, float], default: float = 0.25) -> Column:
+    out = F.lit(default)
+    for name, w in widths.items():
+        out = F.when(F.col("var") == name, float(w)).otherwise(out)
+    return out
+
+
 def demographic_table(
     df: DataFrame, *, sex: str = "sex", numeric: Sequence[str], categories: Sequence[str], widths: dict[str, float] | None = None
 ) -> DataFrame:
     """Per sex and for both ("B"): n, median with quartiles, and category counts with shares.
 
-    Columns: sex, var, statistic, value, value2, value3.
+    One pass counts the values of all columns; everything else is read off those counts, and the
+    rows of both sexes are sums of them. Columns: sex, var, statistic, value, value2, value3.
     """
-    widths = widths or {}
-    both = df.withColumn(sex, F.explode(F.array(F.col(sex), F.lit("B"))))
-    null = F.lit(None).cast("double")
-    n = both.groupBy(sex).agg(F.count("*").cast("double").alias("value")).select(
-        sex, F.lit("n").alias("var"), F.lit("n").alias("statistic"), "value", null.alias("value2"), null.alias("value3"))
-    out = n
-    for c in numeric:
-        q = exact_quantiles(both, c, [0.25, 0.5, 0.75], [sex], cell_width=widths.get(c, 0.25))
-        at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
-        out = out.unionByName(q.groupBy(sex).agg(at(0.5).alias("value"), at(0.25).alias("value2"), at(0.75).alias("value3"))
-                              .withColumn("var", F.lit(c)).withColumn("statistic", F.lit("Median (IQR)")))
-    long = both.select(sex, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("var"), F.col(c).cast("string").alias("statistic")) for c in categories])))
-    f = frequency_share(long.withColumn("k", F.struct("var", "statistic")), "k", [sex, "var"])
-    return out.unionByName(f.select(sex, "var", F.col("k.statistic").alias("statistic"), F.col("n").cast("double").alias("value"),
-                                    F.col("p").alias("value2"), null.alias("value3")))
+    null, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    long = df.select(sex, F.inline(F.array(
+        F.struct(F.lit("n").alias("var"), F.lit("n").alias("cat"), null.alias("v")),
+        *[F.struct(F.lit(c).alias("var"), F.col(c).cast("string").alias("cat"), null.alias("v")) for c in categories],
+        *[F.struct(F.lit(c).alias("var"), text.alias("cat"), F.col(c).cast("double").alias("v")) for c in numeric],
+    )))
+    counts = long.groupBy(sex, "var", "cat", "v").agg(F.count("*").alias("c"))
+    counts = counts.withColumn(sex, F.explode(F.array(F.col(sex), F.lit("B"))))
+    counts = keep(counts.groupBy(sex, "var", "cat", "v").agg(F.sum("c").alias("c")))
+    cats = counts.filter(F.col("var").isin("n", *categories))
+    total = cats.groupBy(sex, "var").agg(F.sum("c").alias("__t"))
+    share = F.when(F.col("var") != "n", F.col("c") / F.col("__t"))
+    out = cats.join(total, [sex, "var"]).select(
+        sex, "var", F.col("cat").alias("statistic"), F.col("c").cast("double").alias("value"), share.alias("value2"), null.alias("value3"))
+    nums = counts.filter(F.col("var").isin(*numeric) & F.col("v").isNotNull())
+    nums = nums.withColumn(CELL, F.floor(F.col("v") / _width_of(widths or {}))).select(sex, "var", CELL, "v", "c")
+    q = quantiles_of_counts(nums, [0.25, 0.5, 0.75], [sex, "var"])
+    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
+    return out.unionByName(q.groupBy(sex, "var").agg(
+        at(0.5).alias("value"), at(0.25).alias("value2"), at(0.75).alias("value3")).withColumn("statistic", F.lit("Median (IQR)")))
 
 
 def correlations(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -109,10 +125,9 @@ def column_profile(df: DataFrame, numeric: Sequence[str], cell_width: dict[str,
     base = long.groupBy("column").agg(
         F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_null"), F.avg("v").alias("mean"),
         F.stddev("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"))
-    parts = None
-    for c in numeric:
-        q = exact_quantiles(df.select(F.lit(c).alias("column"), c), c, [0.25, 0.5, 0.75], ["column"], cell_width=cell_width[c])
-        parts = q if parts is None else parts.unionByName(q)
+    counts = long.filter(F.col("v").isNotNull()).withColumnRenamed("column", "var").groupBy("var", "v").agg(F.count("*").alias("c"))
+    counts = keep(counts.withColumn(CELL, F.floor(F.col("v") / _width_of(cell_width))))
+    parts = quantiles_of_counts(counts, [0.25, 0.5, 0.75], ["var"]).withColumnRenamed("var", "column")
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
     q = parts.groupBy("column").agg(at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75"))
     return base.join(q, "column", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spellwise.functions import YEAR_DAYS, age_at, beta_1_2, birth_from_age, hash_uniform
-from spellwise.operators.ordered import first_per
+from spellwise.operators.ordered import last_n_per
 from spellwise.operators.vocab import EventCodes
 
 
@@ -108,7 +108,7 @@ def death_cause(log: DataFrame, death: str, *, order: Sequence[str], key: str =
 
     Only the last two rows per person leave the map tasks.
     """
-    last_two = first_per(log.select(key, event, *order), [key], [F.desc(c) for c in order], n=2)
+    last_two = last_n_per(log.select(key, event, *order), [key], order, 2)
     stamp = F.struct(*order)
     out = last_two.groupBy(key).agg(
         F.max_by(event, stamp).alias("last"), F.min_by(event, stamp).alias("before"), F.count("*").alias("n"))

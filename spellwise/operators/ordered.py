@@ -121,11 +121,23 @@ def neighbours(
     )
 
 
-def first_per(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int = 1) -> DataFrame:
-    """First ``n`` rows of each group in a total order.
+def first_per(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """First row of each group in an ascending total order.
+
+    An aggregate, so every map task sends one row per group however hot the group is (a window
+    would collect the whole group first).
+    """
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"__k{i}") for i, o in enumerate(order)]
+    rest = [c for c in df.columns if c not in by]
+    first = df.groupBy(*by).agg(F.min(F.struct(*keys, *rest)).alias("__f"))
+    return first.select(*[F.col(c) if c in by else F.col(f"__f.{c}").alias(c) for c in df.columns])
+
+
+def last_n_per(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """Last ``n`` rows of each group.
 
     The filter on ``row_number`` lets Spark cut each map task's rows down to ``n``
-    per group before the shuffle, so a hot group never travels whole.
+    per group before the shuffle.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
+    w = Window.partitionBy(*by).orderBy(*[F.desc(o) for o in order])
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")

@@ -64,7 +64,6 @@ def build_spells_cr(
     start: str,
     end: str,
     half_day: bool = False,
-    tie: Sequence[str] = (),
     tie_priority: str = "documented",
 ) -> DataFrame:
     """Competing-risk spells: cause of exit, entry and exit dates and exact ages.
@@ -77,7 +76,7 @@ def build_spells_cr(
     levels = list(dict.fromkeys([*targets, codes.death, codes.lost]))
     if tie_priority == "reference":
         levels = levels[::-1]
-    rank = F.lit(len(levels))
+    rank = F.lit(None).cast("int")
     for i, level in enumerate(levels):
         rank = F.when(F.col("event") == level, i).otherwise(rank)
     start_d, end_d = _date(start), _date(end)
@@ -86,12 +85,16 @@ def build_spells_cr(
     gone_before = F.max(
         (F.col("date_event") < start_d) & F.col("event").isin(*codes.terminal)
     ).alias("__gone")
-    payload = F.struct("date_event", rank.alias("r"), *tie, F.col("event").alias("ev"))
+    # Day and rank share one integer, which a hash aggregate can keep in place (a struct would be sorted).
+    n = F.lit(len(levels))
+    stamp = F.unix_date("date_event").cast("bigint") * n + rank
+    names = F.array(*[F.lit(v) for v in levels])
     per_person = (
         known.groupBy("id")
-        .agg(gone_before, F.min(payload).alias("f"))
+        .agg(gone_before, F.min(stamp).alias("k"))
         .filter(~F.col("__gone"))
-        .select("id", F.col("f.date_event").alias("date_event"), F.col("f.ev").alias("event"))
+        .select("id", F.date_from_unix_date(((F.col("k") - F.pmod("k", n)) / n).cast("int")).alias("date_event"),
+                F.element_at(names, (F.pmod("k", n) + 1).cast("int")).alias("event"))
     )
     out = indiv.join(per_person, "id")
     entry = F.greatest(start_d, anniversary("birth_date", min_age))
@@ -116,11 +119,11 @@ def build_spells(indiv: DataFrame, log: DataFrame, *, codes: EventCodes = EventC
 
 
 def life_spells(indiv: DataFrame, log: DataFrame, *, codes: EventCodes = EventCodes(), start: str, end: str,
-                min_age: int = 50, tie: Sequence[str] = ()) -> DataFrame:
+                min_age: int = 50) -> DataFrame:
     """Spells until death: only terminal events are read from the log."""
     terminal = log.filter(F.col("event").isin(*codes.terminal))
     out = build_spells(indiv, terminal, targets=[codes.death], codes=codes, min_age=min_age,
-                       start=start, end=end, half_day=True, tie=tie)
+                       start=start, end=end, half_day=True)
     return out.filter(F.col("exit_age") >= min_age)
 
 
@@ -130,7 +133,7 @@ def health_spells(indiv: DataFrame, log: DataFrame, *, codes: EventCodes = Event
     """Spells until the first illness or death."""
     first = first_illness(log, codes=codes, dim=dim, tie=tie)
     out = build_spells(indiv, first, targets=[codes.illness], codes=codes, min_age=min_age,
-                       start=start, end=end, half_day=True, tie=tie)
+                       start=start, end=end, half_day=True)
     return out.filter(F.col("exit_age") >= min_age)
 
 

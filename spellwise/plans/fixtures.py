@@ -62,11 +62,10 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"),
     )
-    last = (
-        o.groupBy("id")
-        .agg(F.max(F.struct("date_event", "src")).alias("k"))
-        .select(F.col("k.src").alias("src"), F.lit(True).alias("is_last"))
-    )
+    # Day and order key share one integer (order keys stay below 10^13), so the aggregate can hash.
+    stamp = F.unix_date("date_event").cast("bigint") * F.lit(10**13) + F.col("src")
+    last = o.groupBy("id").agg(F.max(stamp).alias("k")).select(
+        F.pmod("k", F.lit(10**13)).alias("src"), F.lit(True).alias("is_last"))
     kind = (
         F.when(F.col("is_last") & (F.col("status") == "F"), CODES.death)
         .when(F.col("is_last"), CODES.lost)
@@ -86,7 +85,7 @@ def spells(spark: SparkSession, sf: str, start: str = START, end: str = END) ->
     ill = first_illness(event_log(spark, sf), codes=CODES, tie=["src"])
     return build_spells(
         individuals(spark, sf), ill, targets=[CODES.illness], codes=CODES,
-        min_age=50, start=start, end=end, half_day=True, tie=["src"],
+        min_age=50, start=start, end=end, half_day=True,
     ).filter((F.col("entry_date") <= F.col("exit_date")) & (F.col("exit_age") >= 50))
 
 

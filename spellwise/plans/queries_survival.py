@@ -91,7 +91,7 @@ VIEW_CR = {"spells_cr": _CR}
 def spells_cr(spark, sf):
     return S.build_spells_cr(
         X.individuals(spark, sf), X.event_log(spark, sf), targets=["ILL1_A", "ILL1_B"], codes=X.CODES,
-        start="1996-01-01", end="1998-01-01", half_day=True, tie=["src"],
+        start="1996-01-01", end="1998-01-01", half_day=True,
     )
 
 

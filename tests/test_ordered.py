@@ -41,8 +41,9 @@ def test_neighbours_keep_nulls_apart_from_missing_rows(spark):
     assert [r["p"] for r in out] == [None, 5, None]
 
 
-def test_first_per_limits_rows_before_the_shuffle(spark):
-    df = spark.range(1000).selectExpr("id % 3 AS g", "id")
-    out = O.first_per(df, ["g"], ["id"], n=2)
-    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2, 3, 4, 5]
+def test_first_and_last_rows(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "id", "id * 2 AS x")
+    assert sorted(tuple(r) for r in O.first_per(df, ["g"], ["id"]).collect()) == [(0, 0, 0), (1, 1, 2), (2, 2, 4)]
+    out = O.last_n_per(df, ["g"], ["id"], 2)
+    assert sorted(r["id"] for r in out.collect()) == [994, 995, 996, 997, 998, 999]
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
