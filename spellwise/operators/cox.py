@@ -312,8 +312,11 @@ def cox_pass(
     return (vec[0], u[0], info[0]) if powers == 1 else (vec[0], u, info)
 
 
-def _independent(info: np.ndarray, tol: float = 1e-9) -> np.ndarray:
-    """Columns kept when redundant ones are left out from left to right."""
+def _independent(info: np.ndarray, tol: float = 1e-7) -> np.ndarray:
+    """Columns kept when redundant ones are left out from left to right.
+
+    The tolerance lies above the rounding noise of running totals over very many rows.
+    """
     a = info.copy()
     scale = np.diag(info).copy()
     kept = []
@@ -347,10 +350,14 @@ def cox_fit(
         step[kept] = np.linalg.solve(info[np.ix_(kept, kept)], u[kept])
         new = beta + step
         ll2, u2, info2 = cox_pass(risk, new, ties=ties)
-        while not ll2 >= ll - 1e-9 * abs(ll):
+        halvings = 0
+        while not ll2 >= ll - 1e-9 * abs(ll) and halvings < 12:
+            halvings += 1
             step /= 2
             new = beta + step
             ll2, u2, info2 = cox_pass(risk, new, ties=ties)
+        if not ll2 >= ll - 1e-9 * abs(ll):
+            break
         small = abs(ll2 - ll) <= eps * abs(ll2)
         beta, ll, u, info = new, ll2, u2, info2
         if small:
@@ -372,7 +379,10 @@ def given_model(d: Design, coef: Mapping[str, float], vcov: np.ndarray | None =
 
 def tidy_fit(fit: CoxFit, spark, *, exponentiate: bool = True) -> DataFrame:
     """Columns: term, estimate (hazard ratio), std_error, statistic, p_value, conf_low, conf_high."""
-    from math import erfc, exp, isnan, sqrt
+    from math import erfc, exp, inf, isnan, sqrt
+
+    def safe_exp(v: float) -> float:
+        return exp(v) if v < 700 else inf
 
     rows = []
     for i, name in enumerate(fit.design.names):
@@ -382,7 +392,7 @@ def tidy_fit(fit: CoxFit, spark, *, exponentiate: bool = True) -> DataFrame:
             continue
         se = sqrt(max(fit.vcov[i, i], 0.0))
         z = b / se if se > 0 else None
-        f = exp if exponentiate else float
+        f = safe_exp if exponentiate else float
         rows.append((name, f(b), se, z, erfc(abs(z) / sqrt(2)) if z is not None else None, f(b - Z95 * se), f(b + Z95 * se)))
     return spark.createDataFrame(
         rows, "term string, estimate double, std_error double, statistic double, p_value double, conf_low double, conf_high double")

@@ -130,6 +130,11 @@ def sample_ids(df: DataFrame, fraction: float, *, key: str = "id", seed: int = 1
     return df.filter(hash_uniform(key, seed=seed) < fraction)
 
 
+def sample_rows(df: DataFrame, fraction: float, *, keys: Sequence[str], seed: int = 1) -> DataFrame:
+    """A reproducible share of rows, decided by the row's key columns."""
+    return df.filter(hash_uniform(*keys, seed=seed) < fraction)
+
+
 def exact_split(ids: DataFrame, fraction: float, *, key: str = "id", seed: int = 1) -> DataFrame:
     """Mark exactly ``floor(fraction * n)`` ids as training ids.
 

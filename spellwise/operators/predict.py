@@ -183,18 +183,20 @@ def concordance(
     """
     one = df.filter(F.col(entry) < F.col(exit)).select(
         at_time(entry).alias("a"), at_time(exit).alias("b"), F.col(event).alias("ev"), F.round(score, 9).alias("s"))
-    scores = with_cell(one.select("s").distinct(), "s", score_cell).withColumn("one", F.lit(1)).withColumn("__all", F.lit(0))
-    ranks = keep(running_sum(keep(scores), ["__all"], ["s"], {"r": "one"}).select("s", (F.col("r") - 1).cast("bigint").alias("r")))
-    bits = max(1, int(ranks.agg(F.max("r")).first()[0] or 0).bit_length())
     # first: leaves before the failures of that time are read; late: changes seen only afterwards
     zero, one_ = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     failed = F.when(F.col("ev"), one_).otherwise(zero)
-    rows = one.join(ranks, "s").select("r", F.inline(F.array(
+    rows = one.select("s", F.inline(F.array(
         F.struct(F.col("a").alias("time"), zero.alias("first"), one_.alias("late"), zero.alias("asks")),
         F.struct(F.col("b").alias("time"), (-failed).alias("first"), (failed - 1).alias("late"), failed.alias("asks")),
     )))
-    rows = keep(with_cell(rows, "time", cell_width).groupBy("r", CELL, "time").agg(
+    rows = keep(with_cell(rows, "time", cell_width).groupBy("s", CELL, "time").agg(
         *[F.sum(c).alias(c) for c in ("first", "late", "asks")]))
+    scores = with_cell(rows.select("s").distinct().withColumn("__all", F.lit(0)), "s", score_cell)
+    ranks = running_sum(keep(scores.withColumn("one", F.lit(1))), ["__all"], ["s"], {"r": "one"})
+    ranks = keep(ranks.select("s", (F.col("r") - 1).cast("bigint").alias("r")))
+    bits = max(1, int(ranks.agg(F.max("r")).first()[0] or 0).bit_length())
+    rows = rows.join(ranks, "s").select("r", CELL, "time", "first", "late", "asks")
 
     def shifted(k):
         block = F.shiftright("r", k)

@@ -26,14 +26,14 @@ def quality_volume(
     codes: EventCodes = EventCodes(),
 ) -> DataFrame:
     """Spells = persons − (lost before the window ∪ first illness before ``min_age``)."""
-    lost = log.filter((F.col("event") == codes.lost) & (F.col("date_event") < F.lit(start).cast("date"))).select("id")
-    first = log.filter(F.col("event") != codes.no_illness).groupBy("id").agg(F.min("date_event").alias("__d"))
-    young = first.join(indiv.select("id", "birth_date"), "id").filter(age_at("birth_date", "__d") < min_age).select("id")
-    out = lost.unionByName(young).distinct().agg(F.count("*").alias("n_excluded"))
-    persons = log.agg(F.count_distinct("id").alias("n_persons"))
+    is_lost = (F.col("event") == codes.lost) & (F.col("date_event") < F.lit(start).cast("date"))
+    per = log.groupBy("id").agg(
+        F.max(is_lost).alias("lost"), F.min(F.when(F.col("event") != codes.no_illness, F.col("date_event"))).alias("ill"))
+    young = F.coalesce(age_at("birth_date", "ill") < min_age, F.lit(False))
+    log_side = per.join(indiv.select("id", "birth_date"), "id", "left").agg(
+        F.count("*").alias("n_persons"), F.count_if(F.col("lost") | young).alias("n_excluded"))
     have = spells.agg(F.count("*").alias("n_spells"))
-    one = have.withColumn("k", F.lit(1)).join(persons.withColumn("k", F.lit(1)), "k").join(
-        out.withColumn("k", F.lit(1)), "k").drop("k")
+    one = have.withColumn("k", F.lit(1)).join(log_side.withColumn("k", F.lit(1)), "k").drop("k")
     expected = F.col("n_persons") - F.col("n_excluded")
     return one.select("n_spells", "n_persons", "n_excluded", expected.alias("n_expected"),
                       (F.col("n_spells") == expected).alias("cond"))

@@ -250,7 +250,7 @@ _GROUPS = """CASE WHEN lp <= 0.2 THEN '(-Inf,0.2]' WHEN lp <= 0.7 THEN '(0.2,0.7
 def risk_group_calibration(spark, sf):
     """Observed curves of groups of mean predictor next to the model's curves."""
     lp = R.linear_predictor(age_varying_model())
-    split = S.interval_split(X.spells(spark, sf), CUTS)
+    split = keep(S.interval_split(X.spells(spark, sf), CUTS))
     persons = keep(R.risk_groups(split.withColumn("lp", lp), "lp", [0.2, 0.7, 1.1, 1.5]))
     out = R.calibration(persons, R.baseline_hazard(split, lp))
     return out.select("origin", "risk_group", "time", r6("surv", "surv"))

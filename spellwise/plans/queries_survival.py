@@ -328,3 +328,24 @@ def life_table_curve(spark, sf):
     lx = at.select("sex", F.explode(F.sequence(F.lit(45), F.col("top"))).alias("age"), "count").groupBy("sex", "age").agg(
         F.sum("count").cast("double").alias("lx"))
     return C.life_table_curve(lx, ["sex"]).select("sex", "time", r6("surv", "surv"))
+
+
+_LIFE = f"""
+    SELECT sex, {age('birth_date', 'entry_date')} AS entry_age, {age('birth_date', 'exit_date')} + {HALF_DAY} AS exit_age, event_flag FROM (
+      SELECT i.sex, birth_date, greatest(DATE '1999-01-01', {anniversary('birth_date', '50')}) AS entry_date, least(date_event, DATE '2001-07-01') AS exit_date,
+             event = 'DEATH' AND date_event < DATE '2001-07-01' AS event_flag
+      FROM individuals i JOIN event_log e ON i.id = e.id WHERE event IN ('DEATH', 'LOST') AND date_event >= DATE '1999-01-01')"""
+
+
+@query("life_curve", with_views("""
+    SELECT sex, t AS time, CAST(n AS BIGINT) AS n_risk, CAST(d AS BIGINT) AS n_event,
+           round(CASE WHEN bool_or(d = n) OVER w THEN 0.0 ELSE exp(sum(CASE WHEN d < n THEN ln(1.0::DOUBLE - d / CAST(n AS DOUBLE)) ELSE 0 END) OVER w) END, 6) AS surv
+    FROM (SELECT *, sum(net) OVER v AS n FROM (SELECT sex, t, sum(net) AS net, sum(d) AS d, sum(x) AS x FROM (
+        SELECT sex, round(entry_age, 9) AS t, 1 AS net, 0 AS d, 0 AS x FROM life WHERE entry_age < exit_age AND exit_age >= 50
+        UNION ALL SELECT sex, round(exit_age, 9), -1, CAST(event_flag AS INTEGER), 1 FROM life WHERE entry_age < exit_age AND exit_age >= 50) GROUP BY sex, t)
+      WINDOW v AS (PARTITION BY sex ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE x > 0
+    WINDOW w AS (PARTITION BY sex ORDER BY t ROWS UNBOUNDED PRECEDING)""", life=_LIFE))
+def life_curve(spark, sf):
+    """Survival until death by sex; only terminal events are read."""
+    s = S.life_spells(X.individuals(spark, sf), X.event_log(spark, sf), codes=X.CODES, start="1999-01-01", end="2001-07-01")
+    return C.km(s, ["sex"]).select("sex", "time", "n_risk", "n_event", r6("surv", "surv"))

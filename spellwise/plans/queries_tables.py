@@ -648,6 +648,16 @@ def distinct_rows(spark, sf):
     return X.event_log(spark, sf).select("event", "event_censor", "date_event").distinct()
 
 
+@query("set_difference", with_views("""
+    SELECT event, CAST(date_event AS DATE) AS date_event FROM (SELECT DISTINCT event, date_event FROM event_log WHERE event_censor = 0
+      EXCEPT SELECT event, date_event FROM event_log WHERE event_censor <> 0)"""))
+def set_difference(spark, sf):
+    """Event codes and dates that only occur with certain records."""
+    log = X.event_log(spark, sf)
+    pick = lambda c: log.filter(c).select("event", "date_event")
+    return pick(F.col("event_censor") == 0).subtract(pick(F.col("event_censor") != 0))
+
+
 @query("replicate_rows", """
     SELECT p_partkey, CAST(k AS INTEGER) AS copy FROM part, LATERAL (SELECT unnest(range(1, p_size % 5 + 1)) AS k)""")
 def replicate_rows(spark, sf):
