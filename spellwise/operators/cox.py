@@ -5,7 +5,7 @@ numbers entering, leaving and failing there. A Newton step then needs
 
 * running totals of ``w`` and ``w x`` over time (``w = exp(x b)``): summed per time inside
   each partition, carried over time cells by one row per cell;
-* ``sum w x x'`` weighted with the hazard each row lived through, which replaces a
+* ``sum w x x'`` weighted with the cumulative hazard at each row's time, which replaces a
   ``p x p`` matrix per event time by one weighted cross product per partition.
 
 Only vectors of length ``1 + p + p * p`` and one row per time cell reach the driver.
@@ -214,7 +214,7 @@ def _tie_sums(d: float, s0: float, e0: float, efron: bool) -> np.ndarray:
     return out
 
 
-_STEP = f"{CELL} bigint, time double, g double, dh double, rr double, vec array<double>"
+_STEP = f"{CELL} bigint, time double, haz array<double>, vec array<double>"
 
 
 def _cell_step(p: int, offsets: dict[int, np.ndarray], efron: bool, powers: int):
@@ -238,16 +238,17 @@ def _cell_step(p: int, offsets: dict[int, np.ndarray], efron: bool, powers: int)
                 u[k] += g[i] ** k * resid
                 info[k] -= g[i] ** k * cross
             dh[i], rr[i] = a, b
-        out = pd.DataFrame({CELL: cell, "time": t, "g": g, "dh": dh, "rr": rr})
-        out["vec"] = None
-        total = pd.DataFrame({CELL: [cell], "time": [np.nan], "g": [np.nan], "dh": [0.0], "rr": [0.0],
+        scale = np.column_stack([g**k for k in range(powers)])
+        local = np.hstack([np.cumsum(dh[:, None] * scale, axis=0), rr[:, None] * scale])
+        out = pd.DataFrame({CELL: cell, "time": t, "haz": list(local), "vec": None})
+        total = pd.DataFrame({CELL: [cell], "time": [np.nan], "haz": [local[-1, :powers]],
                               "vec": [np.concatenate([[ll], u.ravel(), info.ravel()])]})
         return pd.concat([out, total], ignore_index=True)
 
     return run
 
 
-def _weighted_cross(beta: np.ndarray, powers: int):
+def _weighted_cross(beta: np.ndarray, powers: int, so_far: dict[int, np.ndarray]):
     """Cross product of x over rows, weighted with the hazard lived through (per power of g)."""
     p = len(beta)
 
@@ -259,8 +260,10 @@ def _weighted_cross(beta: np.ndarray, powers: int):
             x = _matrix(b, p)
             w = np.exp(x @ beta)
             gone, ev = _num(b, "n_out") - _num(b, "n_in"), _num(b, "n_ev")
+            haz = np.asarray(b.column("haz").flatten()).reshape(-1, 2 * powers)
+            start = np.array([so_far[c] for c in b.column(CELL).to_pylist()])
             for k in range(powers):
-                c = w * (_num(b, f"h{k}") * gone - _num(b, f"r{k}") * ev)
+                c = w * ((start[:, k] + haz[:, k]) * gone - haz[:, powers + k] * ev)
                 acc[k] += x.T @ (c[:, None] * x)
         vec = np.concatenate([[0.0], np.zeros(powers * p), acc.ravel()])
         yield pa.RecordBatch.from_arrays([_list(vec[None, :])], names=["vec"])
@@ -294,13 +297,11 @@ def cox_pass(
     offsets = {int(r[CELL]): upto[i] - np.array(r["vec"]) for i, r in enumerate(totals)}
 
     step = sums.groupBy(CELL).applyInPandas(_cell_step(p, offsets, ties == "efron", powers), _STEP).persist()
-    haz = step.filter(F.col("vec").isNull()).withColumn("__all", F.lit(0))
-    for k in range(powers):
-        gk = F.pow("g", F.lit(k))
-        haz = haz.withColumn(f"h{k}", F.col("dh") * gk).withColumn(f"r{k}", F.col("rr") * gk)
-    haz = running_sum(haz, ["__all"], ["time"], {f"h{k}": f"h{k}" for k in range(powers)})
-    lived = risk.join(haz.drop("vec", "g", "dh", "rr", "__all"), [CELL, "time"])
-    cross = lived.mapInArrow(_weighted_cross(beta, powers), "vec array<double>")
+    ends = sorted(step.filter(F.col("vec").isNotNull()).select(CELL, "haz").collect())
+    upto = np.cumsum(np.array([r["haz"] for r in ends]), axis=0)
+    so_far = {int(r[CELL]): upto[i] - np.array(r["haz"]) for i, r in enumerate(ends)}
+    haz = step.filter(F.col("vec").isNull()).drop("vec")
+    cross = risk.join(haz, [CELL, "time"]).mapInArrow(_weighted_cross(beta, powers, so_far), "vec array<double>")
     rows = step.filter(F.col("vec").isNotNull()).select("vec").unionByName(cross)
     flat = rows.select(F.posexplode("vec").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
     vec = flat.set_index("pos")["v"].sort_index().to_numpy()
