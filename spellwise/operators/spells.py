@@ -203,16 +203,16 @@ def multi_state_spells(
     rows = log.withColumn(CELL, F.datediff("date_event", F.lit("1970-01-01").cast("date")))
     rows = neighbours(rows, ["id"], ["date_event", *tie, "event"], lag={"__prev_date": "date_event"})
     last = log.groupBy("id").agg(F.max("date_event").alias("__max_date"))
-    rows = rows.join(last, "id").withColumn(
+    person = indiv.select("id", "birth_date").join(last, "id")
+    rows = rows.join(person, "id").withColumn(
         "t2",
         F.when((F.col("date_event") == F.col("__max_date"))
                & ~F.col("event").isin(*codes.terminal), end_d).otherwise(F.col("date_event")),
     ).withColumn("t1", F.coalesce("__prev_date", start_d))
-    out = rows.join(indiv, "id").select(
+    return rows.select(
         *log.columns, "t1", "t2", age_at("birth_date", "t1").alias("t1_age"),
         age_at("birth_date", "t2").alias("t2_age"),
     )
-    return out
 
 
 def interval_split(
