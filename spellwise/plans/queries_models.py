@@ -381,3 +381,27 @@ def additive_effects(spark, sf):
     """Cumulative effects of an additive-hazards model."""
     out = M.additive_effects(X.spells(spark, sf), M.design({"sex": LEVELS["sex"], "smoker_cat3": LEVELS["smoker_cat3"]}))
     return out.select("term", "time", *[r6(c, c) for c in ("coef", "coef_up", "coef_dn")])
+
+
+_ADD = """SELECT *, sum(CASE WHEN d0 > 0 THEN d0 / n0 ELSE 0 END) OVER w AS b0, sum(d1 / n1 - d0 / n0) OVER w AS b1, sum(d2 / n2 - d0 / n0) OVER w AS b2,
+      sum(d0 / (n0 * n0)) OVER w AS v0, sum(d0 / (n0 * n0) + d1 / (n1 * n1)) OVER w AS v1, sum(d0 / (n0 * n0) + d2 / (n2 * n2)) OVER w AS v2 FROM (
+    SELECT t, d0::DOUBLE AS d0, d1::DOUBLE AS d1, d2::DOUBLE AS d2, (sum(m0) OVER u)::DOUBLE AS n0, (sum(m1) OVER u)::DOUBLE AS n1, (sum(m2) OVER u)::DOUBLE AS n2 FROM (
+      SELECT t, sum(CASE WHEN s = '0' THEN m ELSE 0 END) AS m0, sum(CASE WHEN s = '1' THEN m ELSE 0 END) AS m1, sum(CASE WHEN s = '2' THEN m ELSE 0 END) AS m2,
+             sum(CASE WHEN s = '0' THEN d ELSE 0 END) AS d0, sum(CASE WHEN s = '1' THEN d ELSE 0 END) AS d1, sum(CASE WHEN s = '2' THEN d ELSE 0 END) AS d2 FROM (
+        SELECT smoker_cat3 AS s, round(entry_age, 9) AS t, 1 AS m, 0 AS d FROM spells
+        UNION ALL SELECT smoker_cat3, round(exit_age, 9), -1, CAST(event_flag AS INTEGER) FROM spells) GROUP BY t)
+    WINDOW u AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    WHERE d0 + d1 + d2 > 0 AND n0 > 0 AND n1 > 0 AND n2 > 0 AND n0 + n1 + n2 >= 6 WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)"""
+
+
+def _add_part(term: str, k: int) -> str:
+    return f"""SELECT '{term}' AS term, t AS time, round(b{k}, 6) + 0.0 AS coef, round(b{k} + 1.96::DOUBLE * sqrt(v{k}), 6) + 0.0 AS coef_up,
+        round(b{k} - 1.96::DOUBLE * sqrt(v{k}), 6) + 0.0 AS coef_dn FROM inc"""
+
+
+@query("additive_effects_factor", with_views(
+    " UNION ALL ".join(_add_part(n, k) for k, n in enumerate(["Intercept", "smoker_cat31", "smoker_cat32"])), inc=_ADD))
+def additive_effects_factor(spark, sf):
+    """Additive hazards of one factor: the model is saturated, so rates per level give the same answer."""
+    out = M.additive_effects(X.spells(spark, sf), M.design({"smoker_cat3": LEVELS["smoker_cat3"]}))
+    return out.select("term", "time", *[r6(c, c) for c in ("coef", "coef_up", "coef_dn")])

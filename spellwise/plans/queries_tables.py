@@ -856,3 +856,75 @@ def km_weighted(spark, sf):
     own = X.spells(spark, sf).select("sex", "entry_age", "exit_age", "event_flag", F.lit(1).cast("bigint").alias("weight"))
     c = C.km(own.unionByName(extra), ["sex"], weight="weight")
     return c.select("sex", "time", "n_risk", "n_event", "n_censor", r6("surv", "surv"))
+
+
+# ---------------------------------------------------------------- all dataset variants
+
+_CENSORED = """SELECT id, src, date_event, event FROM {log} WHERE date_event <= DATE '1997-12-31' UNION ALL
+    SELECT id, NULL, DATE '1997-12-31', 'LOST' FROM {log} GROUP BY id HAVING max(date_event) > DATE '1997-12-31' UNION ALL
+    SELECT id, NULL, DATE '1997-12-31', 'NO_ILLNESS' FROM {log} GROUP BY id HAVING min(date_event) > DATE '1997-12-31'"""
+VIEW_GRID = {
+    **VIEW_POP, "topup": _TOPUP,
+    "early_log": "SELECT * FROM event_log WHERE id IN (SELECT id FROM event_log GROUP BY id HAVING year(min(date_event)) < 1998)",
+    "topup_log": "SELECT id, CAST(NULL AS BIGINT) AS src, date_event, event FROM topup",
+    "log_plain": "SELECT id, src, date_event, event FROM event_log",
+    "log_imput": _CENSORED.format(log="early_log"),
+    "log_adj": "SELECT * FROM log_plain UNION ALL SELECT * FROM topup_log",
+    "log_adj_imput": f"SELECT * FROM log_imput UNION ALL {_CENSORED.format(log='topup_log')}",
+    "people_plain": "SELECT id, birth_date FROM individuals",
+    "people_adj": "SELECT id, birth_date FROM individuals UNION ALL SELECT id, birth_date FROM topup",
+}
+
+
+def _variant_sql(kind: str, name: str, log: str, people: str) -> str:
+    if kind == "health":
+        rows = f"""SELECT id, src, date_event, event AS code, CASE WHEN event IN ('ILL1_A', 'ILL1_B', 'DEATH') THEN 'ILL' ELSE event END AS event FROM {log} WHERE event <> 'NO_ILLNESS'"""
+        first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date_event, CASE WHEN event = 'ILL' THEN 0 ELSE 1 END, src NULLS FIRST, code) AS rn FROM ({rows})) WHERE rn = 1"
+        hit = "ILL"
+    else:
+        first, hit = f"SELECT id, date_event, event FROM {log} WHERE event IN ('DEATH', 'LOST')", "DEATH"
+    return f"""SELECT '{name}' AS dataset, count(*) AS n, CAST(sum(CAST(flag AS INTEGER)) AS BIGINT) AS n_event, round(sum(b - a), 4) AS exposure FROM (
+      SELECT {age('birth_date', 'entry')} AS a, {age('birth_date', 'leave')} + CAST(1 AS DOUBLE) / 730.5::DOUBLE AS b, flag FROM (
+        SELECT birth_date, greatest(DATE '1995-01-01', {anniversary('birth_date', '50')}) AS entry, least(d, DATE '1998-01-01') AS leave,
+               ev = '{hit}' AND d < DATE '1998-01-01' AS flag
+        FROM {people} p JOIN (
+          SELECT id, min(date_event) AS d, arg_min(event, (date_event, CASE WHEN event = '{hit}' THEN 0 WHEN event = 'DEATH' THEN 1 ELSE 2 END)) AS ev
+          FROM ({first}) WHERE event IN ('{hit}', 'DEATH', 'LOST') GROUP BY id
+          HAVING NOT bool_or(date_event < DATE '1995-01-01' AND event IN ('DEATH', 'LOST'))) f ON p.id = f.id)) WHERE b >= 50"""
+
+
+def _grid_sql() -> str:
+    parts = []
+    for kind in ("health", "life"):
+        for ind in ("", "_indiimp"):
+            for ev in ("", "_eveimp"):
+                for adj in ("", "_with_adj"):
+                    if ind and adj:
+                        continue
+                    log = "log" + ("_adj" if adj else "") + ("_imput" if ev else ("" if adj else "_plain"))
+                    parts.append(_variant_sql(kind, kind + ev + ind + adj, log, "people_adj" if adj else "people_plain"))
+    return " UNION ALL ".join(parts)
+
+
+@query("dataset_grid", with_views(_grid_sql(), **VIEW_GRID))
+def dataset_grid(spark, sf):
+    """Size, events and exposure of every life and health dataset: imputed persons, imputed events, top-up."""
+    people, log = O.keep(X.individuals(spark, sf)), O.keep(X.event_log(spark, sf))
+    factors = X.imputed(spark, sf).withColumnsRenamed({"alcohol_cat3": "a", "smoker_cat3": "s"})
+    imput = people.join(factors, "id", "left").withColumns({
+        "alcohol_cat3": F.coalesce("a", "alcohol_cat3"), "smoker_cat3": F.coalesce("s", "smoker_cat3")}).drop("a", "s")
+    extra = O.keep(topup(spark, sf))
+    extra_log = extra.select("id", "date_event", "event", F.lit(None).cast("bigint").alias("src"), F.lit(2).alias("event_censor"))
+    cut = lambda df: V.censor_events(df, "1997-12-31", codes=X.CODES, tie=["src"])
+    log_imput = O.keep(cut(V.drop_late_starters(log, 1998)))
+    basic = ["id", "sex", "birth_date"]
+    everyone = P.with_topup(people, extra, basic)
+    people_of = {"": people, "_imput": imput, "_with_adj": everyone}
+    logs = {"": log, "_imput": log_imput, "_with_adj": log.unionByName(extra_log), "_with_adj_imput": log_imput.unionByName(cut(extra_log))}
+    out = None
+    for kind in ("health", "life"):
+        grid = S.dataset_grid(people_of, logs, kind=kind, codes=X.CODES, start=X.START, end=X.END, **({"tie": ["src"]} if kind == "health" else {}))
+        for name, df in grid.items():
+            part = df.select(F.lit(name).alias("dataset"), "event_flag", (F.col("exit_age") - F.col("entry_age")).alias("x"))
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("dataset").agg(F.count("*").alias("n"), F.count_if("event_flag").alias("n_event"), F.round(F.sum("x"), 4).alias("exposure"))
