@@ -484,7 +484,7 @@ def additive_effects(
                 continue
             inv = np.linalg.inv(s2)
             ex, exx = v[i, 2 + q : 2 + q + p], v[i, 2 + q + p :].reshape(p, p)
-            db, dv = inv @ ex, np.einsum("ij,jk,ik->i", inv, exx, inv)
+            db, dv = inv @ ex, np.maximum(np.einsum("ij,jk,ik->i", inv, exx, inv), 0.0)
             rows += [(cell, t[i], names[j], db[j], dv[j]) for j in range(p)]
         return pd.DataFrame(rows, columns=[CELL, "time", "term", "coef", "var"])
 
