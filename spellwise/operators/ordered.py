@@ -67,16 +67,17 @@ def running_sum(
 
 
 def running_min(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], col: str, out: str, *, cell: str = CELL
+    df: DataFrame, by: Sequence[str], order: Sequence[str], mins: Mapping[str, str], *, cell: str = CELL
 ) -> DataFrame:
-    """Running minimum of ``col`` over ``order`` within ``by``."""
+    """Add running minima over ``order`` within ``by`` (new column name to source column)."""
     keys = [*by, cell]
-    totals = df.groupBy(*keys).agg(F.min(col).alias("__m"))
+    totals = df.groupBy(*keys).agg(*[F.min(c).alias(f"__m_{k}") for k, c in mins.items()])
     over_cells = Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, F.min("__m").over(over_cells).alias("__o"))
+    offsets = totals.select(*keys, *[F.min(f"__m_{k}").over(over_cells).alias(f"__o_{k}") for k in mins])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("__l", F.min(col).over(inside))
-    return local.join(offsets, keys, "left").withColumn(out, F.least("__l", "__o")).drop("__l", "__o")
+    local = df.select("*", *[F.min(c).over(inside).alias(f"__l_{k}") for k, c in mins.items()])
+    rest = [c for c in df.columns if c not in mins]
+    return local.join(offsets, keys, "left").select(*rest, *[F.least(f"__l_{k}", f"__o_{k}").alias(k) for k in mins])
 
 
 def neighbours(

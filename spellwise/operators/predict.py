@@ -92,7 +92,7 @@ def step_value(df: DataFrame, curve: DataFrame, at: str, value: str, out: str, *
     both = keep(with_cell(wanted.unionByName(steps).withColumn("v", -F.col("v")), "time", cell_width).withColumn("__all", F.lit(0)))
     from spellwise.operators.ordered import running_min
 
-    low = running_min(both, ["__all"], ["time", "q"], "v", "m").filter(F.col("q") == 1)
+    low = running_min(both, ["__all"], ["time", "q"], {"m": "v"}).filter(F.col("q") == 1)
     found = low.select(F.col("time").alias("__t"), F.greatest(F.lit(0.0), -F.col("m")).alias(out))
     return df.withColumn("__t", at_time(at)).join(found, "__t", "left").drop("__t")
 

@@ -148,15 +148,14 @@ def date_correction_neighbours(spark, sf):
     log = log.withColumn(O.CELL, F.datediff("date_event", X.date("1970-01-01")))
     known = lambda code: F.when(F.col("event") == code, F.col("age_event"))
     # Running age of each condition: the latest one seen so far (ages only grow with time).
-    top = O.keep(log.select("id", "src", "date_event", O.CELL, (-F.coalesce(known("ILL1_A"), F.lit(0.0))).alias("na"),
-                            (-F.coalesce(known("ILL1_B"), F.lit(0.0))).alias("nb")))
-    a = O.running_min(top, ["id"], ["date_event", "src"], "na", "age_a").select("id", "src", (-F.col("age_a")).alias("age_a"))
-    b = O.running_min(top, ["id"], ["date_event", "src"], "nb", "age_b").select("id", "src", (-F.col("age_b")).alias("age_b"))
-    n = O.neighbours(log, ["id"], ["date_event", "src"], lag={"prev": "age_event"}, lead={"nxt": "src"})
-    wide = n.join(a, ["id", "src"]).join(b, ["id", "src"]).select(
-        "id", "src", "date_event", "event", F.when(F.col("nxt").isNull(), 1).otherwise(0).alias("t_last"), "age_a", "age_b",
-        F.col("age_a").alias("age_first"), F.coalesce("prev", E.age_at("birth_date", X.date("1995-01-01"))).alias("time1"),
-        F.col("age_event").alias("time2"))
+    log = O.keep(log.withColumns({"na": -F.coalesce(known("ILL1_A"), F.lit(0.0)), "nb": -F.coalesce(known("ILL1_B"), F.lit(0.0))}))
+    order = ["date_event", "src"]
+    log = O.keep(O.running_min(log, ["id"], order, {"na": "na", "nb": "nb"}))
+    n = O.neighbours(log, ["id"], order, lag={"prev": "age_event"}, lead={"nxt": "src"})
+    wide = n.select(
+        "id", "src", "date_event", "event", F.when(F.col("nxt").isNull(), 1).otherwise(0).alias("t_last"), (-F.col("na")).alias("age_a"),
+        (-F.col("nb")).alias("age_b"), (-F.col("na")).alias("age_first"),
+        F.coalesce("prev", E.age_at("birth_date", X.date("1995-01-01"))).alias("time1"), F.col("age_event").alias("time2"))
     first = X.event_log(spark, sf).filter((F.col("event") == "ILL1_A") & (F.col("id") % 10 < 5)).groupBy("id").agg(
         F.date_sub(F.min("date_event"), 30).alias("new_date"))
     fixes = first.join(birth, "id").select("id", "new_date", E.age_at("birth_date", "new_date").alias("new_age"))

@@ -29,7 +29,7 @@ def test_running_sum_min_and_neighbours(table, width):
     assert got(O.running_sum(x, ["g"], ["t"], {"c": "v"}, inclusive=False), "c") == (by.cumsum() - s["v"]).tolist()
     total = by.transform("sum")
     assert got(O.running_sum(x, ["g"], ["t"], {"c": "v"}, descending=True), "c") == (total - by.cumsum() + s["v"]).tolist()
-    assert got(O.running_min(x, ["g"], ["t"], "v", "m"), "m") == by.cummin().tolist()
+    assert got(O.running_min(x, ["g"], ["t"], {"m": "v"}), "m") == by.cummin().tolist()
     out = O.neighbours(x, ["g"], ["t"], lag={"p": "v"}, lead={"n": "v"}).toPandas().sort_values(["g", "t"])
     pd.testing.assert_series_equal(out["p"].reset_index(drop=True), by.shift(1), check_names=False, check_dtype=False)
     pd.testing.assert_series_equal(out["n"].reset_index(drop=True), by.shift(-1), check_names=False, check_dtype=False)
