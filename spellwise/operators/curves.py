@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spellwise.functions import Z95, level_rank
+from spellwise.functions import Z95
 from spellwise.operators.ordered import CELL, keep, neighbours, running_sum, with_cell
 
 ALL = "__all"
@@ -316,5 +316,5 @@ def curve_wide(curve: DataFrame, on: Sequence[str], key: str, values: Sequence[s
 __all__ = [
     "km", "nelson_aalen", "competing_curves", "transition_hazards", "parse_transition", "residual_expectancy",
     "disease_free_years", "with_each", "scaled_hazard", "thin_curve", "step_lookup", "survival_quantiles",
-    "life_table_curve", "curve_wide", "sweep", "level_rank",
+    "life_table_curve", "curve_wide", "sweep",
 ]

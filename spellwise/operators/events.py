@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spellwise.functions import YEAR_DAYS, age_at, beta_1_2, birth_from_age, hash_uniform
@@ -145,8 +145,6 @@ def exact_split(ids: DataFrame, fraction: float, *, key: str = "id", seed: int =
     h = ids.select(key).distinct().withColumn("__u", hash_uniform(key, seed=seed))
     h = h.withColumn("__slice", F.floor(F.col("__u") * slices))
     hist = h.groupBy("__slice").agg(F.count("*").alias("__n"))
-    from pyspark.sql import Window
-
     w = Window.orderBy("__slice")  # at most 4096 rows
     hist = hist.select(
         "__slice",
@@ -156,18 +154,12 @@ def exact_split(ids: DataFrame, fraction: float, *, key: str = "id", seed: int =
     )
     h = h.join(F.broadcast(hist), "__slice")
     inside = (F.col("__before") < F.col("__want")) & (F.col("__before") + F.col("__n") > F.col("__want"))
-    edge = first_rank(h.filter(inside), key)
+    rank = F.row_number().over(Window.partitionBy("__slice").orderBy("__u", key))
+    edge = h.filter(inside).select(key, (F.col("__before") + rank <= F.col("__want")).alias("train"))
     rest = h.filter(~inside).select(key, (F.col("__before") + F.col("__n") <= F.col("__want")).alias("train"))
     return rest.unionByName(edge)
 
 
-def first_rank(edge: DataFrame, key: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("__slice").orderBy("__u", key))
-    return edge.select(key, (F.col("__before") + rank <= F.col("__want")).alias("train"))
-
-
 def recode(df: DataFrame, column: str, mapping: dict[str, str], *, default: Column | None = None) -> DataFrame:
     """Replace listed values of a column."""
     out = default if default is not None else F.col(column)

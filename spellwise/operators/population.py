@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spellwise.functions import YEAR_DAYS, anniversary, hash_uniform, shift_leap_birthday, whole_age
+from spellwise.functions import HALF_DAY_YEARS, YEAR_DAYS, age_at, anniversary, hash_uniform, shift_leap_birthday, whole_age
 from spellwise.operators.ordered import CELL, running_sum
 from spellwise.operators.vocab import EventCodes
 
@@ -106,8 +106,6 @@ def with_topup(observed: DataFrame, added: DataFrame, columns: Sequence[str], fl
 
 def topup_spells(cells: DataFrame, *, start: str, min_age: int = 50) -> DataFrame:
     """The missing persons as weighted censored spells (mid-year births), instead of one row each."""
-    from spellwise.functions import HALF_DAY_YEARS, age_at
-
     birth = F.make_date((F.col("cohort") - 1).cast("int"), F.lit(7), F.lit(1))
     c = cells.filter(F.col("exits") > 0).withColumn("birth_date", birth)
     c = c.withColumn("entry_date", F.greatest(F.lit(start).cast("date"), anniversary("birth_date", min_age)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spellwise.functions import right_closed_cut, sum_of
 from spellwise.operators.cox import CoxFit, Design, _tie_sums
 from spellwise.operators.curves import at_time, km, with_each
-from spellwise.operators.ordered import CELL, keep, running_sum, with_cell
+from spellwise.operators.ordered import CELL, keep, running_min, running_sum, with_cell
 
 
 def linear_predictor(fit: CoxFit, reference: str = "zero") -> Column:
@@ -90,8 +90,6 @@ def step_value(df: DataFrame, curve: DataFrame, at: str, value: str, out: str, *
     wanted = df.select(at_time(at).alias("time")).distinct().withColumn("v", F.lit(0.0)).withColumn("q", F.lit(1))
     steps = curve.select(at_time("time").alias("time"), F.col(value).alias("v"), F.lit(0).alias("q"))
     both = keep(with_cell(wanted.unionByName(steps).withColumn("v", -F.col("v")), "time", cell_width).withColumn("__all", F.lit(0)))
-    from spellwise.operators.ordered import running_min
-
     low = running_min(both, ["__all"], ["time", "q"], {"m": "v"}).filter(F.col("q") == 1)
     found = low.select(F.col("time").alias("__t"), F.greatest(F.lit(0.0), -F.col("m")).alias(out))
     return df.withColumn("__t", at_time(at)).join(found, "__t", "left").drop("__t")
