@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spellwise.llm import simhash
+from spellwise.llm import mixing, packing, simhash
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,13 @@ def query(fn):
 @query
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"), radius=4, shingle=4)
+
+
+@query
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(read(spark, sf, "documents"))
+
+
+@query
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
