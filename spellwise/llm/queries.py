@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spellwise.llm import mixing, packing, simhash
+from spellwise.llm import mixing, packing, secret_scan, simhash
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf, "documents"))
