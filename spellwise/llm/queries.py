@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spellwise.llm import mixing, packing, secret_scan, simhash
+from spellwise.llm import fingerprints, mixing, packing, secret_scan, simhash
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf, "documents"))
+
+
+@query
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf, "documents"))
