@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spellwise.llm import fingerprints, mixing, packing, secret_scan, simhash
+from spellwise.llm import fingerprints, knn, mixing, packing, secret_scan, simhash
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,24 @@ def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf, "documents"))
+
+
+@query
+def op8_kdtree_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op8_kdtree_topk"] = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ok q, ok c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
