@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellwise.llm import fingerprints, knn, mixing, packing, secret_scan, simhash
+from spellwise.llm import fingerprints, knn, langid, mixing, packing, secret_scan, simhash
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,11 @@ WITH ok AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    held = langid.held_out("doc_id", 4, 2)
+    found = langid.identify(docs.select("doc_id", "text", "lang"), ~held, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", held.alias("held_out"), "lang_id.lang_pred", "lang_id.score")
