@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weight=None, id_col: str = "doc_id", text_col: str = "t
     rows = keyed.join(source, F.col("source").eqNullSafe(F.col("s")))
     at_edge = F.col("slice") == F.col("edge")
     inner = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where(at_edge).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    edge = rows.where(at_edge).repartition("source", "slice").withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("budget") - F.col("start"))))
     rest = rows.where(~F.coalesce(at_edge, F.lit(False))).withColumn(
         "part", F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(0)
