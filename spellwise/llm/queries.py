@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellwise.llm import fingerprints, knn, langid, mixing, packing, secret_scan, simhash
+from spellwise.llm import fingerprints, knn, langid, mixing, packing, secret_scan, simhash, toxicity
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,12 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     held = langid.held_out("doc_id", 4, 2)
     found = langid.identify(docs.select("doc_id", "text", "lang"), ~held, public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", held.alias("held_out"), "lang_id.lang_pred", "lang_id.score")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    held = langid.held_out("doc_id", 5, 0)
+    rated = toxicity.rate(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "labels"), ~held)
+    return rated.select(
+        "doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
