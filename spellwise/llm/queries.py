@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellwise.llm import fingerprints, knn, langid, mixing, packing, secret_scan, simhash, toxicity
+from spellwise.llm import fingerprints, knn, langid, mixing, packing, secret_scan, simhash, toxicity, wrappers
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return rated.select(
         "doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf, "pages"))
