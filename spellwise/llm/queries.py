@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellwise.llm import fingerprints, knn, langid, mixing, packing, secret_scan, simhash, toxicity, wrappers
+from spellwise.llm import fingerprints, knn, langid, lm, mixing, packing, secret_scan, simhash, toxicity, wrappers
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return wrappers.extract(read(spark, sf, "pages"))
+
+
+@query
+def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score(read(spark, sf, "documents"), langid.held_out("doc_id", 7, 2), langid.held_out("doc_id", 7, 6))
