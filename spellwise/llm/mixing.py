@@ -110,3 +110,26 @@ def mix(docs: DataFrame, weight=None, id_col: str = "doc_id", text_col: str = "t
         F.col("epochs").cast("int").alias("epochs"), "part",
     ]
     return edge.select(*columns).unionByName(rest.select(*columns))
+
+
+def drawn(docs: DataFrame, weight=None) -> DataFrame:
+    """`docs` as the mix takes them: each row `epochs` times, and once more if it is drawn for the fraction; the row at
+    a source's border then holds its first `part` words, joined by spaces.
+
+    Rows meet their share by id and by size: repeated rows of one id and text draw the same share each.
+    """
+    columns = docs.columns
+    share = mix(docs, weight).where("taken > 0").groupBy("doc_id", F.col("source").alias("__s"), F.col("size").alias("__size")).agg(
+        F.max("epochs").alias("__epochs"), F.max("part").alias("__part")
+    )
+    share = share.withColumnRenamed("doc_id", "__d")
+    sized = docs.withColumn("__n", words("text"))
+    taken = sized.join(
+        share, sized["doc_id"].eqNullSafe(F.col("__d")) & sized["source"].eqNullSafe(F.col("__s")) & (F.col("__n") == F.col("__size"))
+    )
+    whole = F.col("__epochs") + F.when(F.col("__part") == F.col("__n"), 1).otherwise(0)
+    some = (F.col("__part") > 0) & (F.col("__part") < F.col("__n"))
+    copies = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.when(some, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("__part").cast("int")), " ")
+    out = taken.withColumn("__cut", F.explode(copies))
+    return out.withColumn("text", F.when(F.col("__cut"), cut).otherwise(F.col("text"))).select(*columns)
