@@ -187,15 +187,19 @@ def has_main(node: Node) -> bool:
 def blocks(page: Node, wrapper: Node | None, many: bool) -> list[str]:
     """The page's article blocks, read along the host's wrapper.
 
-    Where the wrapper has a main element, its blocks; else the blocks that fall into the wrapper's slots (all blocks, where
-    the wrapper knows one page only)."""
-    out: list[str] = []
+    Where the page has a main element, its blocks; else those that are no template text: what stands unchanged on every
+    page of the host is left out, unless nothing would remain (a host of copies, or of one page)."""
     by_main = has_main(page)
+    own: list[str] = []
+    every: list[str] = []
 
-    def walk(node: Node, w: Node | None, inside: bool) -> None:
+    def walk(node: Node, w: Node | None, inside: bool, always: bool) -> None:
+        always = always and w is not None and not w.optional
         if node.label == "#text":
-            if inside if by_main else (not many or w is None or w.text is None):
-                out.append(node.text)
+            if inside or not by_main:
+                every.append(node.text)
+                if by_main or not (many and always and w.text is not None):
+                    own.append(node.text)
             return
         if aside(node.label, inside):
             return
@@ -205,12 +209,12 @@ def blocks(page: Node, wrapper: Node | None, many: bool) -> list[str]:
         known = w.children if w else []
         for child in node.children:
             k = next((k for k in range(at, len(known)) if known[k].label == child.label), None)
-            walk(child, known[k] if k is not None else None, inside)
+            walk(child, known[k] if k is not None else None, inside, always)
             if k is not None:
                 at = k if known[k].repeated else k + 1
 
-    walk(page, wrapper, False)
-    return out
+    walk(page, wrapper, False, True)
+    return own or every
 
 
 def host_of(url: Column) -> Column:
