@@ -2,8 +2,8 @@
 
 Rows are dealt evenly to shards; each shard splits its vectors at medians into leaves with tight bounding boxes. A
 box bounds every inner product with a query from above, so a best-first walk over the tree may stop at the first
-box below the query's k-th best score. Shards run in two waves: the first SEED_SHARE of them gives every query
-a k-th score that holds for all rows, and the others start from it.
+box below the query's k-th best score. Shards are met in two waves: each query first meets one of them, which gives
+it a k-th score that holds for all rows, and then the others, starting from that score.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SHARD = 8192
 LEAF = 64
 #: Queries that meet a shard at a time.
 BLOCK = 512
+#: Queries of one group, about.
+QUERIES = 4096
 #: Components beyond this take no part, so that scores fit a long.
 LIMIT = float(1 << 24)
 
@@ -135,18 +137,22 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     shards = max(1, -(-slim.count() // SHARD))
     # ids are hashed with a random-like salt of the vector, so copies and neighbours spread evenly
     dealt = slim.select("n", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    queries = slim.where("q").select("n", "vec_id", "v").distinct()
-    kinds = dealt.select("n").distinct()
-    queries = queries.join(kinds, "n", "left_semi")
-    asked = queries.withColumn("floor", F.lit(-(1 << 62)))
-    first = settle(_meet(dealt.where("shard = 0"), asked.withColumn("shard", F.lit(0)), k))
+    queries = settle(slim.where("q").select("n", "vec_id", "v").distinct())
+    blocks = max(1, -(-queries.count() // QUERIES))
+    queries = queries.withColumns({
+        "block": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"),
+        "home": F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)).cast("int"),
+    })
+    # a group is one shard and one block of queries, both bounded whatever the table's size
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = settle(_meet(dealt, queries.withColumns({"floor": F.lit(-(1 << 62)), "shard": F.col("home")}), k))
     # the k-th score of the first wave bounds every later one from below
     worst = first.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("low")).where(F.col("have") >= k)
-    asked = queries.join(worst.select(F.col("query_id").alias("vec_id"), "low"), "vec_id", "left").select(
-        "n", "vec_id", "v", F.coalesce("low", F.lit(-(1 << 62))).alias("floor")
+    asked = queries.join(worst.select(F.col("query_id").alias("w"), "low"), F.col("vec_id") == F.col("w"), "left")
+    asked = asked.withColumn("floor", F.coalesce("low", F.lit(-(1 << 62)))).withColumn(
+        "shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home")))
     )
-    rest = asked.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1)))) if shards > 1 else None
-    found = first if rest is None else first.union(_meet(dealt.where("shard > 0"), rest, k))
+    found = first.union(_meet(dealt, asked, k)) if shards > 1 else first
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     out = best.select("query_id", "rank", "vec_id", "score")
@@ -158,9 +164,10 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
 
 
 def _meet(dealt: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    asked = asked.select([F.col(c).alias(f"q_{c}") for c in asked.columns])  # both sides stem from one table
+    columns = ["shard", "block", "n", "vec_id", "v", "floor"]
+    asked = asked.select([F.col(c).alias(f"q_{c}") for c in columns])  # both sides stem from one table
     return (
-        dealt.groupBy("shard", "n")
-        .cogroup(asked.groupBy("q_shard", "q_n"))
+        dealt.groupBy("shard", "block", "n")
+        .cogroup(asked.groupBy("q_shard", "q_block", "q_n"))
         .applyInPandas(_searcher(k), "query_id long, vec_id long, score long")
     )

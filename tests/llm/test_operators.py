@@ -340,6 +340,7 @@ def test_toxicity(spark):
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(knn, "SHARD", 100)
     monkeypatch.setattr(knn, "LEAF", 8)
+    monkeypatch.setattr(knn, "QUERIES", 4)
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(500, 6)).round(2)
     vectors[100:180] = vectors[100]  # copies: ties by id
