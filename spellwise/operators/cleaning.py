@@ -56,13 +56,20 @@ def region_lookup(df: DataFrame, dim: DataFrame, *, key: str, value: str, sex_co
     return attach_dim(df, d.select(key, value), key)
 
 
-def attach_dim(df: DataFrame, dim: DataFrame, key: str | Sequence[str], suffix: str = "_dim") -> DataFrame:
-    """Left join on a dimension; clashing columns get a suffix, one match per key is kept."""
+def attach_dim(
+    df: DataFrame, dim: DataFrame, key: str | Sequence[str], suffix: str = "_dim", *, first: bool = False
+) -> DataFrame:
+    """Left join on a dimension; clashing columns get a suffix.
+
+    A key that the dimension holds twice doubles the rows, as a join does: :func:`duplicate_keys` tells beforehand.
+    With ``first`` only the least match of each key is kept.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in dim.columns if c not in keys]
-    one = dim.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__d"))
-    right = one.select(*keys, *[F.col(f"__d.{c}").alias(c + suffix if c in df.columns else c) for c in rest])
-    return df.join(right, keys, "left")
+    named = [(c, c + suffix if c in df.columns else c) for c in rest]
+    if first:
+        dim = dim.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__d")).select(*keys, *[F.col(f"__d.{c}").alias(c) for c in rest])
+    return df.join(dim.select(*keys, *[F.col(c).alias(n) for c, n in named]), keys, "left")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -71,8 +78,8 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def correct_event_date(log: DataFrame, corrections: DataFrame, code: str) -> DataFrame:
-    """Replace the date of one event code where a correction row exists."""
-    fix = corrections.groupBy("id", "event").agg(F.min("date_event").alias("__new"))
+    """Replace the date of one event code where a correction row exists; two corrections of one event give two rows."""
+    fix = corrections.select("id", "event", F.col("date_event").alias("__new"))
     new = F.when((F.col("event") == code) & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("date_event"))
     return log.join(fix, ["id", "event"], "left").withColumn("date_event", new).select(*log.columns)
 

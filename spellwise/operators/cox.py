@@ -103,6 +103,7 @@ class CoxFit:
     n_event: int
     score: np.ndarray
     ties: str
+    converged: bool = True
 
     def filled(self) -> np.ndarray:
         return np.nan_to_num(self.coef)
@@ -127,7 +128,7 @@ def risk_table(
     rows = rows.groupBy(*d.base, CELL, "time").agg(*[F.sum(c).alias(c) for c in ("n_in", "n_out", "n_ev")])
     spread = F.xxhash64(*d.base)
     rows = rows.repartitionByRange("time", spread).sortWithinPartitions("time")
-    return keep(rows.select(CELL, "time", "n_in", "n_out", "n_ev", d.x().alias("x")))
+    return rows.select(CELL, "time", "n_in", "n_out", "n_ev", d.x().alias("x"))
 
 
 def _matrix(batch: pa.RecordBatch, p: int) -> np.ndarray:
@@ -345,7 +346,7 @@ def cox_fit(
     ll, u, info = cox_pass(risk, beta, ties=ties)
     start, score0 = ll, u
     kept = _independent(info)
-    done = 0
+    done, converged = 0, False
     for done in range(1, max_iter + 1):
         step = np.zeros(p)
         step[kept] = np.linalg.solve(info[np.ix_(kept, kept)], u[kept])
@@ -358,17 +359,20 @@ def cox_fit(
             new = beta + step
             ll2, u2, info2 = cox_pass(risk, new, ties=ties)
         if not ll2 >= ll - 1e-9 * abs(ll):
-            break
+            break  # no step rises any more: not converged
         small = abs(ll2 - ll) <= eps * abs(ll2)
         beta, ll, u, info = new, ll2, u2, info2
+        still = _independent(info)
+        kept = np.intersect1d(kept, still)  # columns that became redundant on the way
         if small:
+            converged = True
             break
     risk.unpersist()
     vcov = np.zeros((p, p))
     vcov[np.ix_(kept, kept)] = np.linalg.inv(info[np.ix_(kept, kept)])
     coef = np.full(p, np.nan)
     coef[kept] = beta[kept]
-    return CoxFit(d, coef, vcov, (start, ll), done, means, int(head["n"]), int(head["d"]), score0, ties)
+    return CoxFit(d, coef, vcov, (start, ll), done, means, int(head["n"]), int(head["d"]), score0, ties, converged)
 
 
 def given_model(d: Design, coef: Mapping[str, float], vcov: np.ndarray | None = None, ties: str = "breslow") -> CoxFit:
@@ -379,7 +383,7 @@ def given_model(d: Design, coef: Mapping[str, float], vcov: np.ndarray | None =
 
 
 def tidy_fit(fit: CoxFit, spark, *, exponentiate: bool = True) -> DataFrame:
-    """Columns: term, estimate (hazard ratio), std_error, statistic, p_value, conf_low, conf_high."""
+    """Columns: term, estimate (hazard ratio), std_error, statistic, p_value, conf_low, conf_high, converged."""
     from math import erfc, exp, inf, isnan, sqrt
 
     def safe_exp(v: float) -> float:
@@ -389,20 +393,22 @@ def tidy_fit(fit: CoxFit, spark, *, exponentiate: bool = True) -> DataFrame:
     for i, name in enumerate(fit.design.names):
         b = float(fit.coef[i])
         if isnan(b):
-            rows.append((name, None, None, None, None, None, None))
+            rows.append((name, None, None, None, None, None, None, fit.converged))
             continue
         se = sqrt(max(fit.vcov[i, i], 0.0))
         z = b / se if se > 0 else None
         f = safe_exp if exponentiate else float
-        rows.append((name, f(b), se, z, erfc(abs(z) / sqrt(2)) if z is not None else None, f(b - Z95 * se), f(b + Z95 * se)))
+        rows.append((name, f(b), se, z, erfc(abs(z) / sqrt(2)) if z is not None else None, f(b - Z95 * se), f(b + Z95 * se), fit.converged))
     return spark.createDataFrame(
-        rows, "term string, estimate double, std_error double, statistic double, p_value double, conf_low double, conf_high double")
+        rows, "term string, estimate double, std_error double, statistic double, p_value double, conf_low double, conf_high double, converged boolean")
 
 
 def score_and_information(spells: DataFrame, d: Design, beta: np.ndarray | None = None, *, ties: str = "breslow", **kw) -> DataFrame:
     """Score and information at a given coefficient vector as rows (row, col, value); col ``score`` and ``loglik`` included."""
     b = np.zeros(len(d.names)) if beta is None else beta
-    ll, u, info = cox_pass(risk_table(spells, d, **kw), b, ties=ties)
+    risk = risk_table(spells, d, **kw).persist()
+    ll, u, info = cox_pass(risk, b, ties=ties)
+    risk.unpersist()
     rows = [("loglik", "loglik", float(ll))]
     rows += [(n, "score", float(u[i])) for i, n in enumerate(d.names)]
     rows += [(a, c, float(info[i, j])) for i, a in enumerate(d.names) for j, c in enumerate(d.names) if i <= j]
@@ -415,7 +421,9 @@ def ph_test(spells: DataFrame, fit: CoxFit, *, transform: str = "km", **kw) -> l
     Returns (factor, chi-square, degrees of freedom).
     """
     d = fit.design
-    _, u, info = cox_pass(risk_table(spells, d, **kw), fit.filled(), ties=fit.ties, powers=3, transform=transform)
+    risk = risk_table(spells, d, **kw).persist()
+    _, u, info = cox_pass(risk, fit.filled(), ties=fit.ties, powers=3, transform=transform)
+    risk.unpersist()
     ok = ~np.isnan(fit.coef)
     idx = np.flatnonzero(ok)
     i0, i1, i2 = (m[np.ix_(idx, idx)] for m in info)

@@ -249,16 +249,20 @@ def disease_free_years(curve: DataFrame, ages: Sequence[float], by: Sequence[str
     return out
 
 
-def with_each(df: DataFrame, small: DataFrame, salts: int = 8) -> DataFrame:
-    """Every row of ``df`` with every row of a parameter table (risk groups, regions).
+def with_each(df: DataFrame, small: DataFrame, most: int = 4096) -> DataFrame:
+    """Every row of ``df`` with every row of a parameter table (risk groups, regions, profiles) of at most ``most`` rows.
 
-    An equality join on a salt: each parameter row lives in one salt, each row of
-    ``df`` visits all of them, so the pairs spread evenly and Spark may broadcast the
-    parameter table whenever it measures it to be small.
+    The parameters are read, their number is checked, and each row of ``df`` unfolds them from a literal array
+    where it lies: no join, no shuffle.
     """
-    left = df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = small.withColumn("__salt", F.pmod(F.xxhash64(*small.columns), F.lit(salts)).cast("int"))
-    return left.join(right, "__salt").drop("__salt")
+    rows = small.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} parameter rows")
+    kinds = {f.name: f.dataType for f in small.schema.fields}
+    each = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in rows]
+    if not each:
+        return df.filter(F.lit(False)).select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+    return df.select("*", F.inline(F.array(*each)))
 
 
 def scaled_hazard(curve: DataFrame, factors: DataFrame, factor: str = "estimate") -> DataFrame:

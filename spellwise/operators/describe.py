@@ -14,12 +14,10 @@ from spellwise.operators.ordered import CELL, keep, running_sum, with_cell
 def frequency_share(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Count and share of each value (within ``by``)."""
     n = df.groupBy(*by, col).agg(F.count("*").alias("n"))
-    total = df.groupBy(*by).agg(F.count("*").alias("__t"))
     if not by:
-        n, total, by_ = n.withColumn("__k", F.lit(1)), total.withColumn("__k", F.lit(1)), ["__k"]
-    else:
-        by_ = list(by)
-    return n.join(total, by_).select(*by, col, "n", (F.col("n") / F.col("__t")).alias("p"))
+        return n.select(col, "n", (F.col("n") / df.agg(F.count("*")).scalar()).alias("p"))
+    total = df.groupBy(*by).agg(F.count("*").alias("__t"))
+    return n.join(total, list(by)).select(*by, col, "n", (F.col("n") / F.col("__t")).alias("p"))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str], *, cell_width: float) -> DataFrame:

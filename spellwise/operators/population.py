@@ -16,9 +16,14 @@ SOURCE_POPULATION = 18440022
 TOP_AGE = 99
 
 
+def population_scale(individuals: DataFrame, source: int = SOURCE_POPULATION) -> float:
+    """Persons of the source population for each person of the table."""
+    return source / individuals.count()
+
+
 def exit_or_end(indiv: DataFrame, log: DataFrame, *, end: str, codes: EventCodes = EventCodes()) -> DataFrame:
     """All persons with their death, or with the end of the study when there is none."""
-    death = log.filter(F.col("event") == codes.death).select("id", "date_event", "event")
+    death = log.filter(F.col("event") == codes.death).groupBy("id").agg(F.min("date_event").alias("date_event"), F.first("event").alias("event"))
     return death.join(indiv, "id", "right").withColumns({
         "date_event": F.coalesce("date_event", F.lit(end).cast("date")),
         "event": F.coalesce("event", F.lit(codes.lost)),
@@ -104,16 +109,14 @@ def with_topup(observed: DataFrame, added: DataFrame, columns: Sequence[str], fl
     return both.select(*columns, flag)
 
 
-def topup_spells(cells: DataFrame, *, start: str, min_age: int = 50) -> DataFrame:
-    """The missing persons as weighted censored spells (mid-year births), instead of one row each."""
-    birth = F.make_date((F.col("cohort") - 1).cast("int"), F.lit(7), F.lit(1))
-    c = cells.filter(F.col("exits") > 0).withColumn("birth_date", birth)
-    c = c.withColumn("entry_date", F.greatest(F.lit(start).cast("date"), anniversary("birth_date", min_age)))
-    c = c.withColumn("exit_date", F.make_date(F.col("year").cast("int"), F.lit(12), F.lit(31)))
-    return c.filter(F.col("entry_date") <= F.col("exit_date")).select(
+def topup_spells(cells: DataFrame, *, start: str, min_age: int = 50, seed: int = 1) -> DataFrame:
+    """The missing persons of :func:`topup_rows` as weighted censored spells, one per sex, birth day and exit."""
+    people = topup_rows(cells, id_start=0, seed=seed).groupBy("sex", "birth_date", "date_event").agg(F.count("*").alias("weight"))
+    c = people.withColumn("entry_date", F.greatest(F.lit(start).cast("date"), anniversary("birth_date", min_age)))
+    return c.filter(F.col("entry_date") <= F.col("date_event")).select(
         "sex", age_at("birth_date", "entry_date").alias("entry_age"),
-        (age_at("birth_date", "exit_date") + F.lit(HALF_DAY_YEARS)).alias("exit_age"),
-        F.lit(False).alias("event_flag"), F.col("exits").alias("weight"),
+        (age_at("birth_date", "date_event") + F.lit(HALF_DAY_YEARS)).alias("exit_age"),
+        F.lit(False).alias("event_flag"), "weight",
     )
 
 

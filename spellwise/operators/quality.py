@@ -32,8 +32,7 @@ def quality_volume(
     young = F.coalesce(age_at("birth_date", "ill") < min_age, F.lit(False))
     log_side = per.join(indiv.select("id", "birth_date"), "id", "left").agg(
         F.count("*").alias("n_persons"), F.count_if(F.col("lost") | young).alias("n_excluded"))
-    have = spells.agg(F.count("*").alias("n_spells"))
-    one = have.withColumn("k", F.lit(1)).join(log_side.withColumn("k", F.lit(1)), "k").drop("k")
+    one = log_side.withColumn("n_spells", spells.agg(F.count("*")).scalar())
     expected = F.col("n_persons") - F.col("n_excluded")
     return one.select("n_spells", "n_persons", "n_excluded", expected.alias("n_expected"),
                       (F.col("n_spells") == expected).alias("cond"))

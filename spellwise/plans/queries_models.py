@@ -13,7 +13,7 @@ from spellwise.operators import spells as S
 from spellwise.operators.events import exact_split, keep_persons
 from spellwise.operators.ordered import keep
 from spellwise.plans import fixtures as X
-from spellwise.plans.oracle_views import with_views
+from spellwise.plans.oracle_views import uniform, with_views
 from spellwise.plans.queries_survival import AGES, CUTS, VIEW_SPLIT, disfle_sql, knots_sql, r6, spells_cr  # noqa: F401
 from spellwise.plans.registry import query
 
@@ -155,15 +155,25 @@ _BH_TT = f"""SELECT *, d / s0 AS dh, sum(d / s0) OVER (ORDER BY t ROWS UNBOUNDED
         SELECT t, sum(net) AS net, sum(d) AS d, sum(x) AS x FROM (
           SELECT round(entry_age, 9) AS t, exp({_LP_TT}) AS net, 0 AS d, 0 AS x FROM split
           UNION ALL SELECT round(exit_age, 9), -exp({_LP_TT}), CAST(event_flag AS INTEGER), 1 FROM split) GROUP BY t)) WHERE x > 0"""
-_PROFILES = """SELECT *, CASE lvl WHEN 0 THEN 'Lowest' WHEN 1 THEN 'Intermediate' ELSE 'Highest' END AS profile FROM (
+#: Every combination of the levels, whatever people have.
+_GRID = "SELECT * FROM " + ", ".join(
+    "(VALUES " + ", ".join(f"('{v}')" for v in levels) + f") AS v{i}({name})" for i, (name, levels) in enumerate(LEVELS.items()))
+_PROFILES = f"""SELECT *, CASE lvl WHEN 0 THEN 'Lowest' WHEN 1 THEN 'Intermediate' ELSE 'Highest' END AS profile FROM (
       SELECT *, CAST(obesity_cat3 = '2' AS INTEGER) + CAST(alcohol_cat3 = '2' AS INTEGER) + CAST(smoker_cat3 = '2' AS INTEGER) AS lvl FROM (
-        SELECT DISTINCT sex, obesity_cat3, alcohol_cat3, smoker_cat3 FROM individuals
-        WHERE obesity_cat3 <> '1' AND alcohol_cat3 <> '1' AND smoker_cat3 <> '1')) WHERE lvl < 3"""
+        {_GRID} WHERE obesity_cat3 <> '1' AND alcohol_cat3 <> '1' AND smoker_cat3 <> '1')) WHERE lvl < 3"""
+
+
+def level_grid(spark, levels):
+    """Every combination of the levels."""
+    grid = spark.range(1).select()
+    for name, values in levels.items():
+        grid = grid.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return grid
 
 
 def profiles(spark, sf):
-    """Risk profiles among the combinations people really have: none, one or two severe factors."""
-    i = X.individuals(spark, sf).select(*LEVELS).distinct()
+    """Risk profiles: no, one or two severe factors, for every combination of the levels."""
+    i = level_grid(spark, LEVELS)
     risk = ["obesity_cat3", "alcohol_cat3", "smoker_cat3"]
     for c in risk:
         i = i.filter(F.col(c) != "1")
@@ -187,7 +197,7 @@ def profile_survival(spark, sf):
     return out.select("profile", *LEVELS, "time", r6("cumhaz", "cumhaz"), r6("surv", "surv"))
 
 
-_ALL_PROFILES = "SELECT DISTINCT sex, obesity_cat3, alcohol_cat3, smoker_cat3 FROM individuals"
+_ALL_PROFILES = _GRID
 _PSURV = f"""SELECT sex || obesity_cat3 || alcohol_cat3 || smoker_cat3 AS k, t, exp(-cumhaz * exp({_LP})) AS surv FROM bh, allprofs"""
 _EXP = f"SELECT substr(k, 1, 1) AS sex, substr(k, 2, 1) AS obesity_cat3, substr(k, 3, 1) AS alcohol_cat3, substr(k, 4, 1) AS smoker_cat3, expectancy FROM ({disfle_sql('psurv', 'k', ages='(50.0::DOUBLE)')})"
 _EXP_VIEWS = dict(bh=_BH, allprofs=_ALL_PROFILES, psurv=_PSURV, knots=knots_sql("psurv", "k"), expect=_EXP)
@@ -195,14 +205,14 @@ _EXP_VIEWS = dict(bh=_BH, allprofs=_ALL_PROFILES, psurv=_PSURV, knots=knots_sql(
 
 def expectancies(spark, sf):
     m = fixed_model()
-    people = X.individuals(spark, sf).select(*LEVELS).distinct()
+    people = level_grid(spark, LEVELS)
     curves = R.path_survival(baseline(spark, sf), people, list(LEVELS), R.linear_predictor(m))
     return C.residual_expectancy(keep(curves), [50.0], list(LEVELS), max_age=100.0)
 
 
 @query("profile_expectancy", with_views("SELECT sex, obesity_cat3, alcohol_cat3, smoker_cat3, round(expectancy, 6) AS expectancy FROM expect", **_EXP_VIEWS))
 def profile_expectancy(spark, sf):
-    """Expected age at the end of disease-free life, from 50, for every risk profile people have."""
+    """Expected age at the end of disease-free life, from 50, for every risk profile."""
     return expectancies(spark, sf).select(*LEVELS, r6("expectancy", "expectancy"))
 
 
@@ -220,15 +230,25 @@ def expectancy_model(spark, sf):
     return out.select("term", r6("estimate", "estimate"))
 
 
+_HELD = f"""SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {uniform('CAST(id AS VARCHAR)', 7)}, id) AS rn FROM individuals)
+    WHERE rn > floor(0.6 * (SELECT count(*) FROM individuals))"""
+
+
+def held_out(spark, sf):
+    """Spells of the persons that no model was fitted on."""
+    ids = exact_split(X.individuals(spark, sf), 0.6, seed=7).filter(~F.col("train"))
+    return keep_persons(X.spells(spark, sf), ids)
+
+
 @query("concordance", with_views("""
     SELECT CAST(count(*) FILTER (WHERE i.lp > j.lp) AS DOUBLE) AS concordant, CAST(count(*) FILTER (WHERE i.lp < j.lp) AS DOUBLE) AS discordant,
            CAST(count(*) FILTER (WHERE i.lp = j.lp) AS DOUBLE) AS tied_score,
            round((count(*) FILTER (WHERE i.lp > j.lp) + count(*) FILTER (WHERE i.lp = j.lp) / 2.0::DOUBLE) / count(*), 6) AS concordance
     FROM (SELECT * FROM scored WHERE event_flag) i JOIN scored j
       ON j.a < i.b AND (j.b > i.b OR (j.b = i.b AND NOT j.event_flag))""",
-    scored=f"SELECT id, round(entry_age, 9) AS a, round(exit_age, 9) AS b, event_flag, round({_LP}, 9) AS lp FROM spells"))
+    scored=f"SELECT id, round(entry_age, 9) AS a, round(exit_age, 9) AS b, event_flag, round({_LP}, 9) AS lp FROM spells WHERE id IN (SELECT id FROM heldids)", heldids=_HELD))
 def concordance(spark, sf):
-    s = X.spells(spark, sf).withColumn("lp", R.linear_predictor(fixed_model()))
+    s = held_out(spark, sf).withColumn("lp", R.linear_predictor(fixed_model()))
     out = R.concordance(s, "lp")
     return out.withColumn("concordance", r6("concordance"))
 
@@ -246,12 +266,13 @@ _GROUPS = """CASE WHEN lp <= 0.2 THEN '(-Inf,0.2]' WHEN lp <= 0.7 THEN '(0.2,0.7
     WINDOW w AS (PARTITION BY risk_group ORDER BY t ROWS UNBOUNDED PRECEDING)
     UNION ALL SELECT 'predicted', g.risk_group, t, round(exp(-cumhaz * exp(m)), 6) FROM bht, (SELECT risk_group, avg(lp) AS m FROM persons GROUP BY risk_group) g""",
     bht=_BH_TT, persons=f"""SELECT *, {_GROUPS} AS risk_group FROM (SELECT id, min(entry_age) AS entry_age, max(exit_age) AS exit_age, bool_or(event_flag) AS event_flag,
-      round(avg({_LP_TT}), 9) AS lp FROM split GROUP BY id)""", **VIEW_SPLIT))
+      round(avg({_LP_TT}), 9) AS lp FROM split GROUP BY id)""", heldids=_HELD, wholesplit=VIEW_SPLIT["split"],
+    split="SELECT * FROM wholesplit WHERE id IN (SELECT id FROM heldids)"))
 def risk_group_calibration(spark, sf):
     """Observed curves of groups of mean predictor next to the model's curves."""
     lp = R.linear_predictor(age_varying_model())
-    split = keep(S.interval_split(X.spells(spark, sf), CUTS))
-    persons = keep(R.risk_groups(split.withColumn("lp", lp), "lp", [0.2, 0.7, 1.1, 1.5]))
+    split = S.interval_split(held_out(spark, sf), CUTS).persist()
+    persons = R.risk_groups(split.withColumn("lp", lp), "lp", [0.2, 0.7, 1.1, 1.5]).persist()
     out = R.calibration(persons, R.baseline_hazard(split, lp))
     return out.select("origin", "risk_group", "time", r6("surv", "surv"))
 
@@ -267,22 +288,32 @@ def training(spark, sf):
 
 def tidy(fit, spark):
     out = M.tidy_fit(fit, spark)
-    return out.select("term", *[r6(c, c) for c in out.columns if c != "term"])
+    return out.select("term", *[r6(c, c) for c in out.columns if c not in ("term", "converged")], "converged")
 
 
 @query("cox_coefficients")
 def cox_coefficients(spark, sf):
     """Constant effects on the training persons: risk factors and sex with all pairs, department, social quartiles."""
-    deps = [str(k) for k in range(25)]
-    d = M.design({**LEVELS, "dep": deps, **SOCIAL}, crossed=list(LEVELS))
-    return tidy(M.cox_fit(training(spark, sf), d), spark)
+    return tidy(M.cox_fit(training(spark, sf), constant_design()), spark)
+
+
+DEPARTMENTS = {"dep": [str(k) for k in range(25)]}
+SPLINE_DF = 8
+
+
+def constant_design():
+    return M.design({**LEVELS, **DEPARTMENTS, **SOCIAL}, crossed=list(LEVELS))
+
+
+def age_varying_design(split):
+    """All pairs of risk factors and sex, each of them with a natural spline over the interval, department, social factors."""
+    knots = quantile_knots(split, "tgroup", SPLINE_DF)
+    return M.design({**LEVELS, **DEPARTMENTS, **SOCIAL}, crossed=list(LEVELS), spline=("tgroup", knots), spline_with=list(LEVELS))
 
 
-def age_varying_fit(spark, sf, df_spline=3):
-    split = keep(S.interval_split(training(spark, sf), CUTS))
-    knots = quantile_knots(split, "tgroup", df_spline)
-    d = M.design({**LEVELS, **SOCIAL}, crossed=list(LEVELS), spline=("tgroup", knots), spline_with=list(LEVELS))
-    return M.cox_fit(split, d)
+def age_varying_fit(spark, sf):
+    split = S.interval_split(training(spark, sf), CUTS).persist()
+    return M.cox_fit(split, age_varying_design(split))
 
 
 @query("cox_age_varying")
@@ -292,9 +323,8 @@ def cox_age_varying(spark, sf):
 
 
 def reference_people(spark, sf):
-    """Level combinations people have, at the reference level of the social factors."""
-    i = X.individuals(spark, sf).select(*LEVELS).distinct()
-    return i.withColumns({c: F.lit("0") for c in SOCIAL})
+    """Every combination of the levels, at the reference level of the social factors and of the department."""
+    return level_grid(spark, LEVELS).withColumns({c: F.lit("0") for c in [*SOCIAL, "dep"]})
 
 
 @query("age_effect_grid")
@@ -329,7 +359,7 @@ def cox_time_varying(spark, sf):
 
 
 def cause_fits(spark, sf, causes=("ILL1_A", "ILL1_B")):
-    cr = keep(spells_cr(spark, sf).filter(F.col("entry_age") < F.col("exit_age")))
+    cr = spells_cr(spark, sf).filter(F.col("entry_age") < F.col("exit_age")).persist()
     d = M.design({"sex": LEVELS["sex"], "obesity_cat3": LEVELS["obesity_cat3"]})
     return cr, {c: M.cox_fit(cr, d, event=F.col("cause") == c) for c in causes}
 
@@ -351,29 +381,32 @@ def cause_specific_curves(spark, sf):
     cr, fits = cause_fits(spark, sf)
     lps = {k: R.linear_predictor(f) for k, f in fits.items()}
     bases = {k: R.baseline_hazard(cr, lps[k], ties="efron", event=F.col("cause") == k) for k in fits}
-    people = X.individuals(spark, sf).select("sex", "obesity_cat3").distinct()
+    people = level_grid(spark, {c: LEVELS[c] for c in ("sex", "obesity_cat3")})
     out = R.cause_specific_curves(bases, lps, people, ["sex", "obesity_cat3"])
     return out.select("sex", "obesity_cat3", "time", *[r6(c, c) for c in out.columns if c.startswith(("surv", "cif"))])
 
 
 @query("ph_test")
 def ph_test(spark, sf):
-    """Proportional-hazards test of the constant-effects model."""
-    s = keep(training(spark, sf))
-    fit = M.cox_fit(s, M.design(LEVELS))
-    rows = [(n, float(c), int(k)) for n, c, k in M.ph_test(s, fit)]
-    return spark.createDataFrame(rows, "factor string, chisq double, df int").withColumn("chisq", r6("chisq"))
+    """Proportional-hazards tests of the full constant model and of the full age-varying one."""
+    s = training(spark, sf).persist()
+    split = S.interval_split(s, CUTS).persist()
+    rows = []
+    for name, data, design in (("constant", s, constant_design()), ("age_varying", split, age_varying_design(split))):
+        fit = M.cox_fit(data, design)
+        rows += [(name, n, float(c), int(k), fit.converged) for n, c, k in M.ph_test(data, fit)]
+    out = spark.createDataFrame(rows, "model string, factor string, chisq double, df int, converged boolean")
+    return out.withColumn("chisq", r6("chisq"))
 
 
 @query("survival_cut_model")
 def survival_cut_model(spark, sf):
     """Age-varying model on intervals cut where survival passes even levels."""
-    s = training(spark, sf)
+    s = training(spark, sf).persist()
     q = C.survival_quantiles(C.km(s.filter(F.col("sex") == "F")))
     cuts = sorted({r["time"] for r in q.filter(F.col("time").isNotNull()).select("time").collect()})
-    split = keep(S.interval_split(s, cuts))
-    d = M.design(LEVELS, spline=("tgroup", quantile_knots(split, "tgroup", 3)), spline_with=["sex"])
-    return tidy(M.cox_fit(split, d), spark)
+    split = S.interval_split(s, cuts).persist()
+    return tidy(M.cox_fit(split, age_varying_design(split)), spark)
 
 
 @query("additive_effects")

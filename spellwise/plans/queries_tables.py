@@ -255,10 +255,10 @@ def region_effects(spark, sf):
     coefs = coefs.select(F.concat(F.lit("dep"), F.col("c_nationkey")).alias("term"), "estimate", "p")
     ref = spark.createDataFrame([("dep0", 1.0, None)], "term string, estimate double, p double")
     coefs = coefs.unionByName(ref)
-    base = coefs.agg(F.max(F.when(F.col("term") == "dep7", F.col("estimate"))).alias("base")).withColumn("k", F.lit(1))
-    coefs = coefs.withColumn("k", F.lit(1)).join(base, "k").select(
+    base = coefs.agg(F.max(F.when(F.col("term") == "dep7", F.col("estimate"))))
+    coefs = coefs.select(
         F.regexp_extract("term", "dep([0-9]+)", 1).alias("dep"),
-        E.mask_if_not_significant(F.col("estimate") / F.col("base"), "p").alias("est"))
+        E.mask_if_not_significant(F.col("estimate") / base.scalar(), "p").alias("est"))
     out = coefs.join(X.regions(spark, sf).select("dep", "region"), "dep")
     return out.groupBy("region").agg(r6(F.avg("est"), "estimate"), F.count("est").alias("n_significant"))
 
@@ -767,16 +767,21 @@ def compared(spark, sf):
     return O.keep(P.compare_population(obs, pyramid(obs), years=YEARS, scale=1.2))
 
 
-@query("compare_population", with_views("SELECT year, age, sex, cohort, pop_ref, pop_obs FROM compared", **VIEW_POP))
+@query("compare_population", with_views(f"""
+    SELECT year, age, sex, year - age AS cohort, pop + (age * 37 + year * 11) % 23 AS pop_ref,
+           CAST(round_even({P.SOURCE_POPULATION} / CAST((SELECT count(*) FROM individuals) AS DOUBLE) * pop, 0) AS BIGINT) AS pop_obs
+    FROM pop_obs WHERE age >= 50""", **VIEW_POP))
 def compare_population(spark, sf):
-    return compared(spark, sf)
+    """Observed counts brought to the size of the source population."""
+    obs = O.keep(P.population_1jan(exits(spark, sf), YEARS))
+    return P.compare_population(obs, pyramid(obs), years=YEARS, scale=P.population_scale(X.individuals(spark, sf)))
 
 
 @query("coverage_ratio", with_views("""
     SELECT age, sex, round(sum(pop_obs) / CAST(sum(pop_ref) AS DOUBLE), 6) AS coverage,
            round((sum(pop_ref) - sum(pop_obs)) / CAST(sum(pop_ref) AS DOUBLE), 6) AS missing_share FROM compared GROUP BY age, sex HAVING sum(pop_ref) > 0""", **VIEW_POP))
 def coverage_ratio(spark, sf):
-    c = P.coverage_by_age(compared(spark, sf).filter(F.col("pop_ref") >= 0))
+    c = P.coverage_by_age(compared(spark, sf))
     return c.filter(F.col("pop_ref") > 0).select("age", "sex", r6("coverage", "coverage"), r6("missing_share", "missing_share"))
 
 
@@ -834,8 +839,8 @@ def adjusted_vs_pyramid(spark, sf):
     return P.adjusted_vs_pyramid(people, c, YEARS)
 
 
-_WT = f"""SELECT sex, CAST({age('b', 'e')} AS DOUBLE) AS entry_age, {age('b', 'x')} + CAST(1 AS DOUBLE) / 730.5::DOUBLE AS exit_age, false AS event_flag, exits AS w FROM (
-      SELECT *, make_date(cohort - 1, 7, 1) AS b, greatest(DATE '1995-01-01', {anniversary('make_date(cohort - 1, 7, 1)', '50')}) AS e, make_date(year, 12, 31) AS x FROM cells WHERE exits > 0) WHERE e <= x
+_WT = f"""SELECT sex, CAST({age('birth_date', 'e')} AS DOUBLE) AS entry_age, {age('birth_date', 'date_event')} + CAST(1 AS DOUBLE) / 730.5::DOUBLE AS exit_age, false AS event_flag, 1 AS w FROM (
+      SELECT *, greatest(DATE '1995-01-01', {anniversary('birth_date', '50')}) AS e FROM topup) WHERE e <= date_event
     UNION ALL SELECT sex, entry_age, exit_age, event_flag, 1 FROM spells"""
 
 
@@ -847,7 +852,7 @@ _WT = f"""SELECT sex, CAST({age('b', 'e')} AS DOUBLE) AS entry_age, {age('b', 'x
         SELECT sex, round(entry_age, 9) AS t, w AS e, 0 AS x, 0 AS d FROM weighted WHERE entry_age < exit_age
         UNION ALL SELECT sex, round(exit_age, 9), 0, w, CASE WHEN event_flag THEN w ELSE 0 END FROM weighted WHERE entry_age < exit_age) GROUP BY sex, t)
       WINDOW v AS (PARTITION BY sex ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE x > 0
-    WINDOW w AS (PARTITION BY sex ORDER BY t ROWS UNBOUNDED PRECEDING)""", weighted=_WT, **VIEW_POP))
+    WINDOW w AS (PARTITION BY sex ORDER BY t ROWS UNBOUNDED PRECEDING)""", weighted=_WT, topup=_TOPUP, **VIEW_POP))
 def km_weighted(spark, sf):
     """Curve by sex with the missing population as weighted rows."""
     cells = P.exposure_topup(compared(spark, sf))

@@ -39,18 +39,35 @@ def lower_names(df: DataFrame) -> DataFrame:
 
 
 def read_event_csv(spark: SparkSession, paths: str | Sequence[str], schema: str = EVENT_LOG_DDL, *,
-                   source_column: str | None = None) -> DataFrame:
+                   source_column: str | None = None, bad_column: str | None = None) -> DataFrame:
     """Several typed CSV files with US dates as one table; optionally with each row's file name.
 
-    ``NA`` stands for a missing value. The header is matched by position against the schema.
+    ``NA`` stands for a missing value. Columns are matched by the names in each file's header, in any order and case; a
+    missing one raises, further ones are left out. A record whose values don't fit their types keeps its text in
+    ``bad_column``, if one is named, and else stops the read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = (
-        spark.read.schema(schema).option("header", True).option("dateFormat", US_DATE).option("nullValue", "NA")
-        .option("enforceSchema", True).csv(paths)
-    )
-    if source_column:
-        df = df.withColumn(source_column, F.col("_metadata.file_name"))
+    kinds = {f.name.lower(): f for f in _type_of(spark, schema).fields}
+    df = None
+    for path in paths:
+        head = spark.read.option("header", True).csv(path).columns
+        missing = set(kinds) - {c.strip().lower() for c in head}
+        if missing:
+            raise ValueError(f"{path}: no column {sorted(missing)}")
+        fields = [kinds.get(c.strip().lower()) for c in head]
+        ddl = [f"`c{i}` {f.dataType.simpleString() if f else 'string'}" for i, f in enumerate(fields)]
+        reader = spark.read.option("header", True).option("dateFormat", US_DATE).option("nullValue", "NA")
+        if bad_column:
+            reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_column)
+            ddl.append(f"`{bad_column}` string")
+        else:
+            reader = reader.option("mode", "FAILFAST")
+        part = reader.schema(", ".join(ddl)).csv(path)
+        place = {f.name: f"c{i}" for i, f in enumerate(fields) if f}
+        part = part.select(
+            *[F.col(place[f.name]).alias(f.name) for f in kinds.values()], *([bad_column] if bad_column else []),
+            *([F.col("_metadata.file_name").alias(source_column)] if source_column else []))
+        df = part if df is None else df.unionByName(part)
     return lower_names(df)
 
 
@@ -123,9 +140,7 @@ def attrition_share(df: DataFrame) -> DataFrame:
         "percent": percent(F.col("percent")),
         "percent_of_total": percent(F.col("percent_of_total")),
     })
-    top = out.agg(F.max("pop_size").alias("__top")).withColumn("__k", F.lit(1))
-    out = out.withColumn("__k", F.lit(1)).join(top, "__k").drop("__k")
-    return out.withColumn("share", F.col("pop_size") / F.col("__top")).drop("__top")
+    return out.withColumn("share", F.col("pop_size") / out.agg(F.max("pop_size")).scalar())
 
 
 def read_attrition_csv(spark: SparkSession, path: str) -> DataFrame:
