@@ -124,15 +124,15 @@ def sketch(codes: np.ndarray) -> tuple[int, np.ndarray]:
     return whole, least[:SKETCH]
 
 
-def as_text(print_: tuple[int, np.ndarray]) -> str:
-    return f"{print_[0]:016x}" + print_[1].astype(">u4").tobytes().hex()
+def as_bytes(print_: tuple[int, np.ndarray]) -> bytes:
+    return print_[0].to_bytes(8, "big") + print_[1].astype(">u4").tobytes()
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: bytes, b: bytes) -> float:
     """Share of equal hashes among the least ones of both texts (an estimate of their spans' Jaccard similarity)."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(s[16:]), ">u4") for s in (a, b))
+    x, y = (np.frombuffer(s, ">u4", offset=8) for s in (a, b))
     if not len(x) or not len(y):
         return 0.0
     both = np.union1d(x, y)[:SKETCH]
@@ -144,11 +144,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
-def _row(text: str, following: str, own: tuple[str, str] | None = None):
-    """Columns of one document, and its fingerprint and that of the following one."""
+def _row(text: str, following: str):
+    """Columns of one document that need no more than the following text."""
     new = edited(text, following)
-    a = as_text(sketch(code_points(text)))
-    b = as_text(sketch(code_points(new))) if new != text else a
+    a = as_bytes(sketch(code_points(text)))
+    b = as_bytes(sketch(code_points(new))) if new != text else a
     return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), a, b, likeness(a, b)
 
 
@@ -156,8 +156,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in falling doc_id order; each is finished when the next has come. The first row and the unfinished
     last one leave as edge rows with their texts."""
     names = ["doc_id", "kind", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "pid", "text"]
-    kinds = ["int64", "string", "int64", "string", "string", "string", "float64", "float64", "int32", "string"]
-    schema = pa.schema([(n, {"int64": pa.int64(), "string": pa.string(), "float64": pa.float64(), "int32": pa.int32()}[k]) for n, k in zip(names, kinds)])
+    kinds = ["int64", "string", "int64", "string", "binary", "binary", "float64", "float64", "int32", "string"]
+    schema = pa.schema([(n, {"int64": pa.int64(), "string": pa.string(), "binary": pa.binary(), "float64": pa.float64(), "int32": pa.int32()}[k]) for n, k in zip(names, kinds)])
     held = before = None
     for batch in batches:
         out = []
@@ -175,7 +175,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema)
     out = []
     if held is not None:
-        own = as_text(sketch(code_points(held[1])))
+        own = as_bytes(sketch(code_points(held[1])))
         if before is not None:
             out.append(before[:7] + (likeness(before[4], own),) + before[8:])
         out.append((held[0], "last", None, None, own, None, None, None, held[2], held[1]))
@@ -196,7 +196,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     done = settle(
         ranged.select(F.spark_partition_id().alias("pid"), "doc_id", "text").mapInArrow(
             _run,
-            "doc_id long, kind string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+            "doc_id long, kind string, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
             "near_edited double, near_next double, pid int, text string",
         )
     )
@@ -208,9 +208,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = done.where("kind = 'last'").select("pid", "doc_id", "text").join(ring, "pid").join(first, "then")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     ends = last.select("doc_id", "text", "following").mapInPandas(
-        _ends, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        _ends, "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     )
-    return done.where("kind = 'row'").select(*columns).union(ends)
+    out = done.where("kind = 'row'").select(*columns).union(ends)
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def _ends(frames):
@@ -218,7 +219,7 @@ def _ends(frames):
         rows = []
         for doc_id, text, following in zip(frame["doc_id"], frame["text"], frame["following"]):
             row = _row(text, following)
-            rows.append((doc_id, *row, likeness(row[2], as_text(sketch(code_points(following))))))
+            rows.append((doc_id, *row, likeness(row[2], as_bytes(sketch(code_points(following))))))
         out = frame.iloc[:, :0].assign(**{
             n: [r[i] for r in rows]
             for i, n in enumerate(["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
