@@ -78,8 +78,8 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def correct_event_date(log: DataFrame, corrections: DataFrame, code: str) -> DataFrame:
-    """Replace the date of one event code where a correction row exists; two corrections of one event give two rows."""
-    fix = corrections.select("id", "event", F.col("date_event").alias("__new"))
+    """Replace the date of one event code where a correction row exists, by the earliest if there are several."""
+    fix = corrections.groupBy("id", "event").agg(F.min("date_event").alias("__new"))
     new = F.when((F.col("event") == code) & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("date_event"))
     return log.join(fix, ["id", "event"], "left").withColumn("date_event", new).select(*log.columns)
 

@@ -128,7 +128,7 @@ def risk_table(
     rows = rows.groupBy(*d.base, CELL, "time").agg(*[F.sum(c).alias(c) for c in ("n_in", "n_out", "n_ev")])
     spread = F.xxhash64(*d.base)
     rows = rows.repartitionByRange("time", spread).sortWithinPartitions("time")
-    return rows.select(CELL, "time", "n_in", "n_out", "n_ev", d.x().alias("x"))
+    return keep(rows.select(CELL, "time", "n_in", "n_out", "n_ev", d.x().alias("x")))
 
 
 def _matrix(batch: pa.RecordBatch, p: int) -> np.ndarray:
@@ -272,6 +272,16 @@ def _weighted_cross(beta: np.ndarray, powers: int, so_far: dict[int, np.ndarray]
     return run
 
 
+def _vector_sum(batches):
+    total = None
+    for b in batches:
+        if b.num_rows:
+            part = np.asarray(b.column("vec").flatten()).reshape(b.num_rows, -1).sum(axis=0)
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([_list(total[None, :])], names=["vec"])
+
+
 def cox_pass(
     risk: DataFrame, beta: np.ndarray, *, ties: str = "efron", powers: int = 1, transform: str = "identity"
 ) -> tuple[float, np.ndarray, np.ndarray]:
@@ -304,8 +314,9 @@ def cox_pass(
     haz = step.filter(F.col("vec").isNull()).drop("vec")
     cross = risk.join(haz, [CELL, "time"]).mapInArrow(_weighted_cross(beta, powers, so_far), "vec array<double>")
     rows = step.filter(F.col("vec").isNotNull()).select("vec").unionByName(cross)
-    flat = rows.select(F.posexplode("vec").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
-    vec = flat.set_index("pos")["v"].sort_index().to_numpy()
+    # one vector per partition, then a few of them: never a row per entry
+    rows = rows.mapInArrow(_vector_sum, "vec array<double>").repartition(8).mapInArrow(_vector_sum, "vec array<double>")
+    vec = np.vstack([r["vec"] for r in rows.collect()]).sum(axis=0)
     step.unpersist()
     sums.unpersist()
     u = vec[1 : 1 + powers * p].reshape(powers, p)

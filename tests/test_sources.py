@@ -3,6 +3,8 @@
 import datetime as dt
 import gzip
 
+import pytest
+
 from spellwise.sources import readers as R
 
 
@@ -61,3 +63,17 @@ def test_write_and_read(spark, tmp_path):
 def test_lookup(spark, tmp_path):
     (tmp_path / "l.csv").write_text("Level ,Name\n 1 , a\n")
     assert [tuple(r) for r in R.read_lookup(spark, str(tmp_path / "l.csv"), "Level INT, Name STRING").collect()] == [(1, "a")]
+
+
+def test_event_csv_goes_by_header_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("EVENT,id,extra,DATE_EVENT\nX,7,q,1/31/2010\nY,8,r,12/1/2011\n")
+    (tmp_path / "b.csv").write_text("ID,DATE_EVENT,EVENT\n9,2/3/2012,Z\nNA,bad,W\n")
+    ddl = "DATE_EVENT DATE, EVENT STRING, ID INT"
+    one = [tuple(r) for r in R.read_event_csv(spark, f"{tmp_path}/a.csv", ddl).orderBy("id").collect()]
+    assert [(str(d), e, i) for d, e, i in one] == [("2010-01-31", "X", 7), ("2011-12-01", "Y", 8)]
+    both = R.read_event_csv(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], ddl, bad_column="bad")
+    assert {r["bad"] for r in both.collect()} == {None, "NA,bad,W"}
+    with pytest.raises(Exception):  # noqa: B017
+        R.read_event_csv(spark, f"{tmp_path}/b.csv", ddl).collect()
+    with pytest.raises(ValueError, match="no column"):
+        R.read_event_csv(spark, f"{tmp_path}/a.csv", ddl + ", MALE STRING")
