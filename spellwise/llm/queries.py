@@ -91,3 +91,36 @@ def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(read(spark, sf, "documents"), langid.held_out("doc_id", 7, 2), langid.held_out("doc_id", 7, 6))
+
+
+ORACLES["op2_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST(CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), t)), 1, 13) AS BIGINT) AS DOUBLE) + 1) / CAST(4503599627370497 AS DOUBLE))
+      / greatest(0.05::DOUBLE, 1 - 4 * CAST(length(t) - length(translate(t, '{mixing.SYMBOLS}', '')) AS DOUBLE) / greatest(length(t), 1)) AS key
+  FROM d
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w
+  FROM k GROUP BY source
+), l AS (
+  SELECT *, source_size * 2::DOUBLE / w AS bound,
+    (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - CAST(coalesce(sum(source_size) OVER f, 0) AS DOUBLE) * 2::DOUBLE)
+      / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
+  FROM s WINDOW f AS (ORDER BY source_size * 2::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size,
+    coalesce(least((SELECT arg_min(level, (bound, level)) FROM l WHERE bound >= level) * w, source_size * 2::DOUBLE), source_size * 2::DOUBLE) AS target
+  FROM l
+), b AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t
+), r AS (
+  SELECT k.doc_id, k.source, k.size, b.source_size, b.target, b.epochs, CAST(floor(b.target) AS BIGINT) - b.epochs * b.source_size AS budget,
+    CAST(coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, source, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - start)) AS BIGINT) AS taken,
+  CAST(epochs AS INTEGER) AS epochs, CAST(greatest(0, least(size, budget - start)) AS BIGINT) AS part
+FROM r
+"""
