@@ -124,3 +124,44 @@ SELECT doc_id, source, size, source_size, target, CAST(epochs * size + greatest(
   CAST(epochs AS INTEGER) AS epochs, CAST(greatest(0, least(size, budget - start)) AS BIGINT) AS part
 FROM r
 """
+
+
+def _spans(kind: int, pattern: str, keep: str, value: str = "h[i]") -> str:
+    """Spans of one kind: texts between matches and matches alternate, so their lengths add up to the places."""
+    p = pattern.replace("'", "''")
+    return f"""list_filter(list_transform(range(1, len(h{kind}) + 1), lambda i: struct_pack(
+        "start" := CAST(list_sum(list_transform(g{kind}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h{kind}[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+        kind := {kind}, size := length(h{kind}[i]), "value" := {value.replace('h[i]', f'h{kind}[i]')})), lambda s: {keep})""".replace("{p}", p)
+
+
+def _secret_sql() -> str:
+    quote = lambda p: p.replace("'", "''")
+    assign, opaque = quote(secret_scan.ASSIGN), quote(secret_scan.OPAQUE)
+    hits = ", ".join(
+        f"regexp_extract_all(t, '{quote(p)}') AS h{k}, regexp_split_to_array(t, '{quote(p)}') AS g{k}"
+        for k, p in enumerate((secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX, secret_scan.OPAQUE))
+    )
+    kinds = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
+    joined = lambda x: f"""coalesce(list_aggregate(list_transform({x}, lambda s: concat({kinds}[s.kind + 1], ':', s."start", ':', s."start" + s.size)), 'string_agg', ','), '')"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, doc_id, source, {hits} FROM d),
+n AS (SELECT r, doc_id, source,
+    {_spans(0, '', "length(s.value) >= 12", f"regexp_extract(h[i], '{assign}', 2)")} AS a, {_spans(1, '', 'true')} AS b, {_spans(2, '', 'true')} AS c,
+    {_spans(3, '', "regexp_matches(s.value, '[0-9]') AND regexp_matches(s.value, '[A-Z]') AND regexp_matches(s.value, '[a-z]')")} AS o FROM m),
+e AS (SELECT r, doc_id, source, list_sort(list_concat(a, b, c)) AS base, o FROM n),
+f AS (SELECT r, doc_id, source, base, list_filter(o, lambda x: len(list_filter(base, lambda y: y."start" < x."start" + x.size AND x."start" < y."start" + y.size)) = 0) AS o FROM e),
+u AS (SELECT r, doc_id, source, unnest(list_concat(base, o)) AS s FROM f),
+w AS (SELECT s.value AS v, count(DISTINCT coalesce('s' || source, '')) AS owners FROM u GROUP BY 1),
+j AS (SELECT u.r, list_sort(list(struct_pack("start" := s."start", kind := s.kind, size := s.size,
+      live := owners <= {secret_scan.OWNERS} AND len(list_distinct(string_split(s.value, ''))) >= {secret_scan.VARIETY}))) AS spans FROM u JOIN w ON u.s.value = w.v GROUP BY u.r)
+SELECT doc_id, CAST(len(list_filter(base, lambda s: s.kind = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(base, lambda s: s.kind = 1)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(base, lambda s: s.kind = 2)) AS BIGINT) AS n_hex, sha256({joined('base')}) AS base_sha256,
+  {joined('list_filter(spans, lambda s: s.kind < 3 OR s.live)')} AS spans,
+  CAST(coalesce(len(list_filter(spans, lambda s: s.live)), 0) AS BIGINT) AS n_live,
+  CAST(coalesce(len(list_filter(spans, lambda s: NOT s.live AND s.kind < 3)), 0) AS BIGINT) AS n_copied
+FROM f LEFT JOIN j ON f.r = j.r
+"""
+
+
+ORACLES["op3_secrets"] = _secret_sql()

@@ -74,7 +74,7 @@ def judged(found: DataFrame, owners: int = OWNERS) -> DataFrame:
     own = spans.groupBy("digest", "owner", "doc_id").agg(F.lit(1).alias("one"))
     own = own.groupBy("digest", "owner").agg(F.count("*").alias("n"))
     own = own.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    live = (F.col("n_owners") <= owners) & (F.size(F.array_distinct(F.split("s.value", ""))) > VARIETY)
+    live = (F.col("n_owners") <= owners) & (F.size(F.array_distinct(F.filter(F.split("s.value", ""), lambda c: c != ""))) >= VARIETY)
     each = spans.join(own, "digest").select(
         "doc_id", "print",
         F.struct("s.start", "s.kind", "s.end", live.alias("live"), "n_owners", "n_repositories").alias("span"),
