@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from spellwise.llm.common import settle
 
 #: Tokens of a block, at least (its last text is whole); keys that one task counts, about.
-BLOCK, SHARE = 500_000, 1_000_000
+BLOCK, SHARE = 1_200_000, 1_000_000
 END, START = np.uint64(xxhash.xxh64_intdigest(b" ", 1)), np.uint64(xxhash.xxh64_intdigest(b"  ", 1))
+#: Leading bits of a pair's digest that are kept: of n distinct pairs about n / 2^48 share theirs with another one.
+PAIR_BITS = 48
 TEST, MAIN, FOLD = 0, 1, 2
 #: Width of the cells, in natural logarithms, in which held-out tokens are counted for the weights.
 CELL = 0.1
@@ -50,7 +52,7 @@ def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     h = (context ^ (word * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) + word
     h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+    return (h ^ (h >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS) << np.uint64(64 - PAIR_BITS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
