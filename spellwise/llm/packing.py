@@ -8,6 +8,7 @@ whenever that raises the sum of squared fills, until no bin can be emptied any m
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from spellwise.llm.common import settle
 
 PACK = 16384
+#: Emptiest bins that try to give something away in one turn.
+TRIES = 8
 #: Distinct pre-tokens whose ids a task remembers; a full memory starts anew.
 REMEMBER = 400_000
 
@@ -46,6 +49,7 @@ def encoder(path: str):
     from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
     tok = Tokenizer.from_file(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     cut = regex.compile(PATTERN).findall
@@ -70,13 +74,20 @@ def encoder(path: str):
     return ids
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
+    """Rows of a batch, a few at a time as Python objects."""
+    for i in range(0, batch.num_rows, rows):
+        part = batch.slice(i, rows)
+        yield from zip(*(c.to_pylist() for c in part.columns))
+
+
 def _pieces(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(path)
         salt = 0
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "salt")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in _slices(batch):
                 tokens = np.append(ids(text or ""), np.uint32(end))
                 n = len(tokens)
                 first = n % size or size
@@ -124,59 +135,65 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int = 200) -> list[list[int]]:
+def _exchange(source: list[int], target: list[int], room: int, ln: list[int]):
+    """(growth of target, given, taken): the move, one-for-one or two-for-one exchange that fills `room` best, or None."""
+    have: dict[int, int] = {}
+    for x in target:
+        have.setdefault(ln[x], x)
+    own = sorted(source, key=lambda i: -ln[i])
+    best = None
+    for p, a in enumerate(own):
+        if ln[a] <= room and (best is None or ln[a] > best[0]):
+            best = (ln[a], (a,), ())
+        for n, x in have.items():
+            grow = ln[a] - n
+            if 0 < grow <= room and (best is None or grow > best[0]):
+                best = (grow, (a,), (x,))
+            for b in own[p + 1 :]:
+                both = grow + ln[b]
+                if 0 < both <= room and (best is None or both > best[0]):
+                    best = (both, (a, b), (x,))
+        if best and best[0] == room:
+            break
+    return best
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int = 500) -> list[list[int]]:
     """Empty bins by moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
 
-    The emptiest bin tries to give its pieces away. With a full enough bin T and a piece of it x, an exchange
-    is taken if it fills T more than before, that is: gives T the piece a (or pieces a, b) for a smaller x with the
-    excess at most T's free room. Each exchange raises the squares, so the search ends; `rounds` bounds it.
+    The emptiest bin gives to fuller ones what fills them best; where it can give nothing any more, the next emptiest
+    tries. What a fuller bin gains, squared, outweighs what the emptier one loses, so the search ends; `rounds`
+    bounds the turns. It stops early once the underfull bins' contents can't do with one bin less.
     """
     ln = lengths.tolist()
     fill = [sum(ln[i] for i in b) for b in bins]
-    gain = True
-    turn = 0
-    while gain and turn < rounds:
-        gain = False
-        turn += 1
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: fill[b])
+    under = [b for b in range(len(bins)) if 0 < fill[b] < size]
+    for _ in range(rounds):
+        under = sorted((b for b in under if 0 < fill[b] < size), key=lambda b: (fill[b], b))
         if len(under) < 2 or sum(fill[b] for b in under) > (len(under) - 1) * size:
-            break  # the pieces of these bins can't do with one bin less
-        source = under[0]
-        for target in reversed(under[1:]):
-            if not bins[source]:
+            break
+        gain = False
+        for s, source in enumerate(under[:TRIES]):
+            for target in reversed(under[s + 1 :]):
+                if not bins[source] or fill[target] < fill[source]:
+                    continue
+                best = _exchange(bins[source], bins[target], size - fill[target], ln)
+                if best is None:
+                    continue
+                grow, given, taken = best
+                for i in given:
+                    bins[source].remove(i)
+                    bins[target].append(i)
+                for i in taken:
+                    bins[target].remove(i)
+                    bins[source].append(i)
+                fill[source] -= grow
+                fill[target] += grow
+                gain = True
+            if gain:
                 break
-            room = size - fill[target]
-            have = {}
-            for x in bins[target]:
-                have.setdefault(ln[x], x)
-            own = sorted(bins[source], key=lambda i: -ln[i])
-            best = None  # (growth of target, given, taken)
-            for p, a in enumerate(own):
-                if ln[a] <= room and (best is None or ln[a] > best[0]):
-                    best = (ln[a], (a,), ())
-                for n, x in have.items():
-                    grow = ln[a] - n
-                    if 0 < grow <= room and (best is None or grow > best[0]):
-                        best = (grow, (a,), (x,))
-                    for b in own[p + 1 :]:
-                        both = grow + ln[b]
-                        if 0 < both <= room and (best is None or both > best[0]):
-                            best = (both, (a, b), (x,))
-                if best and best[0] == room:
-                    break
-            if best is None:
-                continue
-            # the source is the emptier bin: what the target gains, squared, outweighs what the source loses
-            grow, given, taken = best
-            for i in given:
-                bins[source].remove(i)
-                bins[target].append(i)
-            for i in taken:
-                bins[target].remove(i)
-                bins[source].append(i)
-            fill[source] -= grow
-            fill[target] += grow
-            gain = True
+        if not gain:
+            break
     return [b for b in bins if b]
 
 
