@@ -187,10 +187,15 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def sampled(labelled: DataFrame, most: int) -> DataFrame:
-    """About `most` rows of each lang, chosen by a digest of the text; all rows of a lang that has fewer."""
-    share = labelled.groupBy("lang").count().select(F.col("lang").alias("l"), (F.lit(float(most)) / F.col("count")).alias("share"))
+    """About `most` rows of each lang, chosen by a digest of the text; all rows of a lang that has fewer.
+
+    The languages' counts, one number each as in the model itself, go into the filter, so that no text moves."""
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 24)) / float(1 << 24)
-    return labelled.join(share, F.col("lang") == F.col("l")).where(draw < F.col("share")).select("lang", "text")
+    chosen = F.lit(False)
+    for lang, n in sorted(counts.items()):
+        chosen = chosen | ((F.col("lang") == lang) & (draw < most / n))
+    return labelled.where(chosen).select("lang", "text")
 
 
 def fit(labelled: DataFrame, model_file: str, passes: int = PASSES, most: int = MOST) -> Model:
