@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import html
 import json
+import math
+import operator
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +53,25 @@ _marks = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'
 
 class Node:
     """An element (label: tag and its marks) with children in order, or a text (label #text). In a wrapper, `text` None is a
-    slot, `optional` and `repeated` say how often the node stands."""
+    slot, `optional` and `repeated` say how often the node stands, `pages` how many pages have it and `texts` how many
+    pages have each text (by digest) there."""
 
-    __slots__ = ("label", "text", "children", "optional", "repeated")
+    __slots__ = ("label", "text", "children", "optional", "repeated", "pages", "texts")
 
-    def __init__(self, label, text=None, children=None, optional=False, repeated=False):
+    def __init__(self, label, text=None, children=None, optional=False, repeated=False, pages=1, texts=None):
         self.label, self.text, self.children, self.optional, self.repeated = label, text, children or [], optional, repeated
+        self.pages, self.texts = pages, texts or {}
 
     def plain(self):
-        return [self.label, self.text, self.optional, self.repeated, [c.plain() for c in self.children]]
+        return [self.label, self.text, self.optional, self.repeated, [c.plain() for c in self.children], self.pages, list(self.texts.items())]
 
     @staticmethod
     def of(x):
-        return Node(x[0], x[1], [Node.of(c) for c in x[4]], x[2], x[3])
+        return Node(x[0], x[1], [Node.of(c) for c in x[4]], x[2], x[3], x[5], dict(x[6]))
+
+
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
 def parse(page: str | None) -> Node:
@@ -121,23 +131,30 @@ def folded(node: Node) -> Node:
     out: list[Node] = []
     for child in map(folded, node.children):
         if out and out[-1].label == child.label and child.label != "#text":
-            out[-1] = align(out[-1], child)
+            out[-1] = align(out[-1], child, max)
             out[-1].repeated = True
         else:
             out.append(child)
-    return Node(node.label, node.text, out, node.optional, node.repeated)
+    texts = {digest(node.text): 1} if node.text is not None else {}
+    return Node(node.label, node.text, out, node.optional, node.repeated, node.pages, texts)
 
 
-def align(a: Node, b: Node) -> Node:
-    """The wrapper of two nodes with one label."""
+def align(a: Node, b: Node, both=operator.add) -> Node:
+    """The wrapper of two nodes with one label. `both` joins their counts of pages: added for different pages; the greater one
+    for neighbours, which stand on the same pages."""
     text = a.text if a.text == b.text else None
-    return Node(a.label, text, align_all(a.children, b.children), a.optional or b.optional, a.repeated or b.repeated)
+    few, texts = sorted((a.texts, b.texts), key=len)
+    texts = dict(texts)
+    for d, n in few.items():
+        texts[d] = both(texts[d], n) if d in texts else n
+    children = align_all(a.children, b.children, both)
+    return Node(a.label, text, children, a.optional or b.optional, a.repeated or b.repeated, both(a.pages, b.pages), texts)
 
 
-def align_all(x: list[Node], y: list[Node]) -> list[Node]:
+def align_all(x: list[Node], y: list[Node], both=operator.add) -> list[Node]:
     """Align two lists of children: the longest common run of labels is merged, what one side lacks becomes optional."""
     if [n.label for n in x] == [n.label for n in y]:
-        return [align(a, b) for a, b in zip(x, y)]
+        return [align(a, b, both) for a, b in zip(x, y)]
     n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -148,7 +165,7 @@ def align_all(x: list[Node], y: list[Node]) -> list[Node]:
 
     def alone(node: Node) -> None:
         if out and out[-1].label == node.label and node.label != "#text":  # a group that repeats
-            out[-1] = align(out[-1], node)
+            out[-1] = align(out[-1], node, max)
             out[-1].repeated = True
         else:
             node.optional = True
@@ -156,7 +173,7 @@ def align_all(x: list[Node], y: list[Node]) -> list[Node]:
 
     while i < n or j < m:
         if i < n and j < m and x[i].label == y[j].label:
-            out.append(align(x[i], y[j]))
+            out.append(align(x[i], y[j], both))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             alone(x[i])
@@ -167,12 +184,20 @@ def align_all(x: list[Node], y: list[Node]) -> list[Node]:
     return out
 
 
-def aside(label: str, inside: bool) -> bool:
-    """Whether an element is no part of the article; a header is one only outside of it."""
-    name, *marks = label.split(".")
+def hint(label: str) -> int:
+    """How surely class, id or role words name an element that is no part of the article: 2 by a whole word, 1 by a part of one."""
+    marks = [w for w in label.split(".")[1:] if w not in MAIN_WORDS]
+    if any(w in ASIDE for w in marks):
+        return 2
+    return int(any(p in ASIDE for w in marks for p in re.split(r"[-_]", w)))
+
+
+def aside(label: str, inside: bool, trust: int = 0) -> bool:
+    """Whether an element is no part of the article; a header is one only outside of it. Hints up to `trust` don't count."""
+    name = label.split(".", 1)[0]
     if name in DROPPED or (name == "header" and not inside):
-        return True
-    return any(w in ASIDE or any(p in ASIDE for p in re.split(r"[-_]", w)) for w in marks if w not in MAIN_WORDS)
+        return name != "form" or trust == 0
+    return name not in ("html", "body") and hint(label) > trust
 
 
 def is_main(label: str) -> bool:
@@ -180,41 +205,87 @@ def is_main(label: str) -> bool:
     return name in ("article", "main") or any(w in MAIN_WORDS for w in marks)
 
 
-def has_main(node: Node) -> bool:
-    return not aside(node.label, True) and (is_main(node.label) or any(has_main(c) for c in node.children))
+def mains(node: Node, trust: int, out: set[int]) -> bool:
+    """Whether the node is or holds a main element; `out` gets all (by id) that do. Hints up to `trust` don't count."""
+    if node.label == "#text" or aside(node.label, True, trust):
+        return False
+    found = is_main(node.label)
+    for child in node.children:
+        found |= mains(child, trust, out)
+    if found:
+        out.add(id(node))
+    return found
+
+
+def sizes(node: Node, out: dict[int, int]) -> int:
+    """Characters of text in every element (by id)."""
+    out[id(node)] = n = len(node.text) if node.text is not None else sum(sizes(c, out) for c in node.children)
+    return n
+
+
+def clear(n: int, pages: int) -> bool:
+    """Whether `n` of the host's pages are a clear majority: two of two, three of three or four, 55 of 100."""
+    return n > 1 and 2 * n >= pages + math.sqrt(pages)
 
 
-def blocks(page: Node, wrapper: Node | None, many: bool) -> list[str]:
-    """The page's article blocks, read along the host's wrapper.
+def blocks(page: Node, wrapper: Node | None, pages: int) -> list[str]:
+    """The page's article blocks, read along the wrapper of the host's `pages` pages.
 
-    Where the page has a main element, its blocks; else those that are no template text: what stands unchanged on every
-    page of the host is left out, unless nothing would remain (a host of copies, or of one page)."""
-    by_main = has_main(page)
+    Inside of main elements (where the page has some) as well as outside, a text that a clear majority of the host's pages have at
+    its place is template text and left out, unless nothing would remain (a host of copies). In a main element its h1 is the
+    title, and a repeated group (paragraphs, items) with any text of the page's own is content as a whole. Tags and class words
+    are hints: one that would leave the page without its main element, or without any text, gives way."""
+    size: dict[int, int] = {}
+    sizes(page, size)
+    main: set[int] = set()
+    level = next((t for t in range(3) if mains(page, t, main)), 0)
     own: list[str] = []
     every: list[str] = []
 
-    def walk(node: Node, w: Node | None, inside: bool, always: bool) -> None:
-        always = always and w is not None and not w.optional
+    def template(text: str, known: list[Node]) -> bool:
+        d = digest(text)
+        return any(clear(w.texts.get(d, 0), pages) for w in known)
+
+    def meet(node: Node, known: list[Node]) -> Iterator[tuple[Node, list[Node]]]:
+        """Children, each with all the wrapper's children of its label."""
+        labels: dict[str, list[Node]] = {}
+        for w in known:
+            for c in w.children:
+                labels.setdefault(c.label, []).append(c)
+        for child in node.children:
+            yield child, labels.get(child.label, [])
+
+    def constant(node: Node, known: list[Node]) -> bool:
+        if node.label == "#text":
+            return template(node.text, known)
+        return all(constant(c, k) for c, k in meet(node, known))
+
+    def walk(node: Node, known: list[Node], inside: bool, content: bool = False) -> None:
         if node.label == "#text":
-            if inside or not by_main:
+            if inside or not main:
                 every.append(node.text)
-                if by_main or not (many and always and w.text is not None):
+                if content or not template(node.text, known):
                     own.append(node.text)
             return
-        if aside(node.label, inside):
+        large = 2 * size[id(node)] > size[id(page)]
+        trust = level if large or (not inside and id(node) in main) else 0
+        if aside(node.label, inside, max(trust, 1) if large and not inside else trust):
             return
         inside = inside or is_main(node.label)
-        # children meet the wrapper's children of their label, in order; repeated ones meet one node
-        at = 0
-        known = w.children if w else []
-        for child in node.children:
-            k = next((k for k in range(at, len(known)) if known[k].label == child.label), None)
-            walk(child, known[k] if k is not None else None, inside, always)
-            if k is not None:
-                at = k if known[k].repeated else k + 1
-
-    walk(page, wrapper, False, True)
-    return own or every
+        for _, run in groupby(meet(node, known), lambda c: c[0].label):
+            run = list(run)
+            label = run[0][0].label
+            kept = inside and bool(main) and label.split(".", 1)[0] == "h1"
+            if inside and main and label != "#text" and any(w.repeated for w in run[0][1]):
+                kept = kept or not all(constant(c, k) for c, k in run)
+            for child, k in run:
+                walk(child, k, inside, content if child.label == "#text" else kept)
+
+    while True:
+        walk(page, [wrapper] if wrapper else [], False)
+        if every or level == 2:
+            return own or every
+        level += 1
 
 
 def host_of(url: Column) -> Column:
@@ -225,14 +296,15 @@ def _dump(node: Node) -> str:
     return json.dumps(node.plain(), ensure_ascii=False, separators=(",", ":"))
 
 
-def shorter(node: Node) -> Node:
-    """The wrapper with long texts as slots: what a template repeats on every page is short."""
-    text = node.text if node.text is None or len(node.text) <= TEMPLATE_TEXT else None
-    return Node(node.label, text, [shorter(c) for c in node.children], node.optional, node.repeated)
+def pruned(node: Node, keep) -> Node:
+    """The wrapper with slots for constants and with those texts only whose count `keep` holds for."""
+    texts = {d: n for d, n in node.texts.items() if keep(n)}
+    return Node(node.label, None, [pruned(c, keep) for c in node.children], node.optional, node.repeated, node.pages, texts)
 
 
-#: Longest text that a wrapper keeps as constant.
-TEMPLATE_TEXT = 200
+#: Partial wrappers forget texts on less than this share of their pages, twice at most: what a text loses is within twice this
+#: share of the host's pages, and no count ever comes out too high.
+FORGET = 1 / 64
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,35 +313,43 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[str, tuple[Node, int]] = {}
         for i in range(0, batch.num_rows, 64):
             for host, page in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns)):
-                new = shorter(folded(parse(page)))
+                new = folded(parse(page))
+                if not new.children:
+                    continue  # nothing on it tells of the host's template
                 old = have.get(host)
                 have[host] = (align(old[0], new), old[1] + 1) if old else (new, 1)
         yield _wrapped(have)
 
 
-def _wrapped(have: dict[str, tuple[Node, int]]) -> pa.RecordBatch:
+def _wrapped(have: dict[str, tuple[Node, int]], whole: bool = False) -> pa.RecordBatch:
+    """Rows of wrappers; the `whole` one of a host needs its template texts only."""
+    slim = [pruned(node, (lambda n: clear(n, k)) if whole else (lambda n: n >= k * FORGET)) for node, k in have.values()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(have), pa.string()), pa.array([_dump(n) for n, _ in have.values()], pa.string()), pa.array([k for _, k in have.values()], pa.int64())],
+        [pa.array(list(have), pa.string()), pa.array(map(_dump, slim), pa.string()), pa.array([k for _, k in have.values()], pa.int64())],
         ["host", "wrapper", "pages"],
     )
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merger(whole: bool):
     """One wrapper per host of partial ones that come host by host."""
-    now: dict[str, tuple[Node, int]] = {}
-    for batch in batches:
-        done: dict[str, tuple[Node, int]] = {}
-        for host, wrapper, pages in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "pages"))):
-            node = Node.of(json.loads(wrapper))
-            if host in now:
-                now[host] = (align(now[host][0], node), now[host][1] + pages)
-            else:
-                done |= now
-                now = {host: (node, pages)}
-        if done:
-            yield _wrapped(done)
-    if now:
-        yield _wrapped(now)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[str, tuple[Node, int]] = {}
+        for batch in batches:
+            done: dict[str, tuple[Node, int]] = {}
+            for host, wrapper, pages in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "pages"))):
+                node = Node.of(json.loads(wrapper))
+                if host in now:
+                    now[host] = (align(now[host][0], node), now[host][1] + pages)
+                else:
+                    done |= now
+                    now = {host: (node, pages)}
+            if done:
+                yield _wrapped(done, whole)
+        if now:
+            yield _wrapped(now, whole)
+
+    return run
 
 
 def infer(pages: DataFrame, salts: int = 16) -> DataFrame:
@@ -278,7 +358,7 @@ def infer(pages: DataFrame, salts: int = 16) -> DataFrame:
     part = pages.select("host", "html").mapInArrow(_infer, kind)
     part = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
     for keys in (["host", "salt"], ["host"]):
-        part = part.repartition(*keys).sortWithinPartitions(*keys, "wrapper").mapInArrow(_merge, kind)
+        part = part.repartition(*keys).sortWithinPartitions(*keys, "wrapper").mapInArrow(_merger(keys == ["host"]), kind)
         part = part.withColumn("salt", F.lit(0)) if keys != ["host"] else part
     return part
 
@@ -292,7 +372,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for page, wrapper, many in zip(*(part.column(c).to_pylist() for c in ("html", "wrapper", "pages"))):
                 if wrapper != last[0]:
                     last = (wrapper, Node.of(json.loads(wrapper)) if wrapper else None)
-                texts.append(" ".join(blocks(parse(page), last[1], (many or 0) > 1)))
+                texts.append(" ".join(blocks(parse(page), last[1], many or 0)))
         names = [n for n in batch.schema.names if n not in ("html", "wrapper", "pages")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 

@@ -429,3 +429,18 @@ def test_empty_tables(empty):
         lm.score(empty, held, held), langid.identify(empty, F.lit(True), PIECES), fingerprints.fingerprints(empty), packing.pack(empty, BPE),
     ):
         assert df.count() == 0
+
+
+# findings of the second review
+def test_the_wrapper_decides_inside_main_elements_too(spark):
+    notice = "Licensed for reading " * 20  # longer than any limit on constants
+    body = "<article><h1>Top {i}</h1><p>Body {i}</p><div class='x1'>Get our letters</div><p class=lic>" + notice + "</p></article>"
+    pages = [(i, f"http://a.example/{i}", body.replace("{i}", str(i))) for i in range(6)]
+    # one page without the box, one with other elements: the host's template stays known
+    pages += [(6, "http://a.example/6", "<article><h1>Top 6</h1><p>Body 6</p></article>"), (7, "http://a.example/7", "<table><tr><td>odd</table>")]
+    wide = "<body class='has-sidebar'><article class='post comments-open'><p>Text {i}</p></article><div class=sidebar>x</div></body>"
+    pages += [(20 + i, f"http://b.example/{i}", wide.replace("{i}", str(i))) for i in range(2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in rows_of(wrappers.extract(df))}
+    assert [got[i] for i in range(7)] == [f"Top {i} Body {i}" for i in range(7)] and got[7] == "odd"
+    assert [got[20 + i] for i in range(2)] == [f"Text {i}" for i in range(2)]
