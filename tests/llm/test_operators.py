@@ -444,3 +444,12 @@ def test_the_wrapper_decides_inside_main_elements_too(spark):
     got = {r["page_id"]: r["text"] for r in rows_of(wrappers.extract(df))}
     assert [got[i] for i in range(7)] == [f"Top {i} Body {i}" for i in range(7)] and got[7] == "odd"
     assert [got[20 + i] for i in range(2)] == [f"Text {i}" for i in range(2)]
+
+
+def test_odd_and_empty_pages_leave_the_wrapper_on(spark):
+    legal = "We use cookies and we are bound by law to tell you so. " * 6
+    pages = [(i, f"http://a.example/{i}", f"<div><h2>{legal}</h2><p>Body {i}</p><h4>Share</h4></div>") for i in range(9)]
+    pages += [(20 + i, f"http://a.example/n{i}", [None, ""][i % 2]) for i in range(9)] + [(40, "http://a.example/o", "<div><p>Odd</p></div>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in rows_of(wrappers.extract(df))}
+    assert [got[i] for i in range(9)] == [f"Body {i}" for i in range(9)] and got[40] == "Odd" and got[20] == ""
