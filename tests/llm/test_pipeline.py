@@ -1,6 +1,8 @@
 """The pipeline's stages on odd rows: their decisions, columns and order."""
 
+import itertools
 import os
+import random
 
 import pytest
 
@@ -34,3 +36,26 @@ def test_queries_run(spark):
     names = [q for q in queries() if q.startswith("op") or q == "pipeline"]
     assert len(names) == 11
     assert queries()["pipeline"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_copies_of_similarity_from_08_go(spark):
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, sets = [], {}
+    for g in range(30):
+        base = say(200)
+        for k in range(4):
+            words = list(base)
+            for at in rng.sample(range(200), [0, 2, 4, 6][k]):
+                words[at] = "edited" + str(rng.randrange(10**6))
+            rows.append((4 * g + k, " ".join(words)))
+            sets[4 * g + k] = {tuple(words[i : i + 5]) for i in range(196)}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = root[a], root[b]
+            root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {i for i, r in root.items() if i == r} and len(got) < 90
