@@ -35,16 +35,16 @@ UNIT = 2_000_000
 
 _runs = re.compile(r"[^\W\d_]+").findall
 _sign = "".join(map(re.escape, LEET))
-#: A token that has both a letter and a sign, the sign not merely at its end.
-_mixed = re.compile(rf"(?<![^\s\"'(\[{{%&*#.,;:?])(?=[^\s]*[^\W\d_])[^\W_]*[{_sign}][^\s]*?[^\W_{_sign}][^\s]*").finditer
+#: A token that has both a letter and a sign, wherever they stand.
+_mixed = re.compile(rf"(?<!\S)(?=\S*[^\W\d_])(?=\S*[{_sign}])\S+").finditer
 _spaced = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·][^\W_]){2,}(?![^\W_])").finditer
 _spaced_sign = re.compile(rf"(?<!\w)[^\W_]?(?:[ .\-_*·]?(?<=[ .\-_*·])[\w{_sign}]){{3,}}(?!\w)").finditer
-_stretched = re.compile(r"[^\W_]*([^\W\d_])\1[^\W_]*").finditer
-_thrice = re.compile(r"([^\W\d_])\1\1").search
-#: Quick tests without which none of the above can match.
-_sign_then_letter = re.compile(rf"[{_sign}][^\W_]").search
+#: A word with a letter that stands twice or more in a row.
+_stretched = re.compile(r"(?<![^\W_])(?=[^\W_]*?([^\W\d_])\1)[^\W_]+").finditer
+#: Quick tests without which some of the above can't match.
+_any_sign = re.compile(rf"[{_sign}]").search
 _gaps = re.compile(rf"[ .\-_*·][\w{_sign}][ .\-_*·][\w{_sign}](?!\w)").search
-_triples = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß"]
+_doubled = re.compile(r"([^\W\d_])\1").search
 
 
 def code(c: str) -> int:
@@ -140,19 +140,19 @@ def decode(stretch: str, model: np.ndarray) -> str:
 
 def suspicious(text: str) -> Iterator[str]:
     """Stretches of a lower-case text that may hide a word."""
-    if _sign_then_letter(text):
+    if _any_sign(text):
         for m in _mixed(text):
             yield m[0]
-            yield m[0].rstrip("!|+$%&*#.,;:?)]}\"'")
+            yield m[0].strip("!|+$%&*#.,;:?()[]{}\"'")  # those at its edges may be punctuation, at its end also letters
+            yield m[0].strip("%&*#.,;:?()[]{}\"'")
     if _gaps(text):
         for m in _spaced(text):
             yield m[0]
         for m in _spaced_sign(text):
             yield m[0]
-    if any(t in text for t in _triples):
+    if _doubled(text):
         for m in _stretched(text):
-            if _thrice(m[0]):
-                yield m[0]
+            yield m[0]
 
 
 def restored_words(text: str | None, model: np.ndarray, memory: dict[str, str]) -> set[str]:

@@ -453,3 +453,24 @@ def test_odd_and_empty_pages_leave_the_wrapper_on(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     got = {r["page_id"]: r["text"] for r in rows_of(wrappers.extract(df))}
     assert [got[i] for i in range(9)] == [f"Body {i}" for i in range(9)] and got[40] == "Odd" and got[20] == ""
+
+
+def test_signs_at_the_end_and_any_doubled_letter_reach_the_decoder():
+    for word in ["sh17", "a$$", "cun7", "idio7", "id1075", "fuuck", "дурраак", "głuupi", "(sh17)", "sh17!", "m0r0n"]:
+        core = word.strip("()!") if word in ("(sh17)", "sh17!") else word
+        assert core in set(toxicity.suspicious(f"you {word} there")), word
+    assert not list(toxicity.suspicious("plain words only, dear"))
+    import pandas as pd
+
+    # the model of a corpus that has the words restores them
+    text = " ".join(["you shit there", "what an idiot he is", "a moron is here"] * 40)
+    counts = {}
+    codes = [0] * 3 + [toxicity.code(c) for c in text] + [0] * 3
+    for i in range(len(codes) - 3):
+        gram = 0
+        for c in codes[i : i + 4]:
+            gram = gram * toxicity.SYMBOLS + c
+        counts[gram] = counts.get(gram, 0) + 1
+    model = toxicity.language_model(pd.DataFrame({"gram": list(counts), "n": list(counts.values())}))
+    got = toxicity.restored_words("you sh17 there what an idio7 and a moroon", model, {})
+    assert {"shit", "idiot", "moron"} <= got
