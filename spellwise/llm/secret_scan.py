@@ -113,10 +113,12 @@ def scan(docs: DataFrame, owners: int = OWNERS, id_col: str = "doc_id", text_col
 
 
 def redact(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """`docs` with every live secret in `text` replaced by MASK; widely copied examples and all other text stay."""
+    """`docs` with every live secret in `text` replaced by MASK; widely copied examples and all other text stay.
+
+    What a pattern names is masked whenever few owners hold it, also with fewer than VARIETY distinct characters."""
     columns = docs.columns
     some = judged(settle(candidates(docs)), owners).select(
-        F.col("doc_id").alias("__d"), F.col("print").alias("__p"), F.filter("spans", lambda s: s["live"]).alias("__spans")
+        F.col("doc_id").alias("__d"), F.col("print").alias("__p"), F.filter("spans", lambda s: s["live"] | ((s["kind"] < 3) & (s["n_owners"] <= owners))).alias("__spans")
     ).where("size(__spans) > 0")
     marked = docs.withColumn("__print", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = marked.join(some, marked["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__print") == F.col("__p")), "left")

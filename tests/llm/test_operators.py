@@ -474,3 +474,9 @@ def test_signs_at_the_end_and_any_doubled_letter_reach_the_decoder():
     model = toxicity.language_model(pd.DataFrame({"gram": list(counts), "n": list(counts.values())}))
     got = toxicity.restored_words("you sh17 there what an idio7 and a moroon", model, {})
     assert {"shit", "idiot", "moron"} <= got
+
+
+def test_redaction_masks_named_values_of_little_variety(spark):
+    rows = [(1, "id 4952935900253052 end", "a"), (2, "password = aabbaabbaabb", "b")] + [(i, "id 1111111111111111 end", f"o{i}") for i in range(3, 7)]
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: "id [SECRET] end", 2: "[SECRET]"} | dict.fromkeys(range(3, 7), "id 1111111111111111 end")
