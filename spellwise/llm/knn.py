@@ -25,8 +25,8 @@ LEAF = 64
 BLOCK = 512
 #: Queries of one group, about.
 QUERIES = 4096
-#: Components beyond this take no part, so that scores fit a long.
-LIMIT = float(1 << 24)
+#: Components beyond this once scaled can't be held as a long: they raise, as do scores that a long can't hold.
+LIMIT = float(1 << 62)
 
 
 class Tree:
@@ -55,6 +55,7 @@ class Tree:
         self.lows = np.array([self.low[i] for i in self.nodes], np.float64)
         self.highs = np.array([self.high[i] for i in self.nodes], np.float64)
         self.exact = x.astype(np.float64)  # integers below 2^53 stay exact
+        self.most = int(np.abs(x).max(initial=0)) * x.shape[1]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Greatest inner product of each query with any point of each node's box."""
@@ -67,6 +68,10 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, fl
     out = []
     for q in range(len(queries)):
         bound, query = bounds[q], queries[q].astype(np.float64)
+        large = tree.most * int(np.abs(queries[q]).max(initial=0)) >= 1 << 53
+        if large:  # scores in Python's integers, boxes with room for rounding
+            whole = queries[q].astype(object)
+            bound = bound + (tree.highs.shape[1] + 2) * 2.0**-51 * float(tree.most) * float(np.abs(query).max())
         best: list[tuple[int, int]] = []  # (score, -id), least first
         kth = int(floor[q])
         heap = [(-bound[0], 0)]
@@ -82,10 +87,12 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, fl
                         heapq.heappush(heap, (-b, child))
                 continue
             rows = tree.order[slice(*tree.span[node])]
-            scores = tree.exact[rows] @ query
+            scores = tree.x[rows].astype(object) @ whole if large else tree.exact[rows] @ query
+            if large and any(abs(x) >= 1 << 63 for x in scores):
+                raise OverflowError("a score is too large for a long")
             good = np.flatnonzero((scores >= kth) & (ids[rows] != own[q]))
             if len(good) > k:  # the k best with ties to smaller ids
-                good = good[np.lexsort((ids[rows[good]], -scores[good]))[:k]]
+                good = good[np.array(sorted(range(len(good)), key=lambda i: (-scores[good[i]], ids[rows[good[i]]])))[:k] if large else np.lexsort((ids[rows[good]], -scores[good]))[:k]]
             for i in good.tolist():
                 item = (int(scores[i]), -int(ids[rows[i]]))
                 if len(best) < k:
@@ -126,12 +133,13 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     """(query_id, rank, vec_id, score): for every row where `is_query` holds, the k rows with other ids whose
     vectors floor(scale * x) have the greatest inner product with its own; ties to the smaller id.
 
-    Null ids, null vectors and vectors with a null, non-finite or very large component (beyond 2^24 once scaled) take no
-    part; vectors meet those of their own length only; a repeated query row gives repeated results, a repeated
+    Null ids, null vectors and vectors with a null or non-finite component take no part; a component or score that a long
+    can't hold raises; vectors meet those of their own length only; a repeated query row gives repeated results, a repeated
     candidate row counts each time; other columns are not read.
     """
-    x = F.transform(F.col(vector_col), lambda c: F.floor(c.cast("double") * scale))
-    fit = F.forall(F.col(vector_col), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) <= LIMIT))
+    far = lambda c: F.abs(c.cast("double") * scale) > LIMIT
+    x = F.transform(F.col(vector_col), lambda c: F.when(far(c), F.raise_error(F.lit("a component is too large")).cast("bigint")).otherwise(F.floor(c.cast("double") * scale)))
+    fit = F.forall(F.col(vector_col), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     slim = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fit, x).alias("v"), is_query.alias("q"))
     slim = settle(slim.where("vec_id is not null and v is not null").withColumn("n", F.size("v")))
     shards = max(1, -(-slim.count() // SHARD))
@@ -145,11 +153,11 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     })
     # a group is one shard and one block of queries, both bounded whatever the table's size
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    first = settle(_meet(dealt, queries.withColumns({"floor": F.lit(-(1 << 62)), "shard": F.col("home")}), k))
+    first = settle(_meet(dealt, queries.withColumns({"floor": F.lit(1 - (1 << 63)), "shard": F.col("home")}), k))
     # the k-th score of the first wave bounds every later one from below
     worst = first.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("low")).where(F.col("have") >= k)
     asked = queries.join(worst.select(F.col("query_id").alias("w"), "low"), F.col("vec_id") == F.col("w"), "left")
-    asked = asked.withColumn("floor", F.coalesce("low", F.lit(-(1 << 62)))).withColumn(
+    asked = asked.withColumn("floor", F.coalesce("low", F.lit(1 - (1 << 63)))).withColumn(
         "shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home")))
     )
     found = first.union(_meet(dealt, asked, k)) if shards > 1 else first

@@ -480,3 +480,11 @@ def test_redaction_masks_named_values_of_little_variety(spark):
     rows = [(1, "id 4952935900253052 end", "a"), (2, "password = aabbaabbaabb", "b")] + [(i, "id 1111111111111111 end", f"o{i}") for i in range(3, 7)]
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {1: "id [SECRET] end", 2: "[SECRET]"} | dict.fromkeys(range(3, 7), "id 1111111111111111 end")
+
+
+def test_top_k_keeps_large_finite_vectors(spark):
+    rows = [(0, [1e5, 1.0]), (1, [7e4, 2.0]), (2, [-9e6, 0.5]), (3, [float("inf"), 0.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows_of(knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0))}
+    fit = {i: [math.floor(256 * x) for x in v] for i, v in rows[:3]}
+    dot = {i: sum(a * b for a, b in zip(fit[0], fit[i])) for i in (1, 2)}
+    assert got == {(0, 1): (1, dot[1]), (0, 2): (2, dot[2])}
