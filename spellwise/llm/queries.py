@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellwise.llm import fingerprints, knn, langid, lm, mixing, packing, secret_scan, simhash, toxicity, wrappers
+from spellwise.llm import clustering, fingerprints, knn, langid, lm, mixing, packing, secret_scan, simhash, toxicity, wrappers
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,40 @@ FROM f LEFT JOIN j ON f.r = j.r
 
 
 ORACLES["op3_secrets"] = _secret_sql()
+
+
+@query
+def op12_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.cluster(read(spark, sf, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Full search in every round: a chain of assignments a0, a1, ... and centroids c0, c1, ..."""
+    parts = [f"""ok AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS c, v FROM ok QUALIFY c < {k}
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := d, c := c)) AS b FROM (
+    SELECT ok.r, c{i}.c, list_sum(list_transform(range(1, 65), lambda j: (ok.v[j] - c{i}.v[j]) * (ok.v[j] - c{i}.v[j]))) AS d FROM ok, c{i}) GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM (
+      SELECT b.c AS c, j, sum(x) AS s, count(*) AS n FROM (
+        SELECT b, unnest(range(1, 65)) AS j, unnest(v) AS x FROM a{i} JOIN ok ON a{i}.r = ok.r) GROUP BY 1, 2) GROUP BY c) m ON c{i}.c = m.c
+)""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN ok ON a{rounds}.r = ok.r JOIN c{rounds} f ON f.c = b.c
+"""
+
+
+ORACLES["op12_clustering"] = _clustering_sql()
