@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellwise.llm import clustering, fingerprints, knn, langid, lm, mixing, packing, secret_scan, simhash, toxicity, wrappers
+from spellwise.llm import clustering, conversations, fingerprints, knn, langid, license_scan, lm, mixing, packing, secret_scan, simhash, toxicity, wrappers
 from spellwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,88 @@ FROM a{rounds} JOIN ok ON a{rounds}.r = ok.r JOIN c{rounds} f ON f.c = b.c
 
 
 ORACLES["op12_clustering"] = _clustering_sql()
+
+
+@query
+def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
+def _conversation_sql() -> str:
+    """The same edits by plain dynamic programming, row after row: per state the cheapest (cost, audit) and its text.
+
+    A move takes a state and a row's symbol to another state by some inserts and the row's own edit."""
+    step = lambda s: 3 if s == 2 else 2
+    moves = []
+    for entry in range(4):
+        state, inserts, said = entry, 0, ""
+        for inserts in range(4):
+            for symbol in range(9):
+                own = [("D", 2, state, "")]
+                if symbol != 8:
+                    extra, role = 5 * (symbol // 4), symbol % 4
+                    own.append(("R", 1 + extra, step(state), "assistant" if state == 2 else "user"))
+                    if (role, state) in ((0, 0), (1, 0), (1, 1), (1, 3), (2, 2)):
+                        own.append(("K", extra, role + 1, "="))
+                moves += [(entry, symbol, leave, 5 * inserts + price, "I" * inserts + letter, said, says) for letter, price, leave, says in own]
+            said += "assistant:" if state == 2 else "user:"
+            said += "|"
+            state = step(state)
+    best = {}
+    for m in moves:
+        k = m[:3]
+        best[k] = min(best.get(k, m), m, key=lambda m: (m[3], m[4]))
+    values = ", ".join(f"({e}, {s}, {x}, {c}, '{a}', replace('{said}', '|', chr(10)), '{says}')" for e, s, x, c, a, said, says in best.values())
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations
+), lots AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: CAST(ord(ch) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: CAST(i AS BIGINT))), lambda y, i: xor(y >> 1, (y & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 20 AS lot FROM k
+), dmg AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM lots WHERE lot <> 0
+), ids AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (
+  SELECT g, turn, role, text, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+    CASE substr(role, 1, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS code
+  FROM dmg JOIN ids ON dmg.conv_id IS NOT DISTINCT FROM ids.conv_id
+), f AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN i > min(i) OVER (PARTITION BY g, role, text) THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+    lag(code) OVER (PARTITION BY g ORDER BY i) AS before FROM o
+), moves(e, symbol, x, price, letters, said, says) AS (VALUES {values}),
+dp AS (
+  SELECT g, 0::BIGINT AS i, 0 AS state, struct_pack(cost := 0::BIGINT, audit := '', txt := '') AS b FROM ids
+  UNION ALL
+  SELECT g, i, x, min(struct_pack(cost := cost, audit := audit, txt := txt)) FROM (
+    SELECT dp.g, f.i, m.x, dp.b.cost + m.price AS cost, dp.b.audit || m.letters AS audit,
+      dp.b.txt || m.said || CASE m.says WHEN '' THEN '' WHEN '=' THEN f.role || ':' || f.text || chr(10) ELSE m.says || ':' || f.text || chr(10) END AS txt
+    FROM dp JOIN f ON f.g = dp.g AND f.i = dp.i + 1
+      JOIN moves m ON m.e = dp.state AND m.symbol = CASE WHEN f.fault IN (1, 2) THEN 8 ELSE f.code + 4 * CAST(f.fault = 3 AS INTEGER) END) GROUP BY g, i, x
+), counts AS (
+  SELECT g, count(*) AS n, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND (before, code) NOT IN ((0, 1), (1, 2), (2, 1))) AS illegal,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY g
+), ends AS (
+  SELECT dp.g, min(struct_pack(cost := b.cost + z.price, audit := b.audit || z.letters, txt := b.txt || replace(z.said, '|', chr(10)))) AS b
+  FROM dp LEFT JOIN counts ON counts.g = dp.g
+    JOIN (VALUES (0, 0, '', ''), (1, 10, 'II', 'user:|assistant:|'), (2, 5, 'I', 'assistant:|'), (3, 0, '', '')) AS z(state, price, letters, said) ON z.state = dp.state
+  WHERE dp.i = coalesce(counts.n, 0) GROUP BY dp.g
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit,
+  sha256(CASE WHEN length(b.txt) > 0 THEN substr(b.txt, 1, length(b.txt) - 1) ELSE '' END) AS repaired_sha256
+FROM ids JOIN ends ON ends.g = ids.g LEFT JOIN counts ON counts.g = ids.g
+"""
+
+
+ORACLES["op11_conversations"] = _conversation_sql()
+
+
+@query
+def op13_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf, "documents"))
