@@ -23,6 +23,23 @@ def _curvatures(knots: np.ndarray) -> np.ndarray:
     return np.linalg.solve(left, right)
 
 
+def _pieces(knots: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted knots, cubic coefficients ``[interval, basis, power]`` and the slopes before the first and after the last knot."""
+    t = np.asarray(sorted(float(k) for k in knots))
+    m = _curvatures(t)
+    h = np.diff(t)
+    y = np.eye(len(t))
+    cubic = np.zeros((len(h), len(t), 4))
+    for i in range(len(h)):
+        cubic[i, :, 0] = y[i]
+        cubic[i, :, 1] = (y[i + 1] - y[i]) / h[i] - h[i] * (2 * m[i] + m[i + 1]) / 6
+        cubic[i, :, 2] = m[i] / 2
+        cubic[i, :, 3] = (m[i + 1] - m[i]) / (6 * h[i])
+    before = (y[1] - y[0]) / h[0] - h[0] * m[1] / 6
+    after = (y[-1] - y[-2]) / h[-1] + h[-1] * m[-2] / 6
+    return t, cubic, before, after
+
+
 def natural_spline(col: str | Column, knots: Sequence[float]) -> list[Column]:
     """Basis columns of a natural cubic spline in its knot-value form.
 
@@ -32,25 +49,33 @@ def natural_spline(col: str | Column, knots: Sequence[float]) -> list[Column]:
     """
     x = F.col(col) if isinstance(col, str) else col
     x = x.cast("double")
-    t = np.asarray(sorted(float(k) for k in knots))
-    m = _curvatures(t)
-    h = np.diff(t)
+    t, cubic, before, after = _pieces(knots)
     basis = []
     for j in range(1, len(t)):
-        y = np.eye(len(t))[j]
-        slope0 = (y[1] - y[0]) / h[0] - h[0] * m[1, j] / 6
-        slope1 = (y[-1] - y[-2]) / h[-1] + h[-1] * m[-2, j] / 6
-        out = F.when(x < t[0], F.lit(float(y[0])) + F.lit(float(slope0)) * (x - t[0]))
-        for i in range(len(h)):
+        out = F.when(x < t[0], F.lit(float(cubic[0, j, 0])) + F.lit(float(before[j])) * (x - t[0]))
+        for i in range(len(cubic)):
             u = x - float(t[i])
-            b = (y[i + 1] - y[i]) / h[i] - h[i] * (2 * m[i, j] + m[i + 1, j]) / 6
-            c3 = (m[i + 1, j] - m[i, j]) / (6 * h[i])
-            piece = F.lit(float(y[i])) + u * (F.lit(float(b)) + u * (F.lit(float(m[i, j] / 2)) + u * F.lit(float(c3))))
-            out = out.when(x <= float(t[i + 1]), piece)
-        basis.append(out.otherwise(F.lit(float(y[-1])) + F.lit(float(slope1)) * (x - float(t[-1]))))
+            c0, c1, c2, c3 = (F.lit(float(c)) for c in cubic[i, j])
+            out = out.when(x <= float(t[i + 1]), c0 + u * (c1 + u * (c2 + u * c3)))
+        basis.append(out.otherwise(F.lit(1.0 if j == len(t) - 1 else 0.0) + F.lit(float(after[j])) * (x - float(t[-1]))))
     return basis
 
 
+def spline_values(x: np.ndarray, knots: Sequence[float]) -> np.ndarray:
+    """The columns of ``natural_spline`` for numbers: one row per element of ``x``."""
+    x = np.asarray(x, dtype=float)
+    t, cubic, before, after = _pieces(knots)
+    at = np.clip(np.searchsorted(t, x, side="left") - 1, 0, len(cubic) - 1)
+    u = (x - t[at])[:, None]
+    c = cubic[at]
+    out = c[:, :, 0] + u * (c[:, :, 1] + u * (c[:, :, 2] + u * c[:, :, 3]))
+    ends = np.eye(len(t))
+    low, high = x < t[0], x > t[-1]
+    out[low] = ends[0] + (x[low] - t[0])[:, None] * before
+    out[high] = ends[-1] + (x[high] - t[-1])[:, None] * after
+    return out[:, 1:]
+
+
 def quantile_knots(df: DataFrame, col: str, df_spline: int) -> list[float]:
     """Boundary knots at the data's edges, interior knots at even quantiles: ``df_spline + 1`` in all.
 
@@ -64,4 +89,4 @@ def quantile_knots(df: DataFrame, col: str, df_spline: int) -> list[float]:
     return sorted({r["value"] for r in rows})
 
 
-__all__ = ["natural_spline", "quantile_knots", "sum_of"]
+__all__ = ["natural_spline", "quantile_knots", "spline_values", "sum_of"]
