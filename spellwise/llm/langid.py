@@ -25,10 +25,12 @@ PASSES = 2
 #: Labelled texts per language that the probabilities are learnt from.
 MOST = 1000
 #: Words a task remembers, and characters of the texts it takes at a time.
-MEMORY = 400_000
-UNIT = 2_000_000
+MEMORY = 150_000
+UNIT = 500_000
 
 letters = regex.compile(r"[\p{L}\p{M}]+")
+#: A word holds a letter: marks alone are none.
+_word = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
 #: In these texts, the standard pattern finds the same runs, quicker.
 _plain = regex.compile(r"[^\x00-\x7e -ɏ]").search
 _quick = regex.compile(r"[A-Za-zªµºÀ-ÖØ-öø-ɏ]+").findall
@@ -52,7 +54,7 @@ def pieces_of(model_file: str) -> list[str]:
 
 def words_of(text: str | None) -> list[str]:
     text = (text or "").lower()
-    found = letters.findall(text) if _plain(text) else _quick(text)
+    found = _word.findall(text) if _plain(text) else _quick(text)
     if max(map(len, found), default=0) <= LONGEST:
         return found
     return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]

@@ -242,16 +242,20 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """`docs` with one document of each class: the one with the smallest doc_id, of repeated rows any one."""
+    """`docs` with one document of each class: the one with the smallest doc_id, of repeated rows any one.
+
+    Texts are fingerprinted once; the rows to keep are found again by id and a 64-bit digest of the text.
+    """
     columns = docs.columns
-    marked = docs.withColumn("__fp", fingerprint_column("text", shingle))
-    prints = settle(docs.select("doc_id", fingerprint_column("text", shingle).alias("fp")))
-    named = prints.distinct().join(classes(prints, radius), "fp")
-    # fingerprints of a class differ: its place is the least (id, fingerprint), ids first
+    digest = F.xxhash64("text")  # of a null text, too
+    prints = settle(docs.select("doc_id", digest.alias("th"), fingerprint_column("text", shingle).alias("fp")))
+    named = prints.join(classes(prints.select("doc_id", "fp"), radius), "fp")
+    # a class without an id is known by one of its fingerprints
     first = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("m")
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("m")
     )
-    first = first.select(F.col("m.doc_id").alias("__id"), F.col("m.fp").alias("__keep"))
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__fp"] == first["__keep"]))
-    one = Window.partitionBy("__id", "__keep").orderBy(F.xxhash64("text"))
+    first = first.select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__keep"))
+    marked = docs.withColumn("__th", digest)
+    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__th"] == first["__keep"]))
+    one = Window.partitionBy("__id", "__keep").orderBy("__th")
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*columns)

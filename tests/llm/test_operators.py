@@ -488,3 +488,10 @@ def test_top_k_keeps_large_finite_vectors(spark):
     fit = {i: [math.floor(256 * x) for x in v] for i, v in rows[:3]}
     dot = {i: sum(a * b for a, b in zip(fit[0], fit[i])) for i in (1, 2)}
     assert got == {(0, 1): (1, dot[1]), (0, 2): (2, dot[2])}
+
+
+def test_a_text_of_marks_only_has_no_language(spark):
+    rows = [(i, "the cat and the dog sat on the mat", "en") for i in range(20)] + [(30, "\u0301", None), (31, "\u0301 \u0308\u0301 12", None), (32, "e\u0301", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_id"] for r in langid.identify(docs, F.lit(True), PIECES).collect()}
+    assert got[30]["lang_pred"] == got[31]["lang_pred"] == "und" and got[30]["score"] == 0 and got[32]["lang_pred"] == "en"
