@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellwise.llm import langid, mixing, packing, secret_scan, shingles
+from spellwise.llm import langid, mixing, packing, secret_scan, simhash
 from spellwise.llm.common import read, shared_dir
 
 #: A text is kept if some learnt language explains it this well; texts without a letter never are.
@@ -29,9 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 at least), the one
+    """Keep one document of each group of SimHash near-duplicates (four-word shingles, at most four differing bits), the one
     with the smallest id."""
-    return shingles.keep_one(docs, shingle=5)
+    return simhash.keep_one(docs, radius=4, shingle=4)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
