@@ -13,8 +13,9 @@ from spellwise.operators import spells as S
 from spellwise.operators.events import exact_split, keep_persons
 from spellwise.operators.ordered import keep
 from spellwise.plans import fixtures as X
-from spellwise.plans.oracle_views import uniform, with_views
-from spellwise.plans.queries_survival import AGES, CUTS, VIEW_SPLIT, disfle_sql, knots_sql, r6, spells_cr  # noqa: F401
+from spellwise.plans.oracle_newton import DBL, eliminate, newton_views, pass_sql, tidy_sql
+from spellwise.plans.oracle_views import age, uniform, with_views
+from spellwise.plans.queries_survival import AGES, CUTS, VIEW_CR, VIEW_SPLIT, disfle_sql, knots_sql, r6, spells_cr  # noqa: F401
 from spellwise.plans.registry import query
 
 LEVELS = {
@@ -109,9 +110,9 @@ def schoenfeld_residuals(spark, sf):
 KNOTS = [1.0, 8.0, 15.0, 26.0]
 
 
-def _truncated_power_sql(x: str) -> list[str]:
+def _truncated_power_sql(x: str, knots=KNOTS) -> list[str]:
     """The same basis from its textbook form: truncated cubes, then a change of basis at the knots."""
-    k = np.array(KNOTS)
+    k = np.array(knots)
 
     def cubes(v):
         d = [(np.maximum(v - k[i], 0) ** 3 - np.maximum(v - k[-1], 0) ** 3) / (k[-1] - k[i]) for i in range(len(k) - 1)]
@@ -313,7 +314,9 @@ def age_varying_design(split):
 
 def age_varying_fit(spark, sf):
     split = S.interval_split(training(spark, sf), CUTS).persist()
-    return M.cox_fit(split, age_varying_design(split))
+    fit = M.cox_fit(split, age_varying_design(split))
+    split.unpersist()
+    return fit
 
 
 @query("cox_age_varying")
@@ -348,23 +351,130 @@ def interaction_grid(spark, sf):
     return out.select("var1", "val1", "var2", "val2", "tgroup", "times", r6("fit", "fit"), r6("fit_up", "fit_up"), r6("fit_dn", "fit_dn"))
 
 
-@query("cox_time_varying")
+#: Steps go on until the log-likelihood stands still, so that estimates agree with the oracle's to six digits.
+FINE = 1e-11
+_SEX_SMOKE = "CAST(sex = 'M' AS INTEGER) AS x1, CAST(smoker_cat3 = '1' AS INTEGER) AS x2, CAST(smoker_cat3 = '2' AS INTEGER) AS x3"
+_SMALL_TERMS = ["sexM", "smoker_cat31", "smoker_cat32"]
+
+
+def _visits_sql(event: str, flag: str) -> str:
+    """Spells cut at the first event of a kind, as ``time_varying_merge`` cuts them."""
+    return f"""WITH s AS (SELECT sp.*, (SELECT min({age('sp.birth_date', 'e.date_event')}) FROM event_log e
+                 WHERE e.id = sp.id AND e.event = '{event}') AS tc FROM spells sp)
+      SELECT * EXCLUDE (entry_age, exit_age, event_flag), entry_age AS a, exit_age AS b, 0 AS {flag}, event_flag AS ev FROM s WHERE tc IS NULL OR tc >= exit_age
+      UNION ALL SELECT * EXCLUDE (entry_age, exit_age, event_flag), entry_age, exit_age, 1, event_flag FROM s WHERE tc <= entry_age
+      UNION ALL SELECT * EXCLUDE (entry_age, exit_age, event_flag), entry_age, tc, 0, false FROM s WHERE tc > entry_age AND tc < exit_age
+      UNION ALL SELECT * EXCLUDE (entry_age, exit_age, event_flag), tc, exit_age, 1, event_flag FROM s WHERE tc > entry_age AND tc < exit_age"""
+
+
+@query("cox_time_varying", with_views(
+    tidy_sql("tv", [*_SMALL_TERMS, "had_visit"]), visits=_visits_sql("NO_ILLNESS", "had_visit"),
+    tvdata=f"SELECT a, b, ev, {_SEX_SMOKE}, had_visit AS x4 FROM visits", **newton_views("tv", "tvdata", 4)))
 def cox_time_varying(spark, sf):
     """Effect of having had another condition, as a covariate that switches on."""
     changes = X.age_of_event(X.event_log(spark, sf).filter(F.col("event") == "NO_ILLNESS").join(
         X.individuals(spark, sf).select("id", "birth_date"), "id"))
     merged = S.time_varying_merge(X.spells(spark, sf), changes, "had_visit")
     d = M.design({"sex": LEVELS["sex"], "smoker_cat3": LEVELS["smoker_cat3"]}, numeric=["had_visit"])
-    return tidy(M.cox_fit(merged, d), spark)
+    return tidy(M.cox_fit(merged, d, eps=FINE), spark)
+
+
+_SMALL_DATA = f"SELECT entry_age AS a, exit_age AS b, event_flag AS ev, {_SEX_SMOKE} FROM spells"
+_SMALL_FIT = dict(smalldata=_SMALL_DATA, **newton_views("sm", "smalldata", 3))
+
 
+@query("cox_fit_small", with_views(tidy_sql("sm", _SMALL_TERMS), **_SMALL_FIT))
+def cox_fit_small(spark, sf):
+    """Effects of sex and smoking on all persons, ties by Efron's method."""
+    return tidy(M.cox_fit(X.spells(spark, sf), M.design(_SMALL), eps=FINE), spark)
 
-def cause_fits(spark, sf, causes=("ILL1_A", "ILL1_B")):
-    cr = spells_cr(spark, sf).filter(F.col("entry_age") < F.col("exit_age")).persist()
+
+@query("cox_fit_breslow", with_views(tidy_sql("sb", _SMALL_TERMS), smalldata=_SMALL_DATA, **newton_views("sb", "smalldata", 3, ties="breslow")))
+def cox_fit_breslow(spark, sf):
+    """The same with ties by Breslow's method."""
+    return tidy(M.cox_fit(X.spells(spark, sf), M.design(_SMALL), ties="breslow", eps=FINE), spark)
+
+
+FEW_KNOTS = [1.0, 8.0, 26.0]
+_SPLINE_X = ", ".join(f"CAST(sex = 'M' AS INTEGER) * ({e}) AS x{i}" for i, e in enumerate(_truncated_power_sql("tgroup", FEW_KNOTS), start=2))
+
+
+@query("cox_spline_fit", with_views(
+    tidy_sql("sp", ["sexM", "sexM:tgroup_s1", "sexM:tgroup_s2"], aliased=["tgroup_s1", "tgroup_s2"]),
+    spdata=f"SELECT entry_age AS a, exit_age AS b, event_flag AS ev, CAST(sex = 'M' AS INTEGER) AS x1, {_SPLINE_X} FROM split",
+    **VIEW_SPLIT, **newton_views("sp", "spdata", 3)))
+def cox_spline_fit(spark, sf):
+    """An effect of sex that follows a spline over the age interval; the interval alone says nothing inside a risk set, so its
+    own columns are aliased."""
+    split = S.interval_split(X.spells(spark, sf), CUTS)
+    d = M.design({"sex": LEVELS["sex"]}, spline=("tgroup", FEW_KNOTS), spline_with=["sex"])
+    return tidy(M.cox_fit(split, d, eps=FINE), spark)
+
+
+def _ph_views() -> dict[str, str]:
+    """Score test of ``x * g(t)``, g one minus the survival just before t, from the three information matrices."""
+    p, one, pairs = 3, "m1", [(i, j) for i in range(1, 4) for j in range(i, 4)]
+    views = dict(_SMALL_FIT)
+    views["phg"] = """SELECT t, 1 - coalesce(exp(sum(CASE WHEN d > 0 AND d < n THEN ln(1 - d / CAST(n AS DOUBLE)) ELSE 0 END)
+        OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS g FROM (
+      SELECT *, sum(net) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM (
+        SELECT t, sum(net) AS net, sum(d) AS d FROM sm_r GROUP BY t))"""
+    views["phs"] = pass_sql("sm_r", "sm_b", p, g="phg")
+    sym = lambda m, i, j: f"{m}_{min(i, j)}_{max(i, j)}"
+    rhs = ", ".join(f"{sym('m1', i, j)} AS c{j}_{i}" for j in range(1, 4) for i in range(1, 4))
+    carry = [f"u1_{i}" for i in range(1, 4)] + [f"{m}_{i}_{j}" for m in ("m1", "m2") for i, j in pairs]
+    solved = eliminate(f"SELECT *, {rhs} FROM phs", p, ["c1", "c2", "c3", "u"], carry)
+    v = ", ".join(f"m2_{i}_{j} - ({' + '.join(f'{sym(one, i, k)} * z_c{j}_{k}' for k in range(1, 4))}) AS m_{i}_{j}" for i, j in pairs)
+    u = ", ".join(f"u1_{i} - ({' + '.join(f'{sym(one, i, k)} * z_u_{k}' for k in range(1, 4))}) AS s_{i}" for i in range(1, 4))
+    views["phv"] = f"SELECT {v}, {u} FROM ({solved})"
+    return views
+
+
+def _chi(factor: str, at: list[int]) -> str:
+    n = len(at)
+    cols = [f"m_{at[i - 1]}_{at[j - 1]} AS m_{i}_{j}" for i in range(1, n + 1) for j in range(i, n + 1)] + [f"s_{a} AS s_{i}" for i, a in enumerate(at, start=1)]
+    src = f"SELECT {', '.join(cols)} FROM phv"
+    solved = eliminate(src, n, ["s"], [f"s_{i}" for i in range(1, n + 1)])
+    chi = " + ".join(f"s_{i} * z_s_{i}" for i in range(1, n + 1))
+    return f"SELECT '{factor}' AS factor, round({chi}, 6) + 0.0{DBL} AS chisq, {n} AS df FROM ({solved})"
+
+
+@query("ph_test_small", with_views(" UNION ALL ".join([_chi("sex", [1]), _chi("smoker_cat3", [2, 3]), _chi("GLOBAL", [1, 2, 3])]), **_ph_views()))
+def ph_test_small(spark, sf):
+    """Proportional-hazards test of the model of sex and smoking, time as one minus the survival before it."""
+    s = X.spells(spark, sf)
+    fit = M.cox_fit(s, M.design(_SMALL), eps=FINE)
+    out = spark.createDataFrame([(n, float(c), int(k)) for n, c, k in M.ph_test(s, fit)], "factor string, chisq double, df int")
+    return out.withColumn("chisq", r6("chisq"))
+
+
+CAUSES = ("ILL1_A", "ILL1_B")
+_CAUSE_X = "CAST(sex = 'M' AS INTEGER) AS x1, CAST(obesity_cat3 = '1' AS INTEGER) AS x2, CAST(obesity_cat3 = '2' AS INTEGER) AS x3"
+_CAUSE_TERMS = ["sexM", "obesity_cat31", "obesity_cat32"]
+_CAUSE_VIEWS = dict(VIEW_CR)
+for _k, _c in enumerate(CAUSES):
+    _CAUSE_VIEWS[f"cdata{_k}"] = f"SELECT entry_age AS a, exit_age AS b, cause = '{_c}' AS ev, {_CAUSE_X} FROM spells_cr"
+    _CAUSE_VIEWS |= newton_views(f"c{_k}", f"cdata{_k}", 3)
+    # increments of the baseline hazard, and the factor of each profile
+    _CAUSE_VIEWS[f"ch{_k}"] = f"""SELECT t, sum(1 / (s0 - (CAST(l AS DOUBLE) / d) * e0)) AS dh FROM (
+      SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM (
+        SELECT *, sum(n0) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s0 FROM (
+          SELECT t, sum(net * w) AS n0, sum(d) AS d, sum(d * w) AS e0 FROM (
+            SELECT t, net, d, exp(b_1 * x1 + b_2 * x2 + b_3 * x3) AS w FROM c{_k}_r, c{_k}_b) GROUP BY t)) WHERE d > 0) GROUP BY t"""
+_CAUSE_VIEWS["cpaths"] = """SELECT sex, obesity_cat3, t, sum(a0) AS a0, sum(a1) AS a1 FROM (
+    """ + " UNION ALL ".join(f"""SELECT sex, obesity_cat3, t, {'dh * r' if k == 0 else '0'} AS a0, {'dh * r' if k == 1 else '0'} AS a1 FROM ch{k}, (
+      SELECT sex, obesity_cat3, exp(CASE WHEN sex = 'M' THEN b_1 ELSE 0 END + CASE obesity_cat3 WHEN '1' THEN b_2 WHEN '2' THEN b_3 ELSE 0 END) AS r
+      FROM (VALUES ('F'), ('M')) AS v(sex), (VALUES ('0'), ('1'), ('2')) AS o(obesity_cat3), c{k}_b)""" for k in range(2)) + ") GROUP BY ALL"
+
+
+def cause_fits(spark, sf, causes=CAUSES):
+    cr = spells_cr(spark, sf).filter(F.col("entry_age") < F.col("exit_age"))
     d = M.design({"sex": LEVELS["sex"], "obesity_cat3": LEVELS["obesity_cat3"]})
-    return cr, {c: M.cox_fit(cr, d, event=F.col("cause") == c) for c in causes}
+    return cr, {c: M.cox_fit(cr, d, event=F.col("cause") == c, eps=FINE) for c in causes}
 
 
-@query("cox_cause_specific")
+@query("cox_cause_specific", with_views(
+    " UNION ALL ".join(tidy_sql(f"c{k}", _CAUSE_TERMS, extra=f", '{c}' AS cause") for k, c in enumerate(CAUSES)), **_CAUSE_VIEWS))
 def cox_cause_specific(spark, sf):
     """One model per cause of exit."""
     _, fits = cause_fits(spark, sf)
@@ -375,7 +485,11 @@ def cox_cause_specific(spark, sf):
     return out
 
 
-@query("cause_specific_curves")
+@query("cause_specific_curves", with_views("""
+    SELECT sex, obesity_cat3, t AS time, round(exp(-h), 6) AS surv, round(sum(g * a0) OVER w, 6) AS "cif_ILL1_A", round(sum(g * a1) OVER w, 6) AS "cif_ILL1_B" FROM (
+      SELECT *, exp(a - h) * (1 - exp(-a)) / a AS g FROM (
+        SELECT *, a0 + a1 AS a, sum(a0 + a1) OVER (PARTITION BY sex, obesity_cat3 ORDER BY t ROWS UNBOUNDED PRECEDING) AS h FROM cpaths))
+    WINDOW w AS (PARTITION BY sex, obesity_cat3 ORDER BY t ROWS UNBOUNDED PRECEDING)""", **_CAUSE_VIEWS))
 def cause_specific_curves(spark, sf):
     """Cumulative incidence of either illness per profile from the cause-specific models."""
     cr, fits = cause_fits(spark, sf)
@@ -409,13 +523,59 @@ def survival_cut_model(spark, sf):
     return tidy(M.cox_fit(split, age_varying_design(split)), spark)
 
 
-@query("additive_effects")
+_ADD_X = {1: "1", 2: "CAST(sex = 'M' AS INTEGER)", 3: "CAST(smoker_cat3 = '1' AS INTEGER)", 4: "CAST(smoker_cat3 = '2' AS INTEGER)"}
+_ADD_PAIRS = [(i, j) for i in range(1, 5) for j in range(i, 5)]
+
+
+def _additive_views() -> dict[str, str]:
+    """Normal equations of those at risk at each event time, solved by elimination (four columns)."""
+    xs = ", ".join(f"{e} AS x{i}" for i, e in _ADD_X.items())
+    rows = f"""SELECT t, net, d, {xs} FROM (
+      SELECT sex, smoker_cat3, round(entry_age, 9) AS t, 1 AS net, 0 AS d FROM spells WHERE entry_age < exit_age
+      UNION ALL SELECT sex, smoker_cat3, round(exit_age, 9), -1, CAST(event_flag AS INTEGER) FROM spells WHERE entry_age < exit_age)"""
+    sums = ", ".join(f"sum(net * x{i} * x{j}) AS n_{i}_{j}, CAST(sum(d * x{i} * x{j}) AS DOUBLE) AS e_{i}_{j}" for i, j in _ADD_PAIRS)
+    sums += ", " + ", ".join(f"CAST(sum(d * x{i}) AS DOUBLE) AS ex_{i}" for i in _ADD_X)
+    over = ", ".join(f"CAST(sum(n_{i}_{j}) OVER o AS DOUBLE) AS m_{i}_{j}" for i, j in _ADD_PAIRS)
+    unit = ", ".join(f"{int(i == j)}{DBL} AS i{j}_{i}" for j in _ADD_X for i in _ADD_X)
+    times = f"""SELECT *, {unit} FROM (SELECT *, {over} FROM (SELECT t, sum(d) AS d, {sums} FROM ({rows}) GROUP BY t)
+      WINDOW o AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE d > 0"""
+    carry = ["t", "d", *[f"e_{i}_{j}" for i, j in _ADD_PAIRS], *[f"m_{i}_{i}" for i in _ADD_X]]
+    solved = eliminate("SELECT * FROM addtimes", 4, ["ex", *[f"i{j}" for j in _ADD_X]], carry)
+    whole = " AND ".join(f"t_{i}_{i} > 1e-9 * m_{i}_{i}" for i in _ADD_X)
+    sym = lambda j, k: f"e_{min(j, k)}_{max(j, k)}"
+    var = [f"greatest({' + '.join(f'z_i{j}_{i} * {sym(j, k)} * z_i{k}_{i}' for j in _ADD_X for k in _ADD_X)}, 0) AS w_{i}" for i in _ADD_X]
+    return {
+        "addtimes": times,
+        "addsolved": f"SELECT *, coalesce({whole}, false) AS whole, m_1_1 < 9 AS few FROM ({solved})",
+        "addinc": f"SELECT t, {', '.join(f'z_ex_{i} AS c_{i}' for i in _ADD_X)}, {', '.join(var)} FROM addsolved WHERE whole AND NOT few",
+    }
+
+
+def _additive_part(i: int, term: str) -> str:
+    c, h = f"sum(c_{i}) OVER o", f"1.96{DBL} * sqrt(sum(w_{i}) OVER o)"
+    return f"""SELECT '{term}' AS term, t AS time, round({c}, 6) + 0.0 AS coef, round({c} + {h}, 6) + 0.0 AS coef_up, round({c} - {h}, 6) + 0.0 AS coef_dn
+      FROM addinc WINDOW o AS (ORDER BY t ROWS UNBOUNDED PRECEDING)"""
+
+
+ADDITIVE = {"sex": LEVELS["sex"], "smoker_cat3": LEVELS["smoker_cat3"]}
+
+
+@query("additive_effects", with_views(" UNION ALL ".join(
+    _additive_part(i, t) for i, t in enumerate(["Intercept", *_SMALL_TERMS], start=1)), **_additive_views()))
 def additive_effects(spark, sf):
     """Cumulative effects of an additive-hazards model."""
-    out = M.additive_effects(X.spells(spark, sf), M.design({"sex": LEVELS["sex"], "smoker_cat3": LEVELS["smoker_cat3"]}))
+    out = M.additive_effects(X.spells(spark, sf), M.design(ADDITIVE))
     return out.select("term", "time", *[r6(c, c) for c in ("coef", "coef_up", "coef_dn")])
 
 
+@query("additive_left_out", with_views("""
+    SELECT t AS time, CAST(m_1_1 AS BIGINT) AS n_risk, CAST(d AS BIGINT) AS n_event, CASE WHEN few THEN 'few' ELSE 'singular' END AS reason
+    FROM addsolved WHERE few OR NOT whole""", **_additive_views()))
+def additive_left_out(spark, sf):
+    """Event times that add nothing to the cumulative effects, and why."""
+    return M.additive_model(X.spells(spark, sf), M.design(ADDITIVE))[1]
+
+
 _ADD = """SELECT *, sum(CASE WHEN d0 > 0 THEN d0 / n0 ELSE 0 END) OVER w AS b0, sum(d1 / n1 - d0 / n0) OVER w AS b1, sum(d2 / n2 - d0 / n0) OVER w AS b2,
       sum(d0 / (n0 * n0)) OVER w AS v0, sum(d0 / (n0 * n0) + d1 / (n1 * n1)) OVER w AS v1, sum(d0 / (n0 * n0) + d2 / (n2 * n2)) OVER w AS v2 FROM (
     SELECT t, d0::DOUBLE AS d0, d1::DOUBLE AS d1, d2::DOUBLE AS d2, (sum(m0) OVER u)::DOUBLE AS n0, (sum(m1) OVER u)::DOUBLE AS n1, (sum(m2) OVER u)::DOUBLE AS n2 FROM (
