@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from spellwise.functions import right_closed_cut, sum_of
 from spellwise.operators.cox import CoxFit, Design, _tie_sums
 from spellwise.operators.curves import at_time, km, with_each
+from spellwise.operators.linear import root
 from spellwise.operators.ordered import CELL, keep, running_min, running_sum, with_cell
 
 
@@ -23,13 +25,25 @@ def linear_predictor(fit: CoxFit, reference: str = "zero") -> Column:
     return lp if reference == "zero" else lp - F.lit(float(b @ fit.means))
 
 
-def _quadratic(v: np.ndarray, center: np.ndarray):
-    @F.pandas_udf("double")
-    def se(x: pd.Series) -> pd.Series:
-        m = np.vstack(x.to_numpy()) - center if len(x) else np.zeros((0, len(center)))
-        return pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", m, v, m), 0.0)))
+#: Products up to which an error is written out as one expression; beyond, it is folded over an array.
+WRITTEN_OUT = 400
 
-    return se
+
+def standard_error(d: Design, vcov: np.ndarray, center: np.ndarray) -> Column:
+    """``sqrt((x - c)' V (x - c))`` from a factor ``V = R R'``: the root of a sum of squares, one per column of ``R``."""
+    r = root(vcov)
+    used = np.flatnonzero(np.abs(r).sum(axis=1) > 0)
+    if not len(used):
+        return F.lit(0.0)
+    terms = list(d.terms.values())
+    x = [terms[i].cast("double") - F.lit(float(center[i])) if center[i] else terms[i].cast("double") for i in used]
+    if r.shape[1] * len(used) <= WRITTEN_OUT:
+        parts = [sum_of([c * F.lit(float(v)) for c, v in zip(x, r[used, k]) if v]) for k in range(r.shape[1])]
+        return F.sqrt(sum_of([q * q for q in parts]))
+    factor = F.from_json(F.lit(json.dumps(r[used].T.tolist())), "array<array<double>>")  # folded to one literal
+    values = F.array(*x)
+    dot = lambda row: F.aggregate(F.zip_with(values, row, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.sqrt(F.aggregate(F.transform(factor, dot), F.lit(0.0), lambda s, q: s + q * q))
 
 
 def predict(
@@ -47,7 +61,7 @@ def predict(
         lp = linear_predictor(fit, reference)
         res = df.withColumn(out, lp if type == "lp" else F.exp(lp))
         if se:
-            s = _quadratic(fit.vcov, center)(d.x())
+            s = standard_error(d, fit.vcov, center)
             res = res.withColumn("se_" + out, s if type == "lp" else s * F.sqrt(out))
         return res
     if type == "terms":

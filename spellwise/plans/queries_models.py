@@ -49,6 +49,22 @@ def cox_linear_predictor(spark, sf):
     return out.select("id", r6("lp", "lp"), r6("risk", "risk"), r6("fit_sex", "fit_sex"))
 
 
+# A covariance shared with the oracle (unit variances over 25 with neighbours correlated).
+_VCOV = [[(0.04 if i == j else 0.01 if abs(i - j) == 1 else 0.0) for j in range(7)] for i in range(7)]
+_X = [f"CAST({c} = '{v}' AS INTEGER)" for c, levels in LEVELS.items() for v in levels[1:]]
+_VAR = " + ".join(f"{_VCOV[i][j]}::DOUBLE * {_X[i]} * {_X[j]}" for i in range(7) for j in range(7) if _VCOV[i][j])
+
+
+@query("predict_se", with_views(f"""
+    SELECT id, round(lp, 6) AS lp, round(sqrt(v), 6) AS se_lp, round(exp(lp), 6) AS risk, round(sqrt(v) * sqrt(exp(lp)), 6) AS se_risk
+    FROM (SELECT id, {_LP} AS lp, {_VAR} AS v FROM spells)"""))
+def predict_se(spark, sf):
+    """Predictions with standard errors, of the predictor and of the risk."""
+    m = M.given_model(M.design(LEVELS), BETA, np.array(_VCOV))
+    out = R.predict(R.predict(X.spells(spark, sf), m, "lp", se=True, out="lp"), m, "risk", se=True, out="risk")
+    return out.select("id", *[r6(c, c) for c in ("lp", "se_lp", "risk", "se_risk")])
+
+
 _BH = f"""SELECT *, sum(d / s0) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS cumhaz FROM (
       SELECT *, sum(net) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s0 FROM (
         SELECT t, sum(net) AS net, sum(d) AS d, sum(x) AS x FROM (

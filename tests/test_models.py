@@ -162,6 +162,19 @@ def test_prediction_errors_and_terms(data):
     assert len(s) == 2
 
 
+@pytest.mark.parametrize("written_out", [0, 400])
+def test_errors_stay_on_the_engine(data, monkeypatch, written_out):
+    df, *_, x = data
+    monkeypatch.setattr(R, "WRITTEN_OUT", written_out)
+    a = np.random.default_rng(1).normal(size=(3, 3))
+    v = a @ a.T
+    v[1] = v[:, 1] = 0.0  # an aliased column
+    out = R.predict(df, M.given_model(M.design(LEVELS), {"sexM": 1.0}, v), "lp", se=True).orderBy("id")
+    assert np.allclose(out.toPandas()["se_fit"], np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, v, x), 0)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_concordance_counts_every_pair_once(data):
     df, en, ex, ev, _ = data
     rng = np.random.default_rng(2)
