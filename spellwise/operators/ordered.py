@@ -80,6 +80,24 @@ def running_min(
     return local.join(offsets, keys, "left").select(*rest, *[F.least(f"__l_{k}", f"__o_{k}").alias(k) for k in mins])
 
 
+def running_last(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], lasts: Mapping[str, str], *, cell: str = CELL
+) -> DataFrame:
+    """Add the last known (not NULL) value up to and with each row, over ``order`` within ``by`` (new column name to source
+    column). ``order`` must be a total order inside the group."""
+    keys = [*by, cell]
+    stamp = F.struct(*order)
+    known = {k: F.when(F.col(c).isNotNull(), stamp) for k, c in lasts.items()}
+    ends = df.groupBy(*keys).agg(*[F.max_by(F.col(c), known[k]).alias(f"__e_{k}") for k, c in lasts.items()])
+    over_cells = Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, *[F.last(f"__e_{k}", ignorenulls=True).over(over_cells).alias(f"__o_{k}") for k in lasts])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"__l_{k}") for k, c in lasts.items()])
+    rest = [c for c in df.columns if c not in lasts]
+    joined = local.join(carried, keys, "left")
+    return joined.select(*rest, *[F.coalesce(f"__l_{k}", f"__o_{k}").alias(k) for k in lasts])
+
+
 def neighbours(
     df: DataFrame,
     by: Sequence[str],

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spellwise.functions import HALF_DAY_YEARS, age_at, anniversary
-from spellwise.operators.ordered import CELL, first_per, neighbours
+from spellwise.operators.ordered import CELL, first_per, neighbours, running_last, running_sum, with_cell
 from spellwise.operators.vocab import EventCodes, code_level
 
 
@@ -275,3 +275,50 @@ def time_varying_merge(
         (F.col(event) & F.col("__p.last")).alias(event),
         F.col("__p.on").alias(flag),
     )
+
+
+def time_varying_merge_many(
+    spells: DataFrame, changes: DataFrame, covariates: Mapping[str, Column | float | int | str], *, at: str = "age_event",
+    covariate: str = "covariate", value: str = "value", key: str = "id", entry: str = "entry_age", exit: str = "exit_age",
+    event: str = "event_flag", cell_width: float = 1.0,
+) -> DataFrame:
+    """Split each spell wherever one of several covariates changes; values may change often and go back.
+
+    ``changes`` has one row (key, at, covariate, value) per change, ``covariates`` names them with the value before the
+    first change. A value holds from its change on, changes before the entry included; of two changes of one covariate at
+    one age the greater value holds; an unknown (NULL) value or age changes nothing. Spells of a person must not overlap.
+
+    Boundaries of spells and changes are merged to one row per person and age, and values run on in two levels over
+    cells of the age axis, so there is no range join and a person with very many changes is dealt to many tasks.
+    """
+    kept = [c for c in spells.columns if c not in (entry, exit, event)]
+    lo, hi = F.col(entry).cast("double"), F.col(exit).cast("double")
+    zero, none = F.lit(0).cast("bigint"), F.lit(None)
+    names = list(covariates)
+    kinds = {n: v if isinstance(v, Column) else F.lit(v) for n, v in covariates.items()}
+
+    def mark(t, opens, starts):
+        return F.struct(t.alias("at"), opens.cast("bigint").alias("opens"), starts.alias("start"))
+
+    ends = spells.filter(lo < hi).select(key, F.inline(F.array(
+        mark(lo, F.lit(1), lo), mark(hi, F.lit(-1), F.lit(None).cast("double")))))
+    ends = ends.select("*", *[none.cast(changes.schema[value].dataType).alias(f"__c{i}") for i in range(len(names))])
+    wanted = changes.filter(F.col(covariate).isin(*names) & F.col(value).isNotNull() & F.col(at).isNotNull())
+    moves = wanted.select(
+        key, F.col(at).cast("double").alias("at"), zero.alias("opens"), F.lit(None).cast("double").alias("start"),
+        *[F.when(F.col(covariate) == n, F.col(value)).alias(f"__c{i}") for i, n in enumerate(names)])
+    marks = ends.unionByName(moves)
+    marks = with_cell(marks, "at", cell_width).groupBy(key, CELL, "at").agg(
+        F.sum("opens").alias("opens"), F.max("start").alias("start"), *[F.max(f"__c{i}").alias(f"__c{i}") for i in range(len(names))])
+    # one exchange by person and cell serves every step below
+    marks = running_last(marks, [key], ["at"], {"__start": "start", **{f"__v{i}": f"__c{i}" for i in range(len(names))}})
+    marks = running_sum(marks, [key], ["at"], {"__open": "opens"})
+    marks = neighbours(marks, [key], ["at"], lead={"__next": "at"})
+    pieces = marks.filter((F.col("__open") > 0) & F.col("__next").isNotNull()).select(
+        F.col(key).alias("__key"), F.col("__start"), F.col("at").alias("__lo"), F.col("__next").alias("__hi"),
+        *[F.coalesce(F.col(f"__v{i}"), kinds[n]).alias(n) for i, n in enumerate(names)])
+    out = spells.join(pieces, spells[key].eqNullSafe(F.col("__key")) & (lo == F.col("__start")))
+    last = F.col("__hi") == hi
+    return out.select(
+        *[spells[c] for c in kept], (F.col(event) & last).alias("__ev"), F.col("__lo"), F.col("__hi"), *names
+    ).select(*kept, F.col("__lo").alias(entry), F.col("__hi").alias(exit), F.col("__ev").alias(event), *names)
