@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,15 @@ def death_policy(log: DataFrame, policy: str, column: str = "event_censor") -> D
     return log.filter(F.col(column).isin(*DEATH_POLICIES[policy]))
 
 
+def death_policies(log: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """The rows that each of several policies accepts, with the policy's name, in one pass.
+
+    ``columns`` gives the censor code column that each policy reads.
+    """
+    accepted = [F.when(F.col(c).isin(*DEATH_POLICIES[p]), F.lit(p)) for p, c in columns.items()]
+    return log.select("*", F.explode(F.array_compact(F.array(*accepted))).alias("policy"))
+
+
 def clean_smoker(df: DataFrame, flag: str = "smoker", category: str = "smoker_cat3") -> DataFrame:
     """Light smokers (category 1) do not count as smokers."""
     return df.withColumn(flag, F.when(F.col(category) == "1", "0").otherwise(F.col(flag)))

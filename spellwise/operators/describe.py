@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spellwise.functions import age_at
 from spellwise.operators.ordered import CELL, keep, running_sum, with_cell
 
 
@@ -183,11 +184,19 @@ def top_n(df: DataFrame, col: str, n: int) -> DataFrame:
 
 
 def derived_audit(
-    log: DataFrame, *, stored_year: str, stored_age: str, stored_first: str, age: Column, is_illness: Column, tolerance: float = 1.0
+    log: DataFrame, *, stored_year: str, stored_age: str, stored_first: str, age: Column, is_illness: Column, tolerance: float = 1.0,
+    stored_time1: str | None = None, stored_time2: str | None = None, reference: str | None = None, birth: str = "birth_date",
 ) -> DataFrame:
-    """Recompute year, age, and first-illness date from the log and count the disagreements."""
-    first = log.filter(is_illness).groupBy("id").agg(F.min("date_event").alias("__first"))
+    """Recompute year, age, first-illness date and, if asked, the ages at the reference date (``time1``) and at the person's last
+    event (``time2``) from the log, and count the disagreements with the stored columns (ages in days)."""
+    first = log.groupBy("id").agg(F.min(F.when(is_illness, F.col("date_event"))).alias("__first"), F.max("date_event").alias("__last"))
     j = log.join(first, "id", "left")
+    times = []
+    if stored_time1:
+        off = F.abs(age_at(birth, F.lit(reference).cast("date")) - F.col(stored_time1)) * 365.25
+        times.append(F.count_if(off > tolerance).alias("bad_time1"))
+    if stored_time2:
+        times.append(F.count_if(F.abs(age_at(birth, "__last") - F.col(stored_time2)) * 365.25 > tolerance).alias("bad_time2"))
     days = F.datediff("date_event", stored_first)
     return j.agg(
         F.count("*").alias("n"),
@@ -195,4 +204,5 @@ def derived_audit(
         F.count_if(F.abs(age - F.col(stored_age)) * 365.25 > tolerance).alias("bad_age"),
         F.count_if(F.col("__first") != F.col(stored_first)).alias("bad_first"),
         F.avg(F.when(days > 0, 1.0).otherwise(F.when(days.isNotNull(), 0.0))).alias("share_after_first"),
+        *times,
     )

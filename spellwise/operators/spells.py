@@ -12,6 +12,11 @@ from spellwise.operators.ordered import CELL, first_per, neighbours, running_las
 from spellwise.operators.vocab import EventCodes, code_level
 
 
+def month_cell(date: str | Column) -> Column:
+    """Number of a date's month."""
+    return F.year(date).cast("bigint") * 12 + F.month(date)
+
+
 def _date(d):
     return F.lit(d).cast("date") if isinstance(d, str) else d
 
@@ -189,6 +194,26 @@ def recode_competing(spells_cr: DataFrame, policy: str, *, target: str, codes: E
     raise ValueError(policy)
 
 
+def recode_policies(
+    spells_cr: DataFrame, policies: Sequence[str], *, target: str, codes: EventCodes = EventCodes()
+) -> DataFrame:
+    """The rows of :func:`recode_competing` under each of several policies, with the policy's name: one pass over the spells."""
+    cause = F.col("cause")
+    is_death, hit = cause == codes.death, cause == target
+    kept = {"exclude": hit | (cause == codes.lost)}
+    recoded = {"censor": F.when(is_death, codes.lost).otherwise(cause), "event": F.when(is_death, target).otherwise(cause)}
+    rows = []
+    for p in policies:
+        if p not in ("exclude", "censor", "event", "compete"):
+            raise ValueError(p)
+        new = recoded.get(p, cause)
+        flag = new != codes.lost if p == "compete" else new == target
+        rows.append(F.when(kept.get(p, F.lit(True)), F.struct(F.lit(p).alias("policy"), new.alias("__cause"), flag.alias("event_flag"))))
+    rest = [c for c in spells_cr.columns if c not in ("cause", "event_flag", "policy")]
+    out = spells_cr.select(*rest, F.inline(F.array_compact(F.array(*rows))))
+    return out.withColumnRenamed("__cause", "cause")
+
+
 def multi_state_spells(
     log: DataFrame, indiv: DataFrame, *, codes: EventCodes = EventCodes(), start: str, end: str,
     tie: Sequence[str] = (),
@@ -196,11 +221,11 @@ def multi_state_spells(
     """Consecutive pieces ``(t1, t2]`` between a person's events.
 
     The first piece begins at ``start``; a last event that is not terminal is
-    stretched to ``end``. Days serve as cells, so even a very long history is
-    windowed day by day.
+    stretched to ``end``. Months serve as cells, so even a very long history is
+    windowed month by month, and what runs across months has one row for each.
     """
     start_d, end_d = _date(start), _date(end)
-    rows = log.withColumn(CELL, F.datediff("date_event", F.lit("1970-01-01").cast("date")))
+    rows = log.withColumn(CELL, month_cell("date_event"))
     rows = neighbours(rows, ["id"], ["date_event", *tie, "event"], lag={"__prev_date": "date_event"})
     last = log.groupBy("id").agg(F.max("date_event").alias("__max_date"))
     person = indiv.select("id", "birth_date").join(last, "id")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from spellwise.functions import age_at
 from spellwise.operators.curves import at_time
 from spellwise.operators.ordered import CELL, keep, neighbours, running_sum, with_cell
+from spellwise.operators.spells import month_cell
 
 
 def state_pieces(
@@ -28,8 +29,8 @@ def state_pieces(
 
     ``states`` maps event codes to the state they lead to; other codes but ``censor`` leave the state as it is. Of several such
     events on one day the last one by ``tie`` and code counts. Stays are cut to [``start``, ``end``) and to ages from ``min_age``
-    on; after a ``terminal`` state or a ``censor`` code a person is no longer watched. Days serve as cells, so a very long
-    history is windowed day by day.
+    on; after a ``terminal`` state or a ``censor`` code a person is no longer watched. Months serve as cells, so a
+    very long history is windowed month by month.
     """
     start_d, end_d = (F.lit(d).cast("date") for d in (start, end))
     to = F.create_map(*[F.lit(v) for pair in states.items() for v in pair])[F.col("event")]
@@ -38,7 +39,7 @@ def state_pieces(
     ends = F.when(F.col("to").isNull() | F.col("to").isin(*terminal), F.col("date_event"))
     over = day.groupBy(F.col("id").alias("__id")).agg(F.min(ends).alias("__over"))
     day = day.join(over, F.col("id") == F.col("__id")).filter("__over is null or date_event <= __over").select("id", "date_event", "to")
-    day = day.withColumn(CELL, F.datediff("date_event", F.lit("1970-01-01").cast("date")))
+    day = day.withColumn(CELL, month_cell("date_event"))
     day = neighbours(day.withColumn("known", F.lit(True)), ["id"], ["date_event"],
                      lag={"__t": "date_event", "__from": "to", "__was": "known"}, lead={"__more": "known"})
     here = F.when(F.col("__was"), F.col("__from")).otherwise(F.lit(initial))

@@ -62,8 +62,10 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"),
     )
-    # Day and order key share one integer (order keys stay below 10^13), so the aggregate can hash.
-    stamp = F.unix_date("date_event").cast("bigint") * F.lit(10**13) + F.col("src")
+    # Day and order key share one integer, so the aggregate can hash; a key that doesn't fit raises.
+    fits = (F.col("src") >= 0) & (F.col("src") < F.lit(10**13))
+    src = F.when(~fits, F.raise_error(F.lit("an order key has more than 13 digits")).cast("bigint")).otherwise(F.col("src"))
+    stamp = F.unix_date("date_event").cast("bigint") * F.lit(10**13) + src
     last = o.groupBy("id").agg(F.max(stamp).alias("k")).select(
         F.pmod("k", F.lit(10**13)).alias("src"), F.lit(True).alias("is_last"))
     kind = (

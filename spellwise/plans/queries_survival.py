@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spellwise.operators import curves as C
 from spellwise.operators import spells as S
+from spellwise.operators.events import drop_persons, keep_persons
 from spellwise.plans import fixtures as X
 from spellwise.plans.oracle_views import HALF_DAY, age, anniversary, with_views
 from spellwise.plans.registry import query
+from spellwise.session import shared_folder
+from spellwise.sources.readers import write_table
 
 AGES = [50.0, 52.5, 55.0, 60.0, 65.0, 70.0, 75.0, 80.0, 85.0, 90.0, 95.0]
 _AGE_VALUES = ", ".join(f"(CAST({a} AS DOUBLE))" for a in AGES)
@@ -73,6 +78,38 @@ def build_spells(spark, sf):
                     r6("exit_age", "exit_age"), "event_flag")
 
 
+def by_person(spark, sf, buckets: int = 8):
+    """Persons and log as tables bucketed by person, in the shared folder: what follows needs no further exchange on the id.
+
+    At size, as many buckets as give files of some hundred megabytes; the number is the tables', whatever reads them.
+    """
+    run = uuid.uuid4().hex
+    out = []
+    for name, df in (("people", X.individuals(spark, sf)), ("log", X.event_log(spark, sf))):
+        table = f"spellwise_{name}_{run}"
+        write_table(df, f"{shared_folder(spark)}/layout/{table}", bucket_by=(buckets, "id"), table=table)
+        out.append(spark.table(table))
+    return out
+
+
+def spells_of(people, log):
+    ill = S.first_illness(log, codes=X.CODES, tie=["src"])
+    out = S.build_spells(people, ill, targets=[X.CODES.illness], codes=X.CODES, min_age=50, start="1996-01-01", end=X.END, half_day=True)
+    return out.filter((F.col("entry_date") <= F.col("exit_date")) & (F.col("exit_age") >= 50))
+
+
+@query("build_spells_bucketed", with_views("""
+    SELECT id, sex, entry_date, exit_date, round(entry_age, 6) AS entry_age, round(exit_age, 6) AS exit_age, event_flag
+    FROM spells96 WHERE id IN (SELECT id FROM event_log WHERE event LIKE 'ILL%') AND id NOT IN (SELECT id FROM event_log WHERE event = 'ILL0_C')"""))
+def build_spells_bucketed(spark, sf):
+    """Spells of the persons with an illness in the log but none of the mild kind: first row, semi and anti join and the join of
+    persons with their log share one layout."""
+    people, log = by_person(spark, sf)
+    people = keep_persons(people, log.filter(F.col("event").startswith("ILL")))
+    s = spells_of(drop_persons(people, log.filter(F.col("event") == "ILL0_C")), log)
+    return s.select("id", "sex", "entry_date", "exit_date", r6("entry_age", "entry_age"), r6("exit_age", "exit_age"), "event_flag")
+
+
 _CR = f"""
     SELECT *, {age('birth_date', 'entry_date')} AS entry_age, {age('birth_date', 'exit_date')} + {HALF_DAY} AS exit_age
     FROM (SELECT i.*, greatest(DATE '1996-01-01', {anniversary('birth_date', '50')}) AS entry_date,
@@ -111,12 +148,7 @@ def build_spells_cr(spark, sf):
       UNION ALL SELECT 'event', cause IN ('ILL1_A', 'DEATH'), entry_age, exit_age FROM spells_cr
       UNION ALL SELECT 'compete', cause <> 'LOST', entry_age, exit_age FROM spells_cr) GROUP BY policy""", **VIEW_CR))
 def competing_policy(spark, sf):
-    cr = spells_cr(spark, sf)
-    out = None
-    for policy in ("exclude", "censor", "event", "compete"):
-        part = S.recode_competing(cr, policy, target="ILL1_A", codes=X.CODES).select(
-            F.lit(policy).alias("policy"), "event_flag", "entry_age", "exit_age")
-        out = part if out is None else out.unionByName(part)
+    out = S.recode_policies(spells_cr(spark, sf), ("exclude", "censor", "event", "compete"), target="ILL1_A", codes=X.CODES)
     return out.groupBy("policy").agg(
         F.count("*").alias("n"), F.count_if("event_flag").alias("n_event"),
         r6(F.sum(F.col("exit_age") - F.col("entry_age")), "exposure"))

@@ -15,7 +15,7 @@ from spellwise.operators import quality as Q
 from spellwise.operators import spells as S
 from spellwise.plans import fixtures as X
 from spellwise.plans.oracle_views import age, anniversary, uniform, whole_age, with_views
-from spellwise.plans.queries_survival import disfle_sql, knots_sql, r6
+from spellwise.plans.queries_survival import AGES, disfle_sql, knots_sql, r6
 from spellwise.plans.registry import query
 from spellwise.sources import readers as R
 
@@ -58,12 +58,8 @@ def neutralise_imputed(spark, sf):
 def death_policy(spark, sf):
     deaths = raw_deaths(spark, sf).filter(F.col("event") == "DEATH").withColumn(
         "event_censor_sp95", (F.col("event_censor") + F.col("src") % 2).cast("int"))
-    out = None
-    for p in ("observed", "observed_or_severe", "imputed", "imputed_sp95"):
-        column = "event_censor_sp95" if p == "imputed_sp95" else "event_censor"
-        part = K.death_policy(deaths, p, column).select(F.lit(p).alias("policy"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("policy").agg(F.count("*").alias("n"))
+    columns = {p: "event_censor_sp95" if p == "imputed_sp95" else "event_censor" for p in ("observed", "observed_or_severe", "imputed", "imputed_sp95")}
+    return K.death_policies(deaths, columns).groupBy("policy").agg(F.count("*").alias("n"))
 
 
 @query("clean_smoker", with_views("""
@@ -576,22 +572,29 @@ def attrition_share(spark, sf):
 
 
 _STORED = f"""SELECT e.*, i.birth_date, {age('birth_date', 'date_event')} AS x, CAST(year(date_event) + CASE WHEN src % 50 = 0 THEN 1 ELSE 0 END AS INTEGER) AS year_s,
-      CAST(date_diff('day', birth_date, date_event) AS DOUBLE) / 365.25::DOUBLE + CASE WHEN src % 40 = 0 THEN 0.01::DOUBLE ELSE 0 END AS age_s, f.d AS first_s
-    FROM event_log e JOIN individuals i ON e.id = i.id LEFT JOIN (SELECT id, min(date_event) AS d FROM event_log WHERE event LIKE 'ILL%' GROUP BY id) f ON e.id = f.id"""
+      CAST(date_diff('day', birth_date, date_event) AS DOUBLE) / 365.25::DOUBLE + CASE WHEN src % 40 = 0 THEN 0.01::DOUBLE ELSE 0 END AS age_s, f.d AS first_s,
+      date_diff('day', birth_date, DATE '1995-01-01')::DOUBLE / 365.25::DOUBLE + CASE WHEN e.id % 30 = 0 THEN 0.01::DOUBLE ELSE 0 END AS time1_s,
+      {age('birth_date', 'l.d')} + CASE WHEN src % 70 = 0 THEN 0.01::DOUBLE ELSE 0 END AS time2_s, l.d AS last_d
+    FROM event_log e JOIN individuals i ON e.id = i.id LEFT JOIN (SELECT id, min(date_event) AS d FROM event_log WHERE event LIKE 'ILL%' GROUP BY id) f ON e.id = f.id
+    JOIN (SELECT id, max(date_event) AS d FROM event_log GROUP BY id) l ON l.id = e.id"""
 
 
-@query("derived_audit", with_views("""
+@query("derived_audit", with_views(f"""
     SELECT count(*) AS n, count(*) FILTER (WHERE year(date_event) <> year_s) AS bad_year, count(*) FILTER (WHERE abs(x - age_s) * 365.25 > 1) AS bad_age,
-           count(*) FILTER (WHERE g.d <> first_s) AS bad_first, round(avg(CASE WHEN date_event > first_s THEN 1.0 WHEN first_s IS NOT NULL THEN 0.0 END), 6) AS share_after_first
+           count(*) FILTER (WHERE g.d <> first_s) AS bad_first, round(avg(CASE WHEN date_event > first_s THEN 1.0 WHEN first_s IS NOT NULL THEN 0.0 END), 6) AS share_after_first,
+           count(*) FILTER (WHERE abs({age('birth_date', "DATE '1995-01-01'")} - time1_s) * 365.25 > 1) AS bad_time1,
+           count(*) FILTER (WHERE abs({age('birth_date', 'last_d')} - time2_s) * 365.25 > 1) AS bad_time2
     FROM stored s LEFT JOIN (SELECT id, min(date_event) AS d FROM event_log WHERE event IN ('ILL1_A', 'ILL1_B') GROUP BY id) g ON s.id = g.id""", stored=_STORED))
 def derived_audit(spark, sf):
     log = X.event_log(spark, sf)
-    f = log.filter(F.col("event").startswith("ILL")).groupBy("id").agg(F.min("date_event").alias("first_s"))
+    f = log.groupBy("id").agg(F.min(F.when(F.col("event").startswith("ILL"), F.col("date_event"))).alias("first_s"), F.max("date_event").alias("last_s"))
     j = log.join(X.individuals(spark, sf).select("id", "birth_date"), "id").join(f, "id", "left").withColumns({
         "year_s": F.year("date_event") + F.when(F.col("src") % 50 == 0, 1).otherwise(0),
-        "age_s": F.datediff("date_event", "birth_date").cast("double") / F.lit(E.YEAR_DAYS) + F.when(F.col("src") % 40 == 0, 0.01).otherwise(0.0)})
+        "age_s": F.datediff("date_event", "birth_date").cast("double") / F.lit(E.YEAR_DAYS) + F.when(F.col("src") % 40 == 0, 0.01).otherwise(0.0),
+        "time1_s": F.datediff(X.date(X.REFERENCE_DATE), "birth_date").cast("double") / F.lit(E.YEAR_DAYS) + F.when(F.col("id") % 30 == 0, 0.01).otherwise(0.0),
+        "time2_s": E.age_at("birth_date", "last_s") + F.when(F.col("src") % 70 == 0, 0.01).otherwise(0.0)})
     out = D.derived_audit(j, stored_year="year_s", stored_age="age_s", stored_first="first_s", age=E.age_at("birth_date", "date_event"),
-                          is_illness=F.col("event").isin("ILL1_A", "ILL1_B"))
+                          is_illness=F.col("event").isin("ILL1_A", "ILL1_B"), stored_time1="time1_s", stored_time2="time2_s", reference=X.REFERENCE_DATE)
     return out.withColumn("share_after_first", r6("share_after_first"))
 
 
@@ -844,6 +847,13 @@ _WT = f"""SELECT sex, CAST({age('birth_date', 'e')} AS DOUBLE) AS entry_age, {ag
     UNION ALL SELECT sex, entry_age, exit_age, event_flag, 1 FROM spells"""
 
 
+def weighted_curve(spark, sf):
+    cells = P.exposure_topup(compared(spark, sf))
+    extra = P.topup_spells(cells, start=X.START)
+    own = X.spells(spark, sf).select("sex", "entry_age", "exit_age", "event_flag", F.lit(1).cast("bigint").alias("weight"))
+    return C.km(own.unionByName(extra), ["sex"], weight="weight")
+
+
 @query("km_weighted", with_views("""
     SELECT sex, t AS time, CAST(n AS BIGINT) AS n_risk, CAST(d AS BIGINT) AS n_event, CAST(x - d AS BIGINT) AS n_censor,
            round(CASE WHEN bool_or(d = n) OVER w THEN 0.0 ELSE exp(sum(CASE WHEN d < n THEN ln(1.0::DOUBLE - d / CAST(n AS DOUBLE)) ELSE 0 END) OVER w) END, 6) AS surv
@@ -855,11 +865,25 @@ _WT = f"""SELECT sex, CAST({age('birth_date', 'e')} AS DOUBLE) AS entry_age, {ag
     WINDOW w AS (PARTITION BY sex ORDER BY t ROWS UNBOUNDED PRECEDING)""", weighted=_WT, topup=_TOPUP, **VIEW_POP))
 def km_weighted(spark, sf):
     """Curve by sex with the missing population as weighted rows."""
-    cells = P.exposure_topup(compared(spark, sf))
-    extra = P.topup_spells(cells, start=X.START)
-    own = X.spells(spark, sf).select("sex", "entry_age", "exit_age", "event_flag", F.lit(1).cast("bigint").alias("weight"))
-    c = C.km(own.unionByName(extra), ["sex"], weight="weight")
-    return c.select("sex", "time", "n_risk", "n_event", "n_censor", r6("surv", "surv"))
+    return weighted_curve(spark, sf).select("sex", "time", "n_risk", "n_event", "n_censor", r6("surv", "surv"))
+
+
+_WKM = """
+    SELECT sex, t, CASE WHEN bool_or(d = n) OVER w THEN 0.0 ELSE exp(sum(CASE WHEN d < n THEN ln(1.0::DOUBLE - d / CAST(n AS DOUBLE)) ELSE 0 END) OVER w) END AS surv
+    FROM (SELECT *, sum(e) OVER v - sum(x) OVER v AS n FROM (
+      SELECT sex, t, sum(e) AS e, sum(x) AS x, sum(d) AS d FROM (
+        SELECT sex, round(entry_age, 9) AS t, w AS e, 0 AS x, 0 AS d FROM weighted WHERE entry_age < exit_age
+        UNION ALL SELECT sex, round(exit_age, 9), 0, w, CASE WHEN event_flag THEN w ELSE 0 END FROM weighted WHERE entry_age < exit_age) GROUP BY sex, t)
+      WINDOW v AS (PARTITION BY sex ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE x > 0
+    WINDOW w AS (PARTITION BY sex ORDER BY t ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("disfle_adjusted", with_views(
+    f"SELECT sex, age, round(expectancy - age, 6) AS disfle FROM ({disfle_sql('wkm', 'sex')})",
+    weighted=_WT, topup=_TOPUP, wkm=_WKM, knots=knots_sql("wkm", "sex"), **VIEW_POP))
+def disfle_adjusted(spark, sf):
+    """Expected disease-free years by sex and age on the population adjusted to the pyramid."""
+    return C.disease_free_years(weighted_curve(spark, sf), AGES, ["sex"]).select("sex", "age", r6("disfle", "disfle"))
 
 
 # ---------------------------------------------------------------- all dataset variants

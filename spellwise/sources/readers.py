@@ -173,7 +173,10 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), bucket_by: tuple[int, str] | None = None,
                 table: str | None = None, mode: str = "overwrite") -> None:
-    """Columnar table. ``bucket_by=(n, "id")`` with a table name lets later joins on the id skip the shuffle."""
+    """Columnar table. ``bucket_by=(n, "id")`` with a table name lets later joins and aggregates on the id skip the shuffle;
+    rows are dealt to their buckets once, so there is one sorted file per bucket."""
+    if bucket_by:
+        df = df.repartition(*bucket_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
