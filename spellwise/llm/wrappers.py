@@ -42,6 +42,8 @@ ASIDE = frozenset(
     "complementary contentinfo search".split()
 )
 MAIN_WORDS = frozenset("main article articlebody post-content entry-content article-body article-content".split())
+#: Nesting from which elements melt into their parent: plain ones, and, deeper, all. Their texts stay, as blocks.
+DEEP, DEEPEST = 120, 200
 
 _tokens = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<![^>]*>|<\?[^>]*>"
@@ -78,6 +80,7 @@ def parse(page: str | None) -> Node:
     """The tree of a page's block elements; inline elements melt into their texts, scripts and comments vanish."""
     root = Node("html")
     stack: list[tuple[str, Node]] = [("html", root)]
+    levels: list[int] = []  # stack sizes at which the tree grew deeper
     words: list[str] = []
 
     def flush() -> None:
@@ -105,6 +108,8 @@ def parse(page: str | None) -> Node:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     del stack[i:]
+                    while levels and levels[-1] > len(stack):
+                        levels.pop()
                     break
             continue
         if name in ("html", "body") and any(s[0] == name for s in stack[1:]):
@@ -112,16 +117,24 @@ def parse(page: str | None) -> Node:
         shut = CLOSES.get(name, ())
         while len(stack) > 1 and (stack[-1][0] in shut or (stack[-1][0] == "p" and name in ENDS_P)):
             stack.pop()
+            while levels and levels[-1] > len(stack):
+                levels.pop()
         if name in VOID:
             continue
         label = name
         if m["attrs"]:
             marks = sorted({w for _, a, b, c in _marks(m["attrs"]) for w in (a or b or c).lower().split()})
             label = ".".join([name, *marks])
-        node = Node(label)
-        stack[-1][1].children.append(node)
+        level = len(levels)
+        if level > DEEPEST or (level > DEEP and not (is_main(label) or aside(label, True))):
+            node, deeper = stack[-1][1], False
+        else:
+            node, deeper = Node(label), True
+            stack[-1][1].children.append(node)
         if not (m["attrs"] or "").rstrip().endswith("/"):
             stack.append((name, node))
+            if deeper:
+                levels.append(len(stack))
     flush()
     return root
 
@@ -156,10 +169,7 @@ def align_all(x: list[Node], y: list[Node], both=operator.add) -> list[Node]:
     if [n.label for n in x] == [n.label for n in y]:
         return [align(a, b, both) for a, b in zip(x, y)]
     n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].label == y[j].label else max(best[i + 1][j], best[i][j + 1])
+    skip_left = lcs_choice([c.label for c in x], [c.label for c in y])
     out: list[Node] = []
     i = j = 0
 
@@ -175,7 +185,7 @@ def align_all(x: list[Node], y: list[Node], both=operator.add) -> list[Node]:
         if i < n and j < m and x[i].label == y[j].label:
             out.append(align(x[i], y[j], both))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+        elif j == m or (i < n and skip_left(i, j)):
             alone(x[i])
             i += 1
         else:
@@ -184,6 +194,43 @@ def align_all(x: list[Node], y: list[Node], both=operator.add) -> list[Node]:
     return out
 
 
+def lcs_choice(x: list[str], y: list[str]):
+    """A function (i, j), asked with rising i: whether the longest common subsequence of x[i + 1:] and y[j:] is at least as
+    long as that of x[i:] and y[j + 1:].
+
+    One bit per place of y marks where the length grows; a row of the table is one integer, made from the next one by a few
+    operations on whole integers. Rows are kept at about sqrt(n) places and made anew from there, so long lists of elements
+    need little time and memory."""
+    n, m = len(x), len(y)
+    mask = (1 << m) - 1
+    where: dict[str, int] = {}
+    for k, label in enumerate(reversed(y)):
+        where[label] = where.get(label, 0) | 1 << k
+    step = math.isqrt(n) + 1
+
+    def before(v: int, label: str) -> int:
+        u = v & where.get(label, 0)
+        return ((v + u) | (v - u)) & mask
+
+    marks, v = {n: mask}, mask
+    for i in range(n - 1, -1, -1):
+        v = before(v, x[i])
+        if i % step == 0:
+            marks[i] = v
+    rows: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        if i not in rows:
+            top = min((i // step + 1) * step, n) if i < n else n
+            rows.clear()
+            rows[top] = v = marks[top]
+            for k in range(top - 1, max(i - 1, 0) - 1, -1):
+                rows[k] = v = before(v, x[k])
+        return (~rows[i] & ((1 << (m - j)) - 1)).bit_count()
+
+    return lambda i, j: length(i + 1, j) >= length(i, j + 1)
+
+
 def hint(label: str) -> int:
     """How surely class, id or role words name an element that is no part of the article: 2 by a whole word, 1 by a part of one."""
     marks = [w for w in label.split(".")[1:] if w not in MAIN_WORDS]
@@ -302,9 +349,18 @@ def pruned(node: Node, keep) -> Node:
     return Node(node.label, None, [pruned(c, keep) for c in node.children], node.optional, node.repeated, node.pages, texts)
 
 
-#: Partial wrappers forget texts on less than this share of their pages, twice at most: what a text loses is within twice this
-#: share of the host's pages, and no count ever comes out too high.
+#: Partial wrappers forget texts on less than this share of their pages, once when they are made and once a merge: what a text
+#: loses is within so many times this share of the host's pages, and no count ever comes out too high. A text near the clear
+#: majority of its host's pages may therefore stay in the article; none is left out for it.
 FORGET = 1 / 64
+#: Partial wrappers of one host that one task merges.
+FAN = 64
+#: Characters of wrappers that go to every task; beyond, pages and wrappers are joined by host.
+SENT = 16_000_000
+#: Pages of a host that go with one copy of its wrapper, where they are joined.
+SHARE = 20_000
+#: Parsed wrappers that a task keeps.
+TREES = 500
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,41 +408,85 @@ def _merger(whole: bool):
     return run
 
 
-def infer(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """(host, wrapper, pages) from all of `pages` (host, html): partial wrappers per task, merged per host in two steps."""
+def infer(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, pages) from all of `pages` (host, html): partial wrappers per task, merged FAN at a time in as many rounds
+    as the host with the most of them needs, so no task merges more than about that many."""
     kind = "host string, wrapper string, pages long"
-    part = pages.select("host", "html").mapInArrow(_infer, kind)
-    part = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    for keys in (["host", "salt"], ["host"]):
-        part = part.repartition(*keys).sortWithinPartitions(*keys, "wrapper").mapInArrow(_merger(keys == ["host"]), kind)
-        part = part.withColumn("salt", F.lit(0)) if keys != ["host"] else part
-    return part
+    part = settle(pages.select("host", "html").mapInArrow(_infer, kind))
+    while True:
+        many = part.groupBy("host").agg(F.count("*").alias("n"))
+        most = many.agg(F.max("n")).first()[0] or 0
+        salt = F.pmod(F.xxhash64("wrapper", "pages"), F.ceil(F.col("n") / FAN))
+        part = part.join(many, "host").withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
+        if most <= FAN:
+            return part.select("host", "salt", "wrapper", "pages").mapInArrow(_merger(True), kind)
+        part = settle(part.select("host", "salt", "wrapper", "pages").mapInArrow(_merger(False), kind))
+
+
+class Wrappers:
+    """Parsed wrappers by host, the last TREES of them."""
+
+    def __init__(self, known: dict[str, tuple[str, int]] | None = None):
+        self.known, self.trees = known, {}
+
+    def get(self, host: str, wrapper: str | None, pages: int | None) -> tuple[Node | None, int]:
+        if self.known is not None:
+            wrapper, pages = self.known.get(host, (None, 0))
+        if not wrapper:
+            return None, 0
+        tree = self.trees.get(host)
+        if tree is None:
+            if len(self.trees) >= TREES:
+                self.trees.pop(next(iter(self.trees)))
+            tree = self.trees[host] = Node.of(json.loads(wrapper))
+        return tree, pages or 0
+
+
+def _extract(known: dict[str, tuple[str, int]] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrappers = Wrappers(known)
+        for batch in batches:
+            texts = []
+            joined = known is None
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                hosts, pages = part.column("host").to_pylist(), part.column("html").to_pylist()
+                more = [part.column(c).to_pylist() for c in ("wrapper", "pages")] if joined else [[None] * len(pages)] * 2
+                for host, page, wrapper, many in zip(hosts, pages, *more):
+                    texts.append(" ".join(blocks(parse(page), *wrappers.get(host, wrapper, many))))
+            names = [n for n in batch.schema.names if n not in ("html", "wrapper", "pages")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
+    return run
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[str | None, Node | None] = (None, None)
-    for batch in batches:
-        texts = []
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            for page, wrapper, many in zip(*(part.column(c).to_pylist() for c in ("html", "wrapper", "pages"))):
-                if wrapper != last[0]:
-                    last = (wrapper, Node.of(json.loads(wrapper)) if wrapper else None)
-                texts.append(" ".join(blocks(parse(page), last[1], many or 0)))
-        names = [n for n in batch.schema.names if n not in ("html", "wrapper", "pages")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
+
+def _joined(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages with their host's wrapper. A host of many pages is dealt to several groups, each with a copy of the wrapper."""
+    found = found.withColumn("copies", F.ceil(F.col("pages") / SHARE).cast("int"))
+    large = found.where("copies > 1").select(F.col("host").alias("l"), F.col("copies"))  # at most one host in SHARE pages
+    salted = pages.join(large, F.col("host") == F.col("l"), "left").withColumn(
+        "salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("copies", F.lit(1)))
+    )
+    dealt = found.select(F.col("host").alias("h"), "wrapper", "pages", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("s"))
+    joined = salted.join(dealt, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("s")), "left")
+    return joined.select("page_id", "url", "host", "html", "wrapper", "pages")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points), host.
 
     Pages without a host (null or odd urls) share the wrapper of the empty host. Null or empty html gives an empty
-    text; repeated rows stay repeated; other columns are not read. A host that holds a third of all pages is split by
-    adaptive skew joins; its wrapper is one row.
+    text; repeated rows stay repeated; elements nested very deeply melt into their parents (DEEP, DEEPEST), their texts stay; other
+    columns are not read. Wrappers of less than SENT characters together go to the pages, which then stay where they are;
+    otherwise both are joined by host, a host of very many pages in several groups.
     """
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    found = settle(infer(slim)).withColumnRenamed("host", "h")
+    found = settle(infer(slim))
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    joined = slim.join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "host", "html", "wrapper", "pages")
-    out = joined.mapInArrow(_extract, f"page_id {kinds['page_id']}, url string, host string, text string")
+    if (found.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= SENT:
+        known = {r["host"]: (r["wrapper"], r["pages"]) for r in found.collect()}
+        rows, run = slim.select("page_id", "url", "host", "html"), _extract(known)
+    else:
+        rows, run = _joined(slim, found), _extract(None)
+    out = rows.mapInArrow(run, f"page_id {kinds['page_id']}, url string, host string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host")

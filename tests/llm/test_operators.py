@@ -495,3 +495,45 @@ def test_a_text_of_marks_only_has_no_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_id"] for r in langid.identify(docs, F.lit(True), PIECES).collect()}
     assert got[30]["lang_pred"] == got[31]["lang_pred"] == "und" and got[30]["score"] == 0 and got[32]["lang_pred"] == "en"
+
+
+def test_deep_and_wide_pages(spark, monkeypatch):
+    deep = "<div class='w{i}'>" * 5000 + "<h4>Same line</h4><nav>Menu</nav><article><p>Body {i}</p></article>" + "</div>" * 5000 + "<footer>Foot</footer>"
+    wide = "<article>" + "".join(f"<h3>Head {{i}} {k}</h3><p>Text {{i}} {k}</p>" for k in range(5000)) + "{x}</article>"
+    nested = "<nav>" * 3000 + "No" + "</nav>" * 3000 + "<article>" * 900 + "<p>Yes {i}</p>" + "</article>" * 900
+    pages = [(i, "http://d.example/x", deep.replace("{i}", str(i))) for i in range(3)]
+    pages += [(10 + i, "http://w.example/x", wide.replace("{i}", str(i)).replace("{x}", ["", "<p>End</p><p>More</p>", "<h3>H</h3><h3>I</h3>"][i])) for i in range(3)]
+    pages += [(20 + i, "http://n.example/x", nested.replace("{i}", str(i))) for i in range(3)]
+    extra = [(*p, "h", "w", 1, 2, 3) for p in pages]
+    df = spark.createDataFrame(extra, "page_id long, url string, html string, host string, wrapper string, pages int, salt int, copies int").repartition(3)
+    got = {r["page_id"]: r["text"] for r in rows_of(wrappers.extract(df))}
+    assert [got[i] for i in range(3)] == [f"Body {i}" for i in range(3)] and [got[20 + i] for i in range(3)] == [f"Yes {i}" for i in range(3)]
+    for i in range(3):
+        want = " ".join(f"Head {i} {k} Text {i} {k}" for k in range(5000)) + ["", " End More", " H I"][i]
+        assert got[10 + i] == want
+    # joined by host, hot hosts in several groups, wrappers merged two at a time: the same texts
+    monkeypatch.setattr(wrappers, "SENT", 0)
+    monkeypatch.setattr(wrappers, "SHARE", 1)
+    monkeypatch.setattr(wrappers, "FAN", 2)
+    assert {r["page_id"]: r["text"] for r in rows_of(wrappers.extract(df))} == got
+
+
+def test_choices_of_the_alignment_equal_the_table():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        n, m = len(x), len(y)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        choice, i, j = wrappers.lcs_choice(x, y), 0, 0
+        while i < n and j < m:
+            if x[i] == y[j]:
+                i, j = i + 1, j + 1
+                continue
+            left = choice(i, j)
+            assert left == (best[i + 1][j] >= best[i][j + 1])
+            i, j = i + left, j + (not left)
