@@ -78,8 +78,15 @@ class PrefixHash:
 
     def equal(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
         """Whether text[i:i+length] equals other[j:j+length] (but for collisions of 62 bits)."""
-        top = max(i, j)
-        return bool(self.spans([i], length, top)[0] == other.spans([j], length, top)[0])
+        for which, p in enumerate(PRIMES):
+            h, g = self.prefix[which], other.prefix[which]
+            a, b = int(h[i + length]) - int(h[i]), int(g[j + length]) - int(g[j])
+            if i != j:  # the span that begins earlier is shifted to the other's place
+                shift = pow(BASES[which], abs(j - i), p)
+                a, b = (a * shift, b) if i < j else (a, b * shift)
+            if (a - b) % p:
+                return False
+        return True
 
     def extension(self, i: int, other: PrefixHash, j: int) -> int:
         """Length of the longest common extension from i here and j there, by binary search."""
@@ -90,6 +97,20 @@ class PrefixHash:
         return low
 
 
+    def extension_back(self, i: int, other: PrefixHash, j: int) -> int:
+        """Length of the longest common extension that ends before i here and before j there, by binary search."""
+        low, high = 0, min(i, j)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if self.equal(i - mid, other, j - mid, mid) else (low, mid - 1)
+        return low
+
+    def ends(self, other: PrefixHash) -> tuple[int, int]:
+        """Code points that both texts share at their starts and, beyond those, at their ends."""
+        start = self.extension(0, other, 0)
+        return start, min(self.extension_back(self.n, other, other.n), min(self.n, other.n) - start)
+
+
 _inverses: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -108,12 +129,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(codes: np.ndarray) -> tuple[int, np.ndarray]:
+def sketch(codes: np.ndarray | PrefixHash) -> tuple[int, np.ndarray]:
     """The whole text's hash (its length included) and the least distinct hashes of its spans, 32 bits each."""
-    n = len(codes)
+    h = codes if isinstance(codes, PrefixHash) else PrefixHash(codes)
+    n = h.n
     if not n:
         return 0, np.zeros(0, np.uint32)
-    h = PrefixHash(codes)
     whole = int(_mix(np.array([int(h.prefix[0][n]) << 31 | int(h.prefix[1][n])], np.uint64) + np.uint64(n))[0])
     least = (_mix(h.grams(min(SPAN, n))) >> np.uint64(32)).astype(np.uint32)
     if len(least) > 4 * SKETCH:
@@ -144,46 +165,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
-def _row(text: str, following: str):
-    """Columns of one document that need no more than the following text."""
-    new = edited(text, following)
-    a = as_bytes(sketch(code_points(text)))
-    b = as_bytes(sketch(code_points(new))) if new != text else a
-    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), a, b, likeness(a, b)
+#: Columns of a finished row, in order; the last three need the next document's own hashes.
+COLUMNS = {
+    "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(),
+    "near_edited": pa.float64(), "start_edited": pa.int64(), "end_edited": pa.int64(),
+    "near_next": pa.float64(), "start_next": pa.int64(), "end_next": pa.int64(),
+}
+
+
+class Print:
+    """One document's hashes and fingerprint."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.hash = PrefixHash(code_points(text))
+        self.bytes = as_bytes(sketch(self.hash))
+
+    def row(self, doc_id, following: str) -> tuple:
+        """All columns that need no more than the following text."""
+        new = edited(self.text, following)
+        other = Print(new) if new != self.text else self
+        sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+        return doc_id, len(self.text), sha, self.bytes, other.bytes, likeness(self.bytes, other.bytes), *self.hash.ends(other.hash)
+
+    def to(self, other: Print) -> tuple:
+        return likeness(self.bytes, other.bytes), *self.hash.ends(other.hash)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in falling doc_id order; each is finished when the next has come. The first row and the unfinished
     last one leave as edge rows with their texts."""
-    names = ["doc_id", "kind", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "pid", "text"]
-    kinds = ["int64", "string", "int64", "string", "binary", "binary", "float64", "float64", "int32", "string"]
-    schema = pa.schema([(n, {"int64": pa.int64(), "string": pa.string(), "binary": pa.binary(), "float64": pa.float64(), "int32": pa.int32()}[k]) for n, k in zip(names, kinds)])
-    held = before = None
+    names = [*COLUMNS, "kind", "pid", "text"]
+    schema = pa.schema([*COLUMNS.items(), ("kind", pa.string()), ("pid", pa.int32()), ("text", pa.string())])
+    none = (None,) * (len(COLUMNS) - 1)
+    held = None  # (doc_id, Print, pid)
     for batch in batches:
         out = []
         for pid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            text = text or ""
+            now = Print(text or "")
             if held is None:
-                out.append((doc_id, "first", None, None, None, None, None, None, pid, text))
+                out.append((doc_id, *none, "first", pid, now.text))
             else:
-                row = _row(held[1], text)
-                if before is not None:
-                    out.append(before[:7] + (likeness(before[4], row[2]),) + before[8:])
-                before = (held[0], "row", *row[:4], row[4], None, pid, None)
-            held = (doc_id, text, pid)
+                out.append((*held[1].row(held[0], now.text), *held[1].to(now), "row", held[2], None))
+            held = (doc_id, now, pid)
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema)
-    out = []
     if held is not None:
-        own = as_bytes(sketch(code_points(held[1])))
-        if before is not None:
-            out.append(before[:7] + (likeness(before[4], own),) + before[8:])
-        out.append((held[0], "last", None, None, own, None, None, None, held[2], held[1]))
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema)
+        yield pa.RecordBatch.from_pylist([dict(zip(names, (held[0], *none, "last", held[2], held[1].text)))], schema)
+
+
+def _ddl(names) -> str:
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.float64(): "double"}
+    return ", ".join(f"{n} {kinds[COLUMNS[n]]}" for n in names)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the code
+    points shared with the edited text and with the next document at the start (start_edited, start_next) and, beyond those,
+    at the end (end_edited, end_next), located by binary search for the longest common extension.
 
     The next document is the one with the next smaller doc_id, after the last one the first; null ids come last and
     repeated ids follow each other by text. Null texts count as empty; two empty texts are alike (1), an empty and another
@@ -195,9 +234,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranged = slim.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
     done = settle(
         ranged.select(F.spark_partition_id().alias("pid"), "doc_id", "text").mapInArrow(
-            _run,
-            "doc_id long, kind string, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
-            "near_edited double, near_next double, pid int, text string",
+            _run, f"{_ddl(COLUMNS)}, kind string, pid int, text string"
         )
     )
     # one number per range: which non-empty range comes next
@@ -206,22 +243,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ring = ring.select("pid", F.coalesce(F.lead("pid").over(by), F.min("pid").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("then"))
     first = done.where("kind = 'first'").select(F.col("pid").alias("then"), F.col("text").alias("following"))
     last = done.where("kind = 'last'").select("pid", "doc_id", "text").join(ring, "pid").join(first, "then")
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    ends = last.select("doc_id", "text", "following").mapInPandas(
-        _ends, "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
-    )
-    out = done.where("kind = 'row'").select(*columns).union(ends)
+    ends = last.select("doc_id", "text", "following").mapInArrow(_ends, _ddl(COLUMNS))
+    out = done.where("kind = 'row'").select(*COLUMNS).union(ends)
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
-def _ends(frames):
-    for frame in frames:
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         rows = []
-        for doc_id, text, following in zip(frame["doc_id"], frame["text"], frame["following"]):
-            row = _row(text, following)
-            rows.append((doc_id, *row, likeness(row[2], as_bytes(sketch(code_points(following))))))
-        out = frame.iloc[:, :0].assign(**{
-            n: [r[i] for r in rows]
-            for i, n in enumerate(["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        })
-        yield out
+        for doc_id, text, following in zip(*(c.to_pylist() for c in batch.columns)):
+            own = Print(text)
+            rows.append(dict(zip(COLUMNS, (*own.row(doc_id, following), *own.to(Print(following))))))
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(list(COLUMNS.items())))

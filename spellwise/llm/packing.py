@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from spellwise.llm.common import settle
 
 PACK = 16384
-#: Emptiest bins that try to give something away in one turn.
-TRIES = 8
 #: Distinct pre-tokens whose ids a task remembers; a full memory starts anew.
 REMEMBER = 400_000
 
@@ -135,65 +133,86 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(source: list[int], target: list[int], room: int, ln: list[int]):
-    """(growth of target, given, taken): the move, one-for-one or two-for-one exchange that fills `room` best, or None."""
-    have: dict[int, int] = {}
-    for x in target:
-        have.setdefault(ln[x], x)
-    own = sorted(source, key=lambda i: -ln[i])
-    best = None
-    for p, a in enumerate(own):
-        if ln[a] <= room and (best is None or ln[a] > best[0]):
-            best = (ln[a], (a,), ())
-        for n, x in have.items():
-            grow = ln[a] - n
-            if 0 < grow <= room and (best is None or grow > best[0]):
-                best = (grow, (a,), (x,))
-            for b in own[p + 1 :]:
-                both = grow + ln[b]
-                if 0 < both <= room and (best is None or both > best[0]):
-                    best = (both, (a, b), (x,))
-        if best and best[0] == room:
-            break
-    return best
-
-
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int = 500) -> list[list[int]]:
+class Underfull:
+    """Bins with room, as flat arrays of (bin, length of a piece in it, room): one search meets them all at once."""
+
+    def __init__(self, bins: list[list[int]], fill: list[int], ln: list[int], size: int):
+        self.bins, self.fill, self.ln, self.size = bins, fill, ln, size
+        self.members = [b for b in range(len(bins)) if 0 < fill[b] < size]
+        self.order()
+
+    def order(self) -> None:
+        """Bins by fill, emptiest first; a full or empty one drops out for good."""
+        fill = self.fill
+        self.members = sorted((b for b in self.members if 0 < fill[b] < self.size), key=lambda b: (fill[b], b))
+        rows = [(b, n) for b in self.members for n in (0, *sorted({self.ln[i] for i in self.bins[b]}))]
+        self.owner = np.array([b for b, _ in rows], np.int64)
+        self.taken = np.array([n for _, n in rows], np.int64)
+        self.filled = np.array([fill[b] for b, _ in rows], np.int64)
+
+    def spare(self) -> bool:
+        """Whether what the bins hold could do with one bin less."""
+        return len(self.members) > 1 and sum(self.fill[b] for b in self.members) <= (len(self.members) - 1) * self.size
+
+    def best(self, source: int):
+        """(target, given, taken) of the exchange that fills a bin at least as full as `source` best, the fullest such bin first;
+        None if there is none. A move gives one piece for none, the others one for one and two for one."""
+        own = sorted((self.ln[i] for i in self.bins[source]), reverse=True)
+        ones = sorted(set(own), reverse=True)
+        twos = {own[i] + own[j]: (own[i], own[j]) for i in range(len(own)) for j in range(i + 1, len(own))}
+        usable = (self.filled >= self.fill[source]) & (self.owner != source)
+        room = self.size - self.filled
+        found = None
+        for given, parts in [(n, (n,)) for n in ones] + list(twos.items()):
+            grow = given - self.taken
+            good = usable & (grow > 0) & (grow <= room)
+            if len(parts) == 2:
+                good &= self.taken > 0
+            at = np.flatnonzero(good)
+            if len(at):
+                top = at[np.lexsort((-grow[at], -self.filled[at]))[0]]
+                key = (self.filled[top], grow[top])
+                if found is None or key > found[0]:
+                    found = (key, int(self.owner[top]), parts, int(self.taken[top]))
+        return found and found[1:]
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Empty bins by moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
 
     The emptiest bin gives to fuller ones what fills them best; where it can give nothing any more, the next emptiest
-    tries. What a fuller bin gains, squared, outweighs what the emptier one loses, so the search ends; `rounds`
-    bounds the turns. It stops early once the underfull bins' contents can't do with one bin less.
+    tries, and so on through all of them. What a fuller bin gains, squared, outweighs what the emptier one loses, so the search
+    ends: where no bin can give anything, or where the underfull bins' contents can't do with one bin less, so that no
+    exchange could save one.
     """
     ln = lengths.tolist()
+    bins = [list(b) for b in bins]
     fill = [sum(ln[i] for i in b) for b in bins]
-    under = [b for b in range(len(bins)) if 0 < fill[b] < size]
-    for _ in range(rounds):
-        under = sorted((b for b in under if 0 < fill[b] < size), key=lambda b: (fill[b], b))
-        if len(under) < 2 or sum(fill[b] for b in under) > (len(under) - 1) * size:
-            break
-        gain = False
-        for s, source in enumerate(under[:TRIES]):
-            for target in reversed(under[s + 1 :]):
-                if not bins[source] or fill[target] < fill[source]:
-                    continue
-                best = _exchange(bins[source], bins[target], size - fill[target], ln)
-                if best is None:
-                    continue
-                grow, given, taken = best
-                for i in given:
-                    bins[source].remove(i)
-                    bins[target].append(i)
-                for i in taken:
-                    bins[target].remove(i)
-                    bins[source].append(i)
-                fill[source] -= grow
-                fill[target] += grow
-                gain = True
-            if gain:
+    under = Underfull(bins, fill, ln, size)
+
+    def pick(b: int, n: int) -> int:
+        return next(i for i in bins[b] if ln[i] == n)
+
+    while under.spare():
+        for source in under.members:
+            found = under.best(source)
+            if found:
                 break
-        if not gain:
+        else:
             break
+        target, given, taken = found
+        for n in given:
+            i = pick(source, n)
+            bins[source].remove(i)
+            bins[target].append(i)
+        if taken:
+            i = next(i for i in bins[target] if ln[i] == taken)
+            bins[target].remove(i)
+            bins[source].append(i)
+        grow = sum(given) - taken
+        fill[source] -= grow
+        fill[target] += grow
+        under.order()
     return [b for b in bins if b]
 
 

@@ -143,6 +143,7 @@ def _secret_sql() -> str:
     )
     kinds = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
     joined = lambda x: f"""coalesce(list_aggregate(list_transform({x}, lambda s: concat({kinds}[s.kind + 1], ':', s."start", ':', s."start" + s.size)), 'string_agg', ','), '')"""
+    alphabet = "CASE " + " ".join(f"WHEN regexp_matches(value, '{p}') THEN {k}" for p, k in secret_scan.ALPHABETS) + " END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 m AS (SELECT r, doc_id, source, {hits} FROM d),
@@ -152,9 +153,12 @@ n AS (SELECT r, doc_id, source,
 e AS (SELECT r, doc_id, source, list_sort(list_concat(a, b, c)) AS base, o FROM n),
 f AS (SELECT r, doc_id, source, base, list_filter(o, lambda x: len(list_filter(base, lambda y: y."start" < x."start" + x.size AND x."start" < y."start" + y.size)) = 0) AS o FROM e),
 u AS (SELECT r, doc_id, source, unnest(list_concat(base, o)) AS s FROM f),
-w AS (SELECT s.value AS v, count(DISTINCT coalesce('s' || source, '')) AS owners FROM u GROUP BY 1),
+w AS (SELECT s.value AS v, count(DISTINCT coalesce('s' || source, '')) AS owners,
+    count(DISTINCT concat(coalesce('s' || source, ''), '|', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS repositories,
+    {alphabet.replace('value', 's.value')} AS k, len(list_distinct(string_split(s.value, ''))) AS variety FROM u GROUP BY s.value),
 j AS (SELECT u.r, list_sort(list(struct_pack("start" := s."start", kind := s.kind, size := s.size,
-      live := owners <= {secret_scan.OWNERS} AND len(list_distinct(string_split(s.value, ''))) >= {secret_scan.VARIETY}))) AS spans FROM u JOIN w ON u.s.value = w.v GROUP BY u.r)
+      live := owners <= {secret_scan.OWNERS} AND repositories <= owners * {secret_scan.MANY}
+        AND variety >= {secret_scan.RATE}::DOUBLE * (k * (1::DOUBLE - pow(1::DOUBLE - 1::DOUBLE / k, length(v))))))) AS spans FROM u JOIN w ON u.s.value = w.v GROUP BY u.r)
 SELECT doc_id, CAST(len(list_filter(base, lambda s: s.kind = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(base, lambda s: s.kind = 1)) AS BIGINT) AS n_access,
   CAST(len(list_filter(base, lambda s: s.kind = 2)) AS BIGINT) AS n_hex, sha256({joined('base')}) AS base_sha256,
   {joined('list_filter(spans, lambda s: s.kind < 3 OR s.live)')} AS spans,

@@ -1,7 +1,8 @@
 """Secret scans with DataFrame functions only: patterns find candidates, corpus-wide ownership tells what is live.
 
 Every candidate's digest is counted over the corpus by distinct documents (repositories) and sources (owners). A
-value that many owners hold is a widely copied example; one that few owners hold and that looks random is live.
+value that many owners hold, or few in very many repositories each, is a widely copied example; one that is specific to its
+owners and looks random for its length and alphabet is live.
 Random-looking strings that no pattern names are candidates as well, and are reported only when live.
 """
 
@@ -23,8 +24,12 @@ HEX = r"[0-9a-f]{16,}"
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
 #: A value that more owners than this hold is a copied example.
 OWNERS = 2
-#: Distinct characters that a live-looking value has at least.
-VARIETY = 8
+#: Documents per owner beyond which a value is a copied example even where few owners hold it.
+MANY = 25
+#: A live-looking value has this share at least of the distinct characters that a random one of its length and alphabet has.
+RATE = 0.6
+# Alphabets of values, the narrowest first, and their sizes.
+ALPHABETS = (("^[0-9]+$", 10), ("^[0-9a-f]+$", 16), ("^([0-9a-z]+|[0-9A-Z]+)$", 36), ("", 64))
 MASK = "[SECRET]"
 
 
@@ -62,6 +67,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def looks_random(value: Column) -> Column:
+    """Whether a value has about as many distinct characters as random ones of its length, in the narrowest alphabet that fits."""
+    size = None
+    for pattern, letters in ALPHABETS:
+        fits = F.regexp_like(value, F.lit(pattern))
+        size = F.when(fits, letters) if size is None else size.when(fits, letters)
+    expected = size * (F.lit(1.0) - F.pow(F.lit(1.0) - F.lit(1.0) / size, F.length(value)))
+    distinct = F.size(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")))
+    return distinct >= F.lit(RATE) * expected
+
+
 def judged(found: DataFrame, owners: int = OWNERS) -> DataFrame:
     """(doc_id, print, spans): spans array<struct<start, kind, end, live>> of the documents that have any.
 
@@ -74,7 +90,8 @@ def judged(found: DataFrame, owners: int = OWNERS) -> DataFrame:
     own = spans.groupBy("digest", "owner", "doc_id").agg(F.lit(1).alias("one"))
     own = own.groupBy("digest", "owner").agg(F.count("*").alias("n"))
     own = own.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    live = (F.col("n_owners") <= owners) & (F.size(F.array_distinct(F.filter(F.split("s.value", ""), lambda c: c != ""))) >= VARIETY)
+    own_specific = (F.col("n_owners") <= owners) & (F.col("n_repositories") <= F.col("n_owners") * MANY)
+    live = own_specific & looks_random(F.col("s.value"))
     each = spans.join(own, "digest").select(
         "doc_id", "print",
         F.struct("s.start", "s.kind", "s.end", live.alias("live"), "n_owners", "n_repositories").alias("span"),
@@ -115,7 +132,7 @@ def scan(docs: DataFrame, owners: int = OWNERS, id_col: str = "doc_id", text_col
 def redact(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
     """`docs` with every live secret in `text` replaced by MASK; widely copied examples and all other text stay.
 
-    What a pattern names is masked whenever few owners hold it, also with fewer than VARIETY distinct characters."""
+    What a pattern names is masked whenever few owners hold it, also where it doesn't look random or stands very often."""
     columns = docs.columns
     some = judged(settle(candidates(docs)), owners).select(
         F.col("doc_id").alias("__d"), F.col("print").alias("__p"), F.filter("spans", lambda s: s["live"] | ((s["kind"] < 3) & (s["n_owners"] <= owners))).alias("__spans")

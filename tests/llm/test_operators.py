@@ -537,3 +537,53 @@ def test_choices_of_the_alignment_equal_the_table():
             left = choice(i, j)
             assert left == (best[i + 1][j] >= best[i][j + 1])
             i, j = i + left, j + (not left)
+
+
+def test_ends_shared_with_the_edited_and_the_next_text(spark):
+    import os
+
+    texts = ["abcabcabc", "abcabc", "", None, "xyz" * 2000 + "tail", "xyz" * 2000 + "TAIL", "aaaa", "aaaaaa", "e\u0301\U0001f600 end", "\U0001f600 end"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in rows_of(fingerprints.fingerprints(df))}
+
+    def shared(a, b):
+        start = len(os.path.commonprefix([a, b]))
+        return start, min(len(os.path.commonprefix([a[::-1], b[::-1]])), min(len(a), len(b)) - start)
+
+    for i, t in enumerate(texts):
+        t, following = t or "", (texts[i - 1] if i else texts[-1]) or ""
+        r, new = got[i], fingerprints.edited(t, following)
+        assert (r["start_edited"], r["end_edited"]) == shared(t, new) and (r["start_next"], r["end_next"]) == shared(t, following)
+    x, y = (fingerprints.PrefixHash(fingerprints.code_points(t)) for t in ("abcdefg", "xxcdefgh"))
+    assert x.extension(2, y, 2) == 5 and x.extension_back(7, y, 7) == 5 and x.extension_back(2, y, 2) == 0
+
+
+def test_local_search_ends_where_no_exchange_helps():
+    rng = np.random.default_rng(5)
+    for size, n in ((60, 80), (100, 300), (1024, 400)):
+        lengths = rng.integers(1, size, n)
+        lengths[: n // 3] = rng.integers(size // 3, size // 2 + 2, n // 3)  # a bin for two of them or three
+        bins = packing.local_search(packing.best_fit(lengths, size), lengths, size)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and max(lengths[b].sum() for b in bins) <= size
+        fill = [int(lengths[b].sum()) for b in bins]
+        under = [b for b in range(len(bins)) if fill[b] < size]
+        if sum(fill[b] for b in under) > (len(under) - 1) * size:
+            continue  # as few bins as there can be
+        for s in under:
+            for t in under:
+                if s == t or fill[t] < fill[s]:
+                    continue
+                own, room = lengths[bins[s]], size - fill[t]
+                gives = [(int(a), False) for a in own] + [(int(own[i] + own[j]), True) for i in range(len(own)) for j in range(i)]
+                takes = [int(v) for v in lengths[bins[t]]]
+                assert not any(0 < g - x <= room for g, two in gives for x in ([] if two else [0]) + takes)
+
+
+def test_copied_in_many_documents_of_one_owner_is_no_live_secret(spark):
+    key, spread = "zQ81hdPw02mKc93LdAq77x", "Zk92LmQ01xWp8BvNc3Yt55"
+    rows = [(i, f"n {i} see {spread} here", "a") for i in range(60)] + [(100 + i, f"n {i} see {key} here", "a") for i in range(3)]
+    rows += [(200, "id 4952935900253052 end", "a"), (201, "id 4444444444444444 end", "a"), (202, "hash deadbeefdeadbeefdead x", "b")]
+    got = {r["doc_id"]: r for r in rows_of(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")))}
+    assert all(got[i]["n_live"] == 0 and got[i]["spans"] == "" for i in range(60)) and all(got[100 + i]["n_live"] == 1 for i in range(3))
+    # random for its length and alphabet
+    assert got[200]["n_live"] == 1 and got[201]["n_live"] == 0 and got[202]["n_live"] == 0 and got[201]["n_hex"] == 1
