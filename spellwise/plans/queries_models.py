@@ -294,6 +294,65 @@ def risk_group_calibration(spark, sf):
     return out.select("origin", "risk_group", "time", r6("surv", "surv"))
 
 
+# Effects of department and social factors, by rule, shared with the oracle.
+SOCIAL_BETA = {"diplome1": -0.05, "diplome2": -0.1, "diplome3": -0.2, "immigration1": 0.05, "immigration2": 0.1, "immigration3": 0.15}
+DEPARTMENTS = {"dep": [str(k) for k in range(25)]}
+DEPARTMENT_BETA = {f"dep{k}": 0.02 * (7 * k % 5 - 2) for k in range(1, 25)}
+_LP_ALL = f"""({_LP_TT} + CASE WHEN dep <> '0' THEN 0.02::DOUBLE * ((7 * CAST(dep AS INTEGER)) % 5 - 2) ELSE 0 END
+    + CASE diplome WHEN '1' THEN -0.05::DOUBLE WHEN '2' THEN -0.1::DOUBLE WHEN '3' THEN -0.2::DOUBLE ELSE 0 END
+    + CASE immigration WHEN '1' THEN 0.05::DOUBLE WHEN '2' THEN 0.1::DOUBLE WHEN '3' THEN 0.15::DOUBLE ELSE 0 END)"""
+# The named profiles (severe risk factors, department, diploma), immigration at its reference.
+NAMED = {"Lowest": (0, "6", "0"), "Intermediate": (1, "15", "1"), "Highest": (2, "7", "3")}
+_NAMED = f"""SELECT *, '0' AS immigration FROM (SELECT *, CASE lvl {' '.join(f"WHEN {k} THEN '{n}'" for n, (k, _, _) in NAMED.items())} END AS profile,
+      CASE lvl {' '.join(f"WHEN {k} THEN '{d}'" for k, d, _ in NAMED.values())} END AS dep, CASE lvl {' '.join(f"WHEN {k} THEN '{e}'" for k, _, e in NAMED.values())} END AS diplome
+      FROM (SELECT *, CAST(obesity_cat3 = '2' AS INTEGER) + CAST(alcohol_cat3 = '2' AS INTEGER) + CAST(smoker_cat3 = '2' AS INTEGER) AS lvl FROM (
+        {_GRID} WHERE obesity_cat3 <> '1' AND alcohol_cat3 <> '1' AND smoker_cat3 <> '1')) WHERE lvl < 3)"""
+_BH_ALL = _BH_TT.replace(_LP_TT, _LP_ALL)
+_NAMED_CURVES = f"""SELECT *, exp(-h) AS surv FROM (
+      SELECT *, sum(dh * exp({_LP_ALL})) OVER (PARTITION BY sex, obesity_cat3, alcohol_cat3, smoker_cat3 ORDER BY t ROWS UNBOUNDED PRECEDING) AS h
+      FROM named, (SELECT *, (SELECT count(*) FROM (VALUES {', '.join(f'({c}::DOUBLE)' for c in CUTS)}) AS q(c) WHERE c < t) + 1 AS tgroup FROM bhall))"""
+_NAMED_VIEWS = dict(bhall=_BH_ALL, named=_NAMED, namedcurves=_NAMED_CURVES, **VIEW_SPLIT)
+WHO = ["profile", *LEVELS, "dep", "immigration", "diplome"]
+
+
+def full_model():
+    """The age-varying model with department and social factors."""
+    m = age_varying_model()
+    d = M.design({**DEPARTMENTS, **SOCIAL})
+    full = M.Design({**m.design.terms, **d.terms}, [*m.design.base, *d.base], {**m.design.group, **d.group})
+    beta = dict(zip(m.design.names, m.coef)) | SOCIAL_BETA | DEPARTMENT_BETA
+    return M.given_model(full, beta)
+
+
+def named_curves(spark, sf):
+    lp = R.linear_predictor(full_model())
+    base = R.baseline_hazard(S.interval_split(X.spells(spark, sf), CUTS), lp)
+    who = profiles(spark, sf)
+    for column, at in (("dep", 1), ("diplome", 2)):
+        value = F.create_map(*[F.lit(v) for n, p in NAMED.items() for v in (n, p[at])])[F.col("profile")]
+        who = who.withColumn(column, value)
+    return R.path_survival(base, who.withColumn("immigration", F.lit("0")), WHO, lp, group=interval_number())
+
+
+@query("named_profile_survival", with_views(f"""
+    SELECT {', '.join(WHO)}, t AS time, round(h, 6) AS cumhaz, round(surv, 6) AS surv FROM namedcurves""", **_NAMED_VIEWS))
+def named_profile_survival(spark, sf):
+    """Disease-free survival of the named profiles, department, immigration and diploma included."""
+    return named_curves(spark, sf).select(*WHO, "time", r6("cumhaz", "cumhaz"), r6("surv", "surv"))
+
+
+@query("named_profile_expectancy", with_views(f"""
+    SELECT split_part(k, '|', 1) AS profile, split_part(k, '|', 2) AS sex, split_part(k, '|', 3) AS obesity_cat3, split_part(k, '|', 4) AS alcohol_cat3,
+           split_part(k, '|', 5) AS smoker_cat3, round(expectancy, 6) AS expectancy FROM ({disfle_sql('namedk', 'k', ages='(50.0::DOUBLE)')})""",
+    namedk="SELECT concat_ws('|', profile, sex, obesity_cat3, alcohol_cat3, smoker_cat3) AS k, t, surv FROM namedcurves",
+    knots=knots_sql("namedk", "k"), **_NAMED_VIEWS))
+def named_profile_expectancy(spark, sf):
+    """Expected age at the end of disease-free life, from 50, of the named profiles."""
+    keys = ["profile", *LEVELS]
+    out = C.residual_expectancy(keep(named_curves(spark, sf)), [50.0], keys, max_age=100.0)
+    return out.select(*keys, r6("expectancy", "expectancy"))
+
+
 # ---------------------------------------------------------------- fitted models (iterative; no oracle text)
 
 
@@ -314,7 +373,6 @@ def cox_coefficients(spark, sf):
     return tidy(M.cox_fit(training(spark, sf), constant_design()), spark)
 
 
-DEPARTMENTS = {"dep": [str(k) for k in range(25)]}
 SPLINE_DF = 8
 
 
@@ -405,6 +463,47 @@ def cox_fit_small(spark, sf):
     return tidy(M.cox_fit(X.spells(spark, sf), M.design(_SMALL), eps=FINE), spark)
 
 
+_TRAIN_FIT = dict(heldids=_HELD, traindata=_SMALL_DATA + " WHERE id NOT IN (SELECT id FROM heldids)", **newton_views("tr", "traindata", 3))
+
+
+@query("concordance_fitted", with_views("""
+    SELECT CAST(count(*) FILTER (WHERE i.lp > j.lp) AS DOUBLE) AS concordant, CAST(count(*) FILTER (WHERE i.lp < j.lp) AS DOUBLE) AS discordant,
+           CAST(count(*) FILTER (WHERE i.lp = j.lp) AS DOUBLE) AS tied_score,
+           round((count(*) FILTER (WHERE i.lp > j.lp) + count(*) FILTER (WHERE i.lp = j.lp) / 2.0::DOUBLE) / count(*), 6) AS concordance
+    FROM (SELECT * FROM fitscored WHERE event_flag) i JOIN fitscored j
+      ON j.a < i.b AND (j.b > i.b OR (j.b = i.b AND NOT j.event_flag))""",
+    fitscored="""SELECT id, round(entry_age, 9) AS a, round(exit_age, 9) AS b, event_flag,
+      round(CASE WHEN sex = 'M' THEN b_1 ELSE 0 END + CASE smoker_cat3 WHEN '1' THEN b_2 WHEN '2' THEN b_3 ELSE 0 END, 6) AS lp
+      FROM spells, tr_b WHERE id IN (SELECT id FROM heldids)""", **_TRAIN_FIT))
+def concordance_fitted(spark, sf):
+    """Concordance on held-out persons of a model that was fitted on the others."""
+    fit = M.cox_fit(training(spark, sf), M.design(_SMALL), eps=FINE)
+    out = R.concordance(held_out(spark, sf).withColumn("lp", r6(R.linear_predictor(fit))), "lp")
+    return out.withColumn("concordance", r6("concordance"))
+
+
+@query("calibration_fitted", with_views("""
+    SELECT o.grp AS risk_group, CAST(n AS BIGINT) AS n, CAST(events AS BIGINT) AS observed, round(expected, 6) AS expected FROM (
+      SELECT sex || smoker_cat3 AS grp, count(*) AS n, sum(CAST(event_flag AS INTEGER)) AS events, sum((coalesce((SELECT max(cumhaz) FROM trbh WHERE t <= round(s.exit_age, 9)), 0)
+        - coalesce((SELECT max(cumhaz) FROM trbh WHERE t <= round(s.entry_age, 9)), 0)) * exp(b_1 * CAST(sex = 'M' AS INTEGER) + b_2 * CAST(smoker_cat3 = '1' AS INTEGER)
+        + b_3 * CAST(smoker_cat3 = '2' AS INTEGER))) AS expected
+      FROM spells s, tr_b WHERE id IN (SELECT id FROM heldids) GROUP BY 1) o""",
+    trbh="""SELECT t, sum(dh) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS cumhaz FROM (
+      SELECT t, sum(CASE WHEN d > 0 THEN 1 / (s0 - CAST(l AS DOUBLE) / d * e0) ELSE 0 END) AS dh FROM (
+        SELECT *, unnest(range(CAST(greatest(d, 1) AS BIGINT))) AS l FROM (
+          SELECT *, sum(n0) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s0 FROM (
+            SELECT t, sum(net * w) AS n0, sum(d) AS d, sum(d * w) AS e0 FROM (
+              SELECT t, net, d, exp(b_1 * x1 + b_2 * x2 + b_3 * x3) AS w FROM tr_r, tr_b) GROUP BY t))) GROUP BY t)""", **_TRAIN_FIT))
+def calibration_fitted(spark, sf):
+    """Events among held-out persons per covariate group, next to those expected from a model fitted on the others."""
+    train = training(spark, sf)
+    fit = M.cox_fit(train, M.design(_SMALL), eps=FINE)
+    base = keep(R.baseline_hazard(train, R.linear_predictor(fit), ties="efron"))
+    out = R.predict(held_out(spark, sf), fit, "expected", baseline=base, entry="entry_age", out="e")
+    return out.groupBy(F.concat("sex", "smoker_cat3").alias("risk_group")).agg(
+        F.count("*").alias("n"), F.count_if("event_flag").alias("observed"), r6(F.sum("e"), "expected"))
+
+
 @query("cox_fit_breslow", with_views(tidy_sql("sb", _SMALL_TERMS), smalldata=_SMALL_DATA, **newton_views("sb", "smalldata", 3, ties="breslow")))
 def cox_fit_breslow(spark, sf):
     """The same with ties by Breslow's method."""

@@ -58,7 +58,8 @@ def read_event_csv(spark: SparkSession, paths: str | Sequence[str], schema: str
         ddl = [f"`c{i}` {f.dataType.simpleString() if f else 'string'}" for i, f in enumerate(fields)]
         reader = spark.read.option("header", True).option("dateFormat", US_DATE).option("nullValue", "NA")
         if bad_column:
-            reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_column)
+            # every column is parsed, also those a query doesn't ask for: whether a record is bad must not hang on the query
+            reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_column).option("columnPruning", False)
             ddl.append(f"`{bad_column}` string")
         else:
             reader = reader.option("mode", "FAILFAST")
