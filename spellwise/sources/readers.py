@@ -58,15 +58,19 @@ def read_event_csv(spark: SparkSession, paths: str | Sequence[str], schema: str
         ddl = [f"`c{i}` {f.dataType.simpleString() if f else 'string'}" for i, f in enumerate(fields)]
         reader = spark.read.option("header", True).option("dateFormat", US_DATE).option("nullValue", "NA")
         if bad_column:
-            # every column is parsed, also those a query doesn't ask for: whether a record is bad must not hang on the query
-            reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_column).option("columnPruning", False)
+            reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_column)
             ddl.append(f"`{bad_column}` string")
         else:
             reader = reader.option("mode", "FAILFAST")
         part = reader.schema(", ".join(ddl)).csv(path)
         place = {f.name: f"c{i}" for i, f in enumerate(fields) if f}
+        bad = []
+        if bad_column:
+            # Spark finds a record bad by the columns it reads only; the hash makes it read all of them, whatever is asked for
+            side = F.when(F.hash(*place.values()) >= 0, 1).otherwise(-1)
+            bad = [F.element_at(F.array(F.col(f"`{bad_column}`")), side).alias(bad_column)]
         part = part.select(
-            *[F.col(place[f.name]).alias(f.name) for f in kinds.values()], *([bad_column] if bad_column else []),
+            *[F.col(place[f.name]).alias(f.name) for f in kinds.values()], *bad,
             *([F.col("_metadata.file_name").alias(source_column)] if source_column else []))
         df = part if df is None else df.unionByName(part)
     return lower_names(df)
