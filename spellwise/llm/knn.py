@@ -1,9 +1,11 @@
 """Exact top-k inner products over KD-trees, one tree per shard.
 
-Rows are dealt evenly to shards; each shard splits its vectors at medians into leaves with tight bounding boxes. A
-box bounds every inner product with a query from above, so a best-first walk over the tree may stop at the first
-box below the query's k-th best score. Shards are met in two waves: each query first meets one of them, which gives
-it a k-th score that holds for all rows, and then the others, starting from that score.
+Space is cut into cells by median splits of a bounded sample; the rows of a cell, all of them, are dealt to shards of about
+SHARD rows. Each shard splits its vectors at medians into leaves with tight bounding boxes. A box bounds every inner product
+with a query from above, so a best-first walk over the tree may stop at the first box below the query's k-th best score.
+Shards are met in two waves: each query first meets the shard it lies in, which gives it a k-th score that holds for all rows,
+and then those other shards whose whole box reaches that score. In either wave a row moves once, a shard's tree is built once,
+and queries are streamed past it a block at a time.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spellwise.llm.common import settle
@@ -23,8 +25,10 @@ SHARD = 8192
 LEAF = 64
 #: Queries that meet a shard at a time.
 BLOCK = 512
-#: Queries of one group, about.
-QUERIES = 4096
+#: Rows whose medians cut space, and cells at most.
+SAMPLE, CELLS = 4096, 256
+#: Numbers in the shards' boxes that go to every task; beyond, queries meet all shards.
+BOXES = 8_000_000
 #: Components beyond this once scaled can't be held as a long: they raise, as do scores that a long can't hold.
 LIMIT = float(1 << 62)
 
@@ -105,26 +109,133 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, fl
     return out
 
 
-def _rows(frame: pd.DataFrame) -> np.ndarray:
-    return np.stack(frame["v"].to_numpy()).astype(np.int64) if len(frame["v"].iloc[0]) else np.zeros((len(frame), 0), np.int64)
+def splits(sample: np.ndarray, cells: int) -> list[tuple[int, int] | None]:
+    """Median splits (axis, value) of a sample, node i with children 2i + 1 and 2i + 2, for `cells` (a power of two) cells: up to
+    the value goes left. A part without spread is not split further."""
+    out: list[tuple[int, int] | None] = [None] * (cells - 1)
+    parts = {0: sample}
+    for node in range(cells - 1):
+        x = parts.pop(node, None)
+        if x is None or len(x) < 2:
+            continue
+        spread = x.max(axis=0) - x.min(axis=0)
+        axis = int(np.argmax(spread))
+        if not spread[axis]:
+            continue
+        value = int(np.sort(x[:, axis])[(len(x) - 1) // 2])
+        if value == x[:, axis].max():
+            value -= 1  # the upper half is one value: it goes right
+        left = x[:, axis] <= value
+        out[node] = (axis, value)
+        parts[2 * node + 1], parts[2 * node + 2] = x[left], x[~left]
+    return out
+
+
+def cell_column(tree: list[tuple[int, int] | None], v: Column) -> Column:
+    """The cell that a vector lies in: the node that its way down the splits ends at."""
+
+    def below(node: int) -> Column:
+        if node >= len(tree) or tree[node] is None:
+            return F.lit(node)
+        axis, value = tree[node]
+        return F.when(v[axis] <= value, below(2 * node + 1)).otherwise(below(2 * node + 2))
+
+    return below(0)
+
+
+def _numbers(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), n)
+
+
+KEY = ["n", "cell", "sub"]
+
+
+def _box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One (low, high) per shard of the boxes that come in."""
+    have: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        low, high = batch.column("low"), batch.column("high")
+        keys = list(zip(*(batch.column(c).to_pylist() for c in KEY)))
+        rows: dict[tuple, list[int]] = {}
+        for i, key in enumerate(keys):
+            rows.setdefault(key, []).append(i)
+        for key, at in rows.items():
+            at = pa.array(at)
+            least, most = _numbers(low.take(at), key[0]).min(axis=0), _numbers(high.take(at), key[0]).max(axis=0)
+            old = have.get(key)
+            have[key] = (np.minimum(old[0], least), np.maximum(old[1], most)) if old else (least, most)
+    yield pa.RecordBatch.from_pydict(
+        {c: [k[i] for k in have] for i, c in enumerate(KEY)} | {"low": [b[0].tolist() for b in have.values()], "high": [b[1].tolist() for b in have.values()]},
+        pa.schema([*((c, pa.int32()) for c in KEY), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))]),
+    )
+
+
+BOX = "n int, cell int, sub int, low array<long>, high array<long>"
+
+
+def _reached(boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """Queries (with their home shard and floor) to one row per other shard whose box reaches the floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("n").to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == n))
+                keys, low, high = boxes[n]
+                for i in range(0, part.num_rows, BLOCK):
+                    some = part.slice(i, BLOCK)
+                    q = _numbers(some.column("v"), n).astype(np.float64)
+                    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                    room = (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T) * 1e-12 + 1
+                    floor = some.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
+                    home = np.stack([some.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "sub")], axis=1)
+                    meets = (bound + room >= floor[:, None]) & (keys[None] != home[:, None]).any(axis=2)
+                    row, shard = np.nonzero(meets)
+                    out = some.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [out.column("n"), pa.array(keys[shard, 0].astype(np.int32)), pa.array(keys[shard, 1].astype(np.int32)), out.column("vec_id"), out.column("v"), out.column("floor")],
+                        ["n", "cell", "sub", "vec_id", "v", "floor"],
+                    )
+
+    return run
 
 
 def _searcher(k: int):
-    def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
-        queries = queries.rename(columns=lambda c: c.removeprefix("q_"))
-        if not len(shard) or not len(queries):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
-        order = np.argsort(shard["vec_id"].to_numpy(), kind="stable")
-        ids = shard["vec_id"].to_numpy()[order]
-        tree = Tree(_rows(shard)[order])
-        found = []
-        for i in range(0, len(queries), BLOCK):
-            part = queries.iloc[i : i + BLOCK]
-            own, floor = part["vec_id"].to_numpy(), part["floor"].to_numpy()
-            for q, best in zip(own.tolist(), search(tree, ids, _rows(part), own, floor, k)):
-                found += [(q, -minus, score) for score, minus in best]
-        return pd.DataFrame(found, columns=columns).astype(np.int64)
+    """Rows shard by shard, a shard's own vectors first, then the queries that meet it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, ids = None, None, None
+        own: list[pa.RecordBatch] = []
+
+        def answered(part: pa.RecordBatch) -> pa.RecordBatch:
+            asked, floor = part.column("vec_id").to_numpy(), part.column("floor").to_numpy()
+            best = search(tree, ids, _numbers(part.column("v"), key[0]), asked, floor, k)
+            found = [(q, -minus, score) for q, items in zip(asked.tolist(), best) for score, minus in items]
+            columns = list(zip(*found)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*KEY, "kind")], axis=1)
+            ends = np.append(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1, len(names))
+            for a, b in zip(np.append(0, ends[:-1]), ends):
+                if a == b:
+                    continue
+                *now, kind = names[a].tolist()
+                if now != key:
+                    key, tree, own = now, None, []
+                part = batch.slice(a, b - a)
+                if kind == 0:
+                    own.append(part)
+                    continue
+                if tree is None and own:
+                    rows = pa.Table.from_batches(own)
+                    ids = rows.column("vec_id").to_numpy()
+                    order = np.argsort(ids, kind="stable")
+                    ids = ids[order]
+                    tree, own = Tree(_numbers(rows.column("v").combine_chunks(), key[0])[order]), []
+                if tree is not None:
+                    for i in range(0, part.num_rows, BLOCK):
+                        yield answered(part.slice(i, BLOCK))
 
     return run
 
@@ -141,41 +252,54 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     x = F.transform(F.col(vector_col), lambda c: F.when(far(c), F.raise_error(F.lit("a component is too large")).cast("bigint")).otherwise(F.floor(c.cast("double") * scale)))
     fit = F.forall(F.col(vector_col), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     slim = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fit, x).alias("v"), is_query.alias("q"))
-    slim = settle(slim.where("vec_id is not null and v is not null").withColumn("n", F.size("v")))
-    shards = max(1, -(-slim.count() // SHARD))
-    # ids are hashed with a random-like salt of the vector, so copies and neighbours spread evenly
-    dealt = slim.select("n", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    queries = settle(slim.where("q").select("n", "vec_id", "v").distinct())
-    blocks = max(1, -(-queries.count() // QUERIES))
-    queries = queries.withColumns({
-        "block": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"),
-        "home": F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)).cast("int"),
-    })
-    # a group is one shard and one block of queries, both bounded whatever the table's size
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    first = settle(_meet(dealt, queries.withColumns({"floor": F.lit(1 - (1 << 63)), "shard": F.col("home")}), k))
+    slim = slim.where("vec_id is not null and v is not null").withColumn("n", F.size("v"))
+    # cells by space for vectors of the usual length; others have one cell
+    lengths = slim.groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
+    usual, many = (lengths[0]["n"], lengths[0]["count"]) if lengths else (0, 0)
+    sample = slim.where(F.col("n") == usual).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").collect() if usual else []
+    cells = min(CELLS, 1 << max(0, (many // SHARD).bit_length()))
+    tree = splits(np.array([r["v"] for r in sample], np.int64).reshape(len(sample), usual), cells)
+    cell = F.when(F.col("n") == usual, cell_column(tree, F.col("v"))).otherwise(-1) if usual else F.lit(-1)
+    slim = slim.withColumn("cell", cell.cast("int"))
+    # a cell of many rows is several shards; ids spread copies and neighbours evenly over them
+    per = slim.groupBy("n", "cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("subs"))
+    sub = F.pmod(F.xxhash64("vec_id", "v"), F.col("subs")).cast("int").alias("sub")
+    placed = settle(slim.join(per, ["n", "cell"]).select(*KEY[:2], sub, "vec_id", "v", "q"))
+    queries = settle(placed.where("q").select(*KEY, "vec_id", "v").distinct())
+    none = F.lit(-(1 << 63))
+    first = settle(_meet(placed, queries.withColumn("floor", none), k))
     # the k-th score of the first wave bounds every later one from below
     worst = first.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("low")).where(F.col("have") >= k)
     asked = queries.join(worst.select(F.col("query_id").alias("w"), "low"), F.col("vec_id") == F.col("w"), "left")
-    asked = asked.withColumn("floor", F.coalesce("low", F.lit(1 - (1 << 63)))).withColumn(
-        "shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home")))
-    )
-    found = first.union(_meet(dealt, asked, k)) if shards > 1 else first
+    asked = asked.select(*KEY, "vec_id", "v", F.coalesce("low", none).alias("floor"))
+    boxes = placed.select(*KEY, F.col("v").alias("low"), F.col("v").alias("high")).mapInArrow(_box, BOX)
+    boxes = settle(boxes.repartition(*KEY).mapInArrow(_box, BOX))
+    if (boxes.agg(F.sum(F.col("n") * 2)).first()[0] or 0) <= BOXES:
+        known: dict[int, list] = {}
+        for r in boxes.collect():
+            known.setdefault(r["n"], []).append(((r["cell"], r["sub"]), r["low"], r["high"]))
+        arrays = {n: tuple(np.array(c, np.int64 if i == 0 else np.float64).reshape(len(b), -1) for i, c in enumerate(zip(*b))) for n, b in known.items()}
+        asked = asked.mapInArrow(_reached(arrays), "n int, cell int, sub int, vec_id long, v array<long>, floor long")
+    else:
+        others = boxes.select(*[F.col(c).alias(f"b_{c}") for c in KEY])
+        other = (F.col("cell") != F.col("b_cell")) | (F.col("sub") != F.col("b_sub"))
+        asked = asked.join(others, (F.col("n") == F.col("b_n")) & other)
+        asked = asked.select("n", F.col("b_cell").alias("cell"), F.col("b_sub").alias("sub"), "vec_id", "v", "floor")
+    found = first.union(_meet(placed, asked, k))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     out = best.select("query_id", "rank", "vec_id", "score")
     # a repeated query row repeats its result
-    again = slim.where("q").groupBy(F.col("vec_id").alias("query_id")).count().where("count > 1")
+    again = placed.where("q").groupBy(F.col("vec_id").alias("query_id")).count().where("count > 1")
     return out.join(again, "query_id", "left").withColumn(
         "__i", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("count"), F.lit(1)).cast("int")))
     ).select("query_id", "rank", "vec_id", "score")
 
 
-def _meet(dealt: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    columns = ["shard", "block", "n", "vec_id", "v", "floor"]
-    asked = asked.select([F.col(c).alias(f"q_{c}") for c in columns])  # both sides stem from one table
-    return (
-        dealt.groupBy("shard", "block", "n")
-        .cogroup(asked.groupBy("q_shard", "q_block", "q_n"))
-        .applyInPandas(_searcher(k), "query_id long, vec_id long, score long")
-    )
+def _meet(placed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of queries and the shards they are sent to."""
+    columns = [*KEY, "kind", "vec_id", "v", "floor"]
+    own = placed.select(*KEY, F.lit(0).alias("kind"), "vec_id", "v", F.lit(0).cast("long").alias("floor"))
+    both = own.unionByName(asked.withColumn("kind", F.lit(1)).select(*columns)).select(*columns)
+    both = both.repartition(*KEY).sortWithinPartitions(*KEY, "kind", "vec_id")
+    return both.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")

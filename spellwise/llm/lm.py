@@ -125,8 +125,10 @@ def _ask(parts: int):
                     cuts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
                     out[name] = [squeeze(np.diff(k[c], prepend=np.uint64(0))) for c in cuts]
                     out[f"{name}_n"] = [squeeze(n[c].astype(np.uint32)) for c in cuts]
+                # only parts that the block has keys in: never more rows than keys, however many parts there are
+                some = [p for p in range(parts) if out["word"][p] or out["pair"][p]]
                 yield pa.RecordBatch.from_pydict(
-                    out,
+                    {name: [values[p] for p in some] for name, values in out.items()},
                     pa.schema([("part", pa.int32()), ("block", pa.int64()), ("role", pa.int32()), *((n, pa.binary()) for n in ("word", "word_n", "pair", "pair_n"))]),
                 )
 

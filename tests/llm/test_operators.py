@@ -337,17 +337,20 @@ def test_toxicity(spark):
 
 
 # 8
-def test_top_k(spark, monkeypatch):
+@pytest.mark.parametrize("boxes", [0, 8_000_000])
+def test_top_k(spark, monkeypatch, boxes):
     monkeypatch.setattr(knn, "SHARD", 100)
     monkeypatch.setattr(knn, "LEAF", 8)
-    monkeypatch.setattr(knn, "QUERIES", 4)
+    monkeypatch.setattr(knn, "BLOCK", 4)
+    monkeypatch.setattr(knn, "SAMPLE", 60)
+    monkeypatch.setattr(knn, "BOXES", boxes)
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(500, 6)).round(2)
     vectors[100:180] = vectors[100]  # copies: ties by id
     rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
     rows += [(1000, None, 1), (1050, [1.0, None, 0.0], 1), (1100, [float("nan")] * 6, 1), (1150, [float("inf")] * 6, 1), (1200, [1.0, 2.0], 1), (1250, [3.0, 1.0], 1), (None, [1.0] * 6, 1)]
     rows += [(1300, [], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    df = spark.createDataFrame([(*r, 2, 3, "q", [1], 4) for r in rows], "vec_id long, embedding array<float>, score int, n int, cell int, q string, v array<int>, sub int")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows_of(knn.top_k(df, F.col("vec_id") % 50 == 0))}
     want = {}
     fit = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
@@ -587,3 +590,35 @@ def test_copied_in_many_documents_of_one_owner_is_no_live_secret(spark):
     assert all(got[i]["n_live"] == 0 and got[i]["spans"] == "" for i in range(60)) and all(got[100 + i]["n_live"] == 1 for i in range(3))
     # random for its length and alphabet
     assert got[200]["n_live"] == 1 and got[201]["n_live"] == 0 and got[202]["n_live"] == 0 and got[201]["n_hex"] == 1
+
+
+def test_rows_move_once_however_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD", 64)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(8, 6)) * 8
+    rows = [(i, (centres[i % 8] + rng.normal(size=6) * 0.1).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    plain = knn._meet
+
+    def meet(placed, asked, k):
+        sent.append((placed.count(), asked.count()))
+        return plain(placed, asked, k)
+
+    monkeypatch.setattr(knn, "_meet", meet)
+    assert knn.top_k(df, F.col("vec_id") % 2 == 0, k=3).count() == 2400
+    # in two waves each row moves twice; boxes keep queries from most of the 25 shards or more
+    assert [a for a, _ in sent] == [1600, 1600] and sent[0][1] == 800 and sent[1][1] < 800 * 12
+
+
+def test_questions_only_where_a_block_has_keys():
+    import pyarrow as pa
+
+    texts = [f"word{i} other{i % 7}" for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "role": pa.array([1] * 40, pa.int32()), "text": texts})
+    blocks = list(lm._blocks(iter([batch])))
+    rows = [b.append_column("block", pa.array([1], pa.int64())).select(["block", "role", "sizes", "words", "tokens"]) for b in blocks]
+    for parts in (64, 4096):
+        asked = list(lm._ask(parts)(iter(rows)))
+        keys = sum(len(lm.expand(k, np.uint64)) for a in asked for c in ("word", "pair") for k in a.column(c).to_pylist())
+        assert keys >= 48 + 40 and sum(a.num_rows for a in asked) <= min(parts, keys)
