@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spellwise.functions import age_at
-from spellwise.operators.curves import at_time
+from spellwise.operators.curves import at_time, with_each
 from spellwise.operators.ordered import CELL, keep, neighbours, running_sum, with_cell
 from spellwise.operators.spells import month_cell
 
@@ -94,6 +94,18 @@ def _carried(n: int, by: list[str], start: list[float]):
     return run
 
 
+def _product_integral(steps: DataFrame, keys: list[str], states: Sequence[str], initial: str) -> DataFrame:
+    """(keys, time, p): the probabilities after each time's matrix ``step``, in two levels."""
+    n, start = len(states), [1.0 if s == initial else 0.0 for s in states]
+    types = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    ddl = ", ".join(f"`{k}` {types[k]}" for k in [*keys, CELL])
+    inside = keep(steps.select(*keys, CELL, "time", "step").groupBy(*keys, CELL).applyInPandas(_products(n, keys), f"{ddl}, time double, product array<double>"))
+    totals = inside.groupBy(*keys, CELL).agg(F.max_by("product", "time").alias("product"))
+    carried = totals.groupBy(*keys).applyInPandas(_carried(n, keys, start), f"{ddl}, before array<double>")
+    at = lambda j: sum((F.col("before")[i] * F.col("product")[i * n + j] for i in range(n)), F.lit(0.0))
+    return inside.join(carried, [*keys, CELL]).select(*keys, "time", F.array(*[at(j) for j in range(n)]).alias("p"))
+
+
 def state_probabilities(
     pieces: DataFrame, states: Sequence[str], by: Sequence[str] = (), *, initial: str, entry: str = "entry_age",
     exit: str = "exit_age", state: str = "state", to: str = "to_state", weight: str | Column | None = None, cell_width: float = 0.25,
@@ -127,14 +139,39 @@ def state_probabilities(
     cells = [F.lit(1.0) - share(i, left[i]) if i == j else share(i, F.col(f"d{i}_{j}")) for i in range(n) for j in range(n)]
     facts = [F.struct(F.lit(s).alias("state"), F.round(F.col(f"n{i}"), 9).alias("n_risk"), left[i].alias("n_event")) for i, s in enumerate(states)]
     steps = keep(rows.select(*keys, CELL, "time", F.array(*cells).alias("step"), F.array(*facts).alias("facts")))
-    types = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
-    ddl = ", ".join(f"`{k}` {types[k]}" for k in [*keys, CELL])
-    inside = keep(steps.select(*keys, CELL, "time", "step").groupBy(*keys, CELL).applyInPandas(_products(n, keys), f"{ddl}, time double, product array<double>"))
-    totals = inside.groupBy(*keys, CELL).agg(F.max_by("product", "time").alias("product"))
-    start = [1.0 if s == initial else 0.0 for s in states]
-    carried = totals.groupBy(*keys).applyInPandas(_carried(n, keys, start), f"{ddl}, before array<double>")
-    at = lambda j: sum((F.col("before")[i] * F.col("product")[i * n + j] for i in range(n)), zero)
-    out = inside.join(carried, [*keys, CELL]).select(*keys, "time", F.array(*[at(j) for j in range(n)]).alias("p"))
-    out = out.join(steps.select(*keys, "time", "facts"), [*keys, "time"])
+    out = _product_integral(steps, keys, states, initial).join(steps.select(*keys, "time", "facts"), [*keys, "time"])
     return out.select(*by, "time", F.inline(F.arrays_zip("facts", "p"))).select(
         *by, "time", "facts.state", "facts.n_risk", "facts.n_event", F.col("p").alias("pstate"))
+
+
+def profile_state_probabilities(
+    baselines: Mapping[tuple[str, str], DataFrame], lps: Mapping[tuple[str, str], Column], profiles: DataFrame, keys: Sequence[str],
+    states: Sequence[str], *, initial: str, cell_width: float = 0.25,
+) -> DataFrame:
+    """Probability of each state per profile from one model of hazards per move: keys, time, state, pstate.
+
+    ``baselines`` has the baseline hazard (time, dh) of each move (from, to) and ``lps`` the predictor of its model. At each
+    time those in a state stay with probability ``exp(-a)``, ``a`` being the summed increments of its exits, and the rest is
+    shared among the exits in proportion; with one state to leave these are ``cause_specific_curves``.
+    """
+    states, keys = list(states), list(keys)
+    n = len(states)
+    steps = None
+    for (i, j), b in baselines.items():
+        part = b.filter(F.col("dh") > 0).select("time", F.lit(f"{states.index(i)}_{states.index(j)}").alias("__move"), "dh")
+        steps = part if steps is None else steps.unionByName(part)
+    both = with_each(steps, profiles)
+    lp = F.lit(None).cast("double")
+    for i, j in baselines:
+        lp = F.when(F.col("__move") == f"{states.index(i)}_{states.index(j)}", lps[i, j]).otherwise(lp)
+    both = with_cell(both.withColumn("__a", F.col("dh") * F.exp(lp)), "time", cell_width)
+    zero = F.lit(0.0)
+    moves = [(i, j) for i in range(n) for j in range(n) if i != j]
+    wide = both.groupBy(*keys, CELL, "time").agg(
+        *[F.sum(F.when(F.col("__move") == f"{i}_{j}", F.col("__a")).otherwise(zero)).alias(f"a{i}_{j}") for i, j in moves])
+    total = {i: sum((F.col(f"a{i}_{j}") for j in range(n) if j != i), zero) for i in range(n)}
+    gone = {i: F.when(total[i] > 0, (F.lit(1.0) - F.exp(-total[i])) / total[i]).otherwise(zero) for i in range(n)}
+    cells = [F.exp(-total[i]) if i == j else gone[i] * F.col(f"a{i}_{j}") for i in range(n) for j in range(n)]
+    out = _product_integral(keep(wide.select(*keys, CELL, "time", F.array(*cells).alias("step"))), keys, states, initial)
+    each = F.array(*[F.struct(F.lit(s).alias("state"), F.col("p")[i].alias("pstate")) for i, s in enumerate(states)])
+    return out.select(*keys, "time", F.inline(each))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spellwise.functions import age_at
+from spellwise.operators import cox as M
+from spellwise.operators import predict as R
 from spellwise.operators import spells as S
 from spellwise.operators import states as P
 from spellwise.plans import fixtures as X
 from spellwise.plans.oracle_views import age, with_views
+from spellwise.plans.queries_models import level_grid
 from spellwise.plans.queries_survival import r6
 from spellwise.plans.registry import query
 
@@ -75,6 +78,66 @@ def state_probabilities(spark, sf):
     return out.select("sex", "time", "state", F.col("n_risk").cast("long").alias("n_risk"), F.col("n_event").cast("long").alias("n_event"), r6("pstate", "pstate"))
 
 
+# The effects on each move, shared with the oracle.
+MOVES = {
+    ("healthy", "illness A"): {"sexM": 0.3, "smoker_cat32": 0.4}, ("healthy", "illness B"): {"sexM": 0.1, "smoker_cat31": -0.2},
+    ("healthy", "dead"): {"sexM": 0.5, "smoker_cat32": 0.6}, ("illness A", "illness B"): {"smoker_cat31": 0.2, "smoker_cat32": 0.3},
+    ("illness A", "dead"): {"sexM": 0.2}, ("illness B", "illness A"): {"sexM": -0.1}, ("illness B", "dead"): {"smoker_cat32": 0.5},
+}
+_WHO = ["sex", "smoker_cat3"]
+
+
+def _lp_sql(beta) -> str:
+    tests = {"sexM": "sex = 'M'", "smoker_cat31": "smoker_cat3 = '1'", "smoker_cat32": "smoker_cat3 = '2'"}
+    return " + ".join(f"{v}::DOUBLE * CAST({tests[k]} AS INTEGER)" for k, v in beta.items())
+
+
+def _move_views() -> dict[str, str]:
+    """Increments of each move's hazard (Efron), their factor per profile, and the matrices' entries per time."""
+    views, parts = {}, []
+    for k, ((a, b), beta) in enumerate(MOVES.items()):
+        views[f"mv{k}"] = f"""SELECT t, sum(1 / (s0 - CAST(l AS DOUBLE) / d * e0)) AS dh FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM (
+          SELECT *, sum(n0) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s0 FROM (
+            SELECT t, sum(net * w) AS n0, sum(d) AS d, sum(d * w) AS e0 FROM (
+              SELECT round(entry_age, 9) AS t, 1 AS net, 0 AS d, exp({_lp_sql(beta)}) AS w FROM fullstays WHERE state = '{a}'
+              UNION ALL SELECT round(exit_age, 9), -1, CASE WHEN to_state = '{b}' THEN 1 ELSE 0 END, exp({_lp_sql(beta)}) FROM fullstays WHERE state = '{a}')
+            GROUP BY t)) WHERE d > 0) GROUP BY t"""
+        i, j = STATES.index(a), STATES.index(b)
+        parts.append(f"SELECT sex, smoker_cat3, t, '{i}_{j}' AS mv, dh * exp({_lp_sql(beta)}) AS a FROM mv{k}, grid")
+    views["grid"] = "SELECT * FROM (VALUES ('F'), ('M')) AS v(sex), (VALUES ('0'), ('1'), ('2')) AS w(smoker_cat3)"
+    views["fullstays"] = _STAYS.replace("SELECT id, sex, state,", "SELECT id, sex, smoker_cat3, state,")
+    sums = ", ".join(f"sum(CASE WHEN mv = '{i}_{j}' THEN a ELSE 0 END) AS a{i}_{j}" for i, j in _MOVES)
+    out = ", ".join(f"{' + '.join(f'a{i}_{j}' for j in range(4) if j != i)} AS o{i}" for i in range(4))
+    views["mpath"] = f"""SELECT *, row_number() OVER (PARTITION BY sex, smoker_cat3 ORDER BY t) AS k FROM (SELECT *, {out} FROM (
+      SELECT sex, smoker_cat3, t, {sums} FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL))"""
+    return views
+
+
+_gain = lambda i, j: f"CASE WHEN o{i} > 0 THEN (1 - exp(-o{i})) * a{i}_{j} / o{i} ELSE 0 END"
+_MRISE = f"""
+    SELECT sex, smoker_cat3, 0::BIGINT AS k, 1::DOUBLE AS p0, 0::DOUBLE AS p1, 0::DOUBLE AS p2, 0::DOUBLE AS p3 FROM grid
+    UNION ALL SELECT q.sex, q.smoker_cat3, q.k, {', '.join(f"p{j} * exp(-o{j}) + " + " + ".join(f"p{i} * {_gain(i, j)}" for i in range(4) if i != j) + f" AS p{j}" for j in range(4))}
+    FROM mrise JOIN mpath q ON q.sex = mrise.sex AND q.smoker_cat3 = mrise.smoker_cat3 AND q.k = mrise.k + 1"""
+
+
+@query("profile_state_probabilities", _recursive(with_views(
+    f"""WITH mrise AS ({_MRISE})
+    """ + " UNION ALL ".join(f"""SELECT q.sex, q.smoker_cat3, t AS time, '{s}' AS state, round(p{i}, 6) + 0.0 AS pstate
+      FROM mrise r JOIN mpath q ON q.sex = r.sex AND q.smoker_cat3 = r.smoker_cat3 AND q.k = r.k""" for i, s in enumerate(STATES)),
+    **_move_views())))
+def profile_state_probabilities(spark, sf):
+    """Probability of each state per profile, every move with hazards of its own model."""
+    stays = pieces(spark, sf)
+    d = M.design({"sex": ["F", "M"], "smoker_cat3": ["0", "1", "2"]})
+    lps = {move: R.linear_predictor(M.given_model(d, beta)) for move, beta in MOVES.items()}
+    bases = {
+        (a, b): R.baseline_hazard(stays.filter(F.col("state") == a), lp, ties="efron", event=F.coalesce(F.col("to_state") == b, F.lit(False)))
+        for (a, b), lp in lps.items()
+    }
+    out = P.profile_state_probabilities(bases, lps, level_grid(spark, {"sex": ["F", "M"], "smoker_cat3": ["0", "1", "2"]}), _WHO, STATES, initial="healthy")
+    return out.select(*_WHO, "time", "state", r6("pstate", "pstate"))
+
+
 _CHANGES = f"""
     SELECT e.id, {age('birth_date', 'date_event')} AS t, CASE event WHEN 'ILL0_C' THEN 'other' ELSE 'care' END AS covariate,
            CAST(CASE event WHEN 'ILL0_C' THEN 1 ELSE src % 3 END AS INTEGER) AS v

@@ -107,3 +107,28 @@ def test_many_changes_that_go_back(spark):
                     now[c] = x
             want.append((lo, hi, e and hi == b, now["u"], now["v"]))
         assert sorted(got.get(i, [])) == want, i
+
+
+def test_profiles_over_moves_with_fitted_models(spark):
+    from spellwise.operators import cox as M
+    from spellwise.operators import predict as R
+
+    rows, states = stays(seed=5, n=300), ["H", "A", "B", "D"]
+    df = spark.createDataFrame(rows, "id int, sex string, state string, entry_age double, exit_age double, to_state string")
+    d = M.design({"sex": ["x", "y"]})
+    moves = [("H", "A"), ("H", "D"), ("A", "D"), ("A", "B"), ("B", "A"), ("B", "D")]
+    at = {m: (df.filter(F.col("state") == m[0]), F.coalesce(F.col("to_state") == m[1], F.lit(False))) for m in moves}
+    lps = {m: R.linear_predictor(M.cox_fit(x, d, event=e, cell_width=2.0)) for m, (x, e) in at.items()}
+    bases = {m: R.baseline_hazard(x, lps[m], ties="efron", event=e, cell_width=2.0) for m, (x, e) in at.items()}
+    people = df.select("sex").distinct()
+    out = P.profile_state_probabilities(bases, lps, people, ["sex"], states, initial="H", cell_width=2.0)
+    sums = out.groupBy("sex", "time").agg(F.sum("pstate").alias("p"), F.min("pstate").alias("least")).collect()
+    assert sums and all(r["p"] == pytest.approx(1.0) and r["least"] >= 0 for r in sums)
+    # one state to leave: the cause-specific curves
+    one = {m: bases[m] for m in moves[:2]}
+    got = {(r["sex"], r["time"], r["state"]): r["pstate"] for r in P.profile_state_probabilities(one, lps, people, ["sex"], ["H", "A", "D"], initial="H", cell_width=2.0).collect()}
+    want = R.cause_specific_curves({b: bases[a, b] for a, b in one}, {b: lps[a, b] for a, b in one}, people, ["sex"], cell_width=2.0).collect()
+    for r in want:
+        for s, c in (("H", "surv"), ("A", "cif_A"), ("D", "cif_D")):
+            assert got[r["sex"], r["time"], s] == pytest.approx(r[c])
+    assert len(got) == 3 * len(want)
