@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one on a local master (tests) and an error elsewhere."""
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir")
     set_already = sc._jsc.sc().getCheckpointDir()
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf)
         return conf
     if set_already.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spellwise-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
