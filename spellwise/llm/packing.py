@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from spellwise.llm.common import settle
 
 PACK = 16384
-#: Distinct pre-tokens whose ids a task remembers; a full memory starts anew.
+#: Distinct pre-tokens whose ids a worker remembers, in two halves: when the newer one is full it becomes the older one, whose
+#: words come back as they are met again. So frequent ones stay known.
 REMEMBER = 400_000
 
 
@@ -33,7 +34,7 @@ PLAIN_CUT = re.compile(
     r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\u00c0-\u024f]+| ?[0-9]+| ?[^\sA-Za-z0-9\u00c0-\u024f]+|\s+(?!\S)|\s+"
 ).findall
 
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def encoder(path: str):
@@ -51,7 +52,7 @@ def encoder(path: str):
     tok = Tokenizer.from_file(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     cut = regex.compile(PATTERN).findall
-    known = _known.setdefault(path, {})
+    known, older = _known.setdefault(path, ({}, {}))
 
     def ids(text: str) -> np.ndarray:
         if any(s in text for s in special):
@@ -61,9 +62,13 @@ def encoder(path: str):
             parts = list(map(known.__getitem__, pieces))
         except KeyError:
             new = [p for p in dict.fromkeys(pieces) if p not in known]
-            if len(known) + len(new) > REMEMBER:
+            if len(known) + len(new) > REMEMBER // 2:
+                older.clear()
+                older.update(known)
                 known.clear()
                 new = list(dict.fromkeys(pieces))
+            known.update((p, older[p]) for p in new if p in older)
+            new = [p for p in new if p not in known]
             for p, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
                 known[p] = np.array(e.ids, np.uint32).tobytes()
             parts = list(map(known.__getitem__, pieces))
