@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Hashable, Mapping, Sequence
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from spellwise.operators.curves import at_time, km, with_each
 from spellwise.operators.linear import root
 from spellwise.operators.ordered import CELL, keep, running_min, running_sum, with_cell
 
+K = TypeVar("K", bound=Hashable)
+
 
 def linear_predictor(fit: CoxFit, reference: str = "zero") -> Column:
     """``x b``, or ``(x - mean) b`` with ``reference="sample"``."""
@@ -114,18 +117,39 @@ def baseline_hazard(
     event: str | Column = "event_flag", cell_width: float = 0.25,
 ) -> DataFrame:
     """Cumulative baseline hazard at a given linear predictor: time, n_event, s0, dh, cumhaz."""
-    w = F.exp(lp)
-    ev = F.col(event) if isinstance(event, str) else event
-    df = spells.filter(F.col(entry) < F.col(exit)).select(
-        F.col(entry).alias("a"), F.col(exit).alias("b"), w.alias("w"), ev.alias("ev"))
+    return _hazards(spells, [(None, lp, event)], ties, entry, exit, cell_width).drop("__model")
+
+
+def baseline_hazards(
+    spells: DataFrame, lps: Mapping[K, Column], *, event: Mapping[K, str | Column], at: Mapping[K, Column] | None = None,
+    ties: str = "breslow", entry: str = "entry_age", exit: str = "exit_age", cell_width: float = 0.25,
+) -> dict[K, DataFrame]:
+    """``baseline_hazard`` of several models in one sweep, so that ``spells`` is read (and whatever makes it is run) once.
+
+    ``event`` tells each model's failures and ``at`` the spells at risk in it (all without ``at``). The result is settled: it
+    has a row per model and distinct time.
+    """
+    models = [(None if at is None else at[k], lp, event[k]) for k, lp in lps.items()]
+    out = keep(_hazards(spells, models, ties, entry, exit, cell_width))
+    return {k: out.filter(F.col("__model") == i).drop("__model") for i, k in enumerate(lps)}
+
+
+def _hazards(
+    spells: DataFrame, models: Sequence[tuple[Column | None, Column, str | Column]], ties: str, entry: str, exit: str, cell_width: float,
+) -> DataFrame:
+    """Hazards of models (spells at risk, predictor, failures): __model (its number), time, n_event, s0, dh, cumhaz."""
+    each = []
+    for i, (at, lp, event) in enumerate(models):
+        own = F.struct(F.lit(i).alias("__model"), F.exp(lp).alias("w"), (F.col(event) if isinstance(event, str) else event).alias("ev"))
+        each.append(own if at is None else F.when(at, own))
+    df = spells.filter(F.col(entry) < F.col(exit)).select(at_time(entry).alias("a"), at_time(exit).alias("b"), F.inline(F.array(*each)))
     hit = F.when(F.col("ev"), 1).otherwise(0)
-    rows = df.select(F.inline(F.array(
-        F.struct(at_time("a").alias("time"), F.col("w").alias("net"), F.lit(0).alias("d"), F.lit(0.0).alias("e0"), F.lit(0).alias("out")),
-        F.struct(at_time("b").alias("time"), (-F.col("w")).alias("net"), hit.alias("d"), (hit * F.col("w")).alias("e0"), F.lit(1).alias("out")),
+    rows = df.filter("__model is not null").select("__model", F.inline(F.array(
+        F.struct(F.col("a").alias("time"), F.col("w").alias("net"), F.lit(0).alias("d"), F.lit(0.0).alias("e0"), F.lit(0).alias("out")),
+        F.struct(F.col("b").alias("time"), (-F.col("w")).alias("net"), hit.alias("d"), (hit * F.col("w")).alias("e0"), F.lit(1).alias("out")),
     )))
-    s = with_cell(rows, "time", cell_width).groupBy(CELL, "time").agg(
-        *[F.sum(c).alias(c) for c in ("net", "d", "e0", "out")]).withColumn("__all", F.lit(0))
-    s = running_sum(keep(s), ["__all"], ["time"], {"s0": "net"}, inclusive=False)
+    s = with_cell(rows, "time", cell_width).groupBy("__model", CELL, "time").agg(*[F.sum(c).alias(c) for c in ("net", "d", "e0", "out")])
+    s = running_sum(keep(s), ["__model"], ["time"], {"s0": "net"}, inclusive=False)
     if ties == "efron":
         @F.pandas_udf("double")
         def tied(d: pd.Series, s0: pd.Series, e0: pd.Series) -> pd.Series:
@@ -134,8 +158,8 @@ def baseline_hazard(
         dh = tied(F.col("d").cast("double"), F.col("s0"), F.col("e0"))
     else:
         dh = F.when(F.col("d") > 0, F.col("d") / F.col("s0")).otherwise(0.0)
-    s = running_sum(keep(s.withColumn("dh", dh)), ["__all"], ["time"], {"cumhaz": F.col("dh")})
-    return s.filter(F.col("out") > 0).select("time", F.col("d").alias("n_event"), "s0", "dh", "cumhaz")
+    s = running_sum(keep(s.withColumn("dh", dh)), ["__model"], ["time"], {"cumhaz": F.col("dh")})
+    return s.filter(F.col("out") > 0).select("__model", "time", F.col("d").alias("n_event"), "s0", "dh", "cumhaz")
 
 
 def path_survival(

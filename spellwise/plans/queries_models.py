@@ -609,7 +609,7 @@ def cause_specific_curves(spark, sf):
     """Cumulative incidence of either illness per profile from the cause-specific models."""
     cr, fits = cause_fits(spark, sf)
     lps = {k: R.linear_predictor(f) for k, f in fits.items()}
-    bases = {k: R.baseline_hazard(cr, lps[k], ties="efron", event=F.col("cause") == k) for k in fits}
+    bases = R.baseline_hazards(cr, lps, ties="efron", event={k: F.col("cause") == k for k in fits})
     people = level_grid(spark, {c: LEVELS[c] for c in ("sex", "obesity_cat3")})
     out = R.cause_specific_curves(bases, lps, people, ["sex", "obesity_cat3"])
     return out.select("sex", "obesity_cat3", "time", *[r6(c, c) for c in out.columns if c.startswith(("surv", "cif"))])

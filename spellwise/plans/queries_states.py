@@ -130,10 +130,9 @@ def profile_state_probabilities(spark, sf):
     stays = pieces(spark, sf)
     d = M.design({"sex": ["F", "M"], "smoker_cat3": ["0", "1", "2"]})
     lps = {move: R.linear_predictor(M.given_model(d, beta)) for move, beta in MOVES.items()}
-    bases = {
-        (a, b): R.baseline_hazard(stays.filter(F.col("state") == a), lp, ties="efron", event=F.coalesce(F.col("to_state") == b, F.lit(False)))
-        for (a, b), lp in lps.items()
-    }
+    bases = R.baseline_hazards(
+        stays, lps, at={(a, b): F.col("state") == a for a, b in lps}, event={(a, b): F.coalesce(F.col("to_state") == b, F.lit(False)) for a, b in lps},
+        ties="efron")
     out = P.profile_state_probabilities(bases, lps, level_grid(spark, {"sex": ["F", "M"], "smoker_cat3": ["0", "1", "2"]}), _WHO, STATES, initial="healthy")
     return out.select(*_WHO, "time", "state", r6("pstate", "pstate"))
 

@@ -132,3 +132,44 @@ def test_profiles_over_moves_with_fitted_models(spark):
         for s, c in (("H", "surv"), ("A", "cif_A"), ("D", "cif_D")):
             assert got[r["sex"], r["time"], s] == pytest.approx(r[c])
     assert len(got) == 3 * len(want)
+
+
+ODD = [(900, "x", None, 0.0, 5.0, "A"), (901, None, "H", 1.0, 4.0, "A"), (902, "y", "H", 5.0, 5.0, "A"), (903, "y", "H", None, 5.0, "A"), (904, "y", "A", 1.0, 4.0, None)]
+
+
+@pytest.mark.parametrize("ties", ["efron", "breslow"])
+def test_hazards_of_several_models_equal_those_of_each(spark, ties):
+    from spellwise.operators import predict as R
+
+    rows = stays(seed=6, n=200)
+    df = spark.createDataFrame(rows + rows[:40] + ODD, "id int, sex string, state string, entry_age double, exit_age double, to_state string")
+    lps = {(a, b): F.when(F.col("sex") == "x", 0.1 * k).when(F.col("sex") == "y", -0.2 * k) for k, (a, b) in enumerate(["HA", "HD", "AD", "BZ"])}
+    event = {m: F.col("to_state") == m[1] for m in lps}
+    got = R.baseline_hazards(df, lps, at={m: F.col("state") == m[0] for m in lps}, event=event, ties=ties, cell_width=2.0)
+    assert list(got) == list(lps)
+    for m, lp in lps.items():
+        want = R.baseline_hazard(df.filter(F.col("state") == m[0]), lp, ties=ties, event=event[m], cell_width=2.0)
+        assert got[m].columns == want.columns and got[m].count() == want.count() > 0
+        for a, b in zip(got[m].orderBy("time").collect(), want.orderBy("time").collect()):
+            assert tuple(a) == pytest.approx(tuple(b))
+    everyone = R.baseline_hazards(df, {"one": F.lit(0.0)}, event={"one": F.lit(True)}, ties=ties, cell_width=2.0)["one"]
+    assert everyone.agg(F.sum("n_event")).first()[0] == df.filter("entry_age < exit_age").count()
+
+
+def test_all_moves_are_read_off_one_pass(spark, monkeypatch):
+    from spellwise.plans import queries_states as Q
+
+    names = dict(zip("HABD", Q.STATES))
+    rows = [(i, s, "1", names[a], t1 + 50, t2 + 50, names.get(b)) for i, s, a, t1, t2, b in stays(seed=9, n=150) for s in ["F" if s == "x" else "M"]]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    schema = "id int, sex string, smoker_cat3 string, state string, entry_age double, exit_age double, to_state string"
+    source = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), schema)
+    monkeypatch.setattr(Q, "pieces", lambda spark, sf: source)
+    out = Q.profile_state_probabilities(spark, "").groupBy("sex", "smoker_cat3", "time").agg(F.sum("pstate").alias("p")).collect()
+    assert out and all(r["p"] == pytest.approx(1.0, abs=1e-5) for r in out)
+    assert read.value == len(rows)
